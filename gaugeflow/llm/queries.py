@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import curriculum, toxicity, vafile, warc
+from gaugeflow.llm import curriculum, sketch, templates, toxicity, vafile, warc
 from gaugeflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ FROM w
 """
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -97,6 +102,51 @@ SELECT doc_id, size, source_size, target, taken, position, CASE WHEN copies > 1
 """
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+ORACLE["op9_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
+), k AS (
+  SELECT doc_id, n, line, list_filter(regexp_split_to_array(CASE WHEN regexp_matches(line, '[0-9]')
+      THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM l
+), p AS (
+  SELECT doc_id, n, t, CASE WHEN len(t) <= 32 THEN list_concat([len(t)::VARCHAR], t[1:3]) END AS leaf FROM k WHERE len(t) > 0
+), m AS (
+  SELECT t, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM p GROUP BY t
+), f AS (
+  SELECT leaf, sum(docs) AS leaf_docs FROM m WHERE leaf IS NOT NULL GROUP BY leaf HAVING sum(docs) >= 3 AND count(*) > 1
+), e AS (
+  SELECT m.t, m.leaf, leaf_docs, docs, unnest(m.t) AS token, generate_subscripts(m.t, 1) AS pos FROM m JOIN f ON m.leaf = f.leaf
+), c AS (
+  SELECT leaf, leaf_docs, pos, token, sum(docs) AS docs FROM e GROUP BY ALL
+), b AS (
+  SELECT leaf, pos, CASE WHEN docs * 2 >= leaf_docs THEN token ELSE '<*>' END AS token
+  FROM (SELECT *, row_number() OVER (PARTITION BY leaf, pos ORDER BY docs DESC, token DESC) AS r FROM c) WHERE r = 1
+), w AS (
+  SELECT e.t, any_value(e.leaf) AS leaf FROM e JOIN b ON e.leaf = b.leaf AND e.pos = b.pos
+  GROUP BY e.t HAVING sum((e.token = b.token)::INTEGER) >= 0.6 * len(e.t)
+), g AS (
+  SELECT w.leaf, count(DISTINCT p.doc_id) AS docs, min(p.doc_id) AS first FROM p JOIN w ON p.t = w.t GROUP BY w.leaf HAVING count(DISTINCT p.doc_id) >= 3
+), r AS (
+  SELECT w.t, g.first FROM w JOIN g ON w.leaf = g.leaf
+), a AS (
+  SELECT t, first FROM r UNION ALL SELECT t, first FROM m WHERE docs >= 3 AND t NOT IN (SELECT t FROM r)
+), x AS (
+  SELECT p.doc_id, p.n FROM p JOIN a ON p.t = a.t WHERE p.doc_id <> a.first
+)
+SELECT d.doc_id,
+       (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id)::INTEGER AS n_lines,
+       (SELECT count(*) FROM x WHERE x.doc_id = d.doc_id)::INTEGER AS n_dropped,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.n) FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.n = x.n
+         WHERE l.doc_id = d.doc_id AND x.n IS NULL), '') END AS text
+FROM documents d
+"""
+
+
 @query
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
