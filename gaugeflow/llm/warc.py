@@ -113,7 +113,7 @@ def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, r
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table of the archives under ``path``; blocks come back byte by byte as their headers measure them."""
-    raw = spark.read.option("lineSep", BETWEEN).text(path).select(F.regexp_replace("value", f"^{VERSION}{CRLF}", "").alias("value"))
+    raw = spark.read.option("lineSep", BETWEEN).text(path)  # the first record of a file keeps its version line, which counts as head
     head = F.substring_index("value", CRLF * 2, 1)
     field = lambda name: F.regexp_extract("head", f"(?:^|\\n){name}: ([^\\r]*)", 1)
     number = lambda name, kind="long": F.nullif(field(name), F.lit("")).cast(kind)
