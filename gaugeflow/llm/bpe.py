@@ -18,7 +18,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,15 +122,31 @@ def word_table(texts: DataFrame, definition: str, special: list[str]) -> DataFra
     return distinct.mapInArrow(_encode(definition), "word string, key long, ids array<int>")
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs ``values[start:start + count]`` one after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of three byte strings for each batch of the word table: keys, number of ids of each, ids."""
+    for batch in batches:
+        keys, ids = (batch.column(batch.schema.get_field_index(n)) for n in ("key", "ids"))
+        parts = [keys.to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["keys", "counts", "ids"])
+
+
 class WordLookup:
-    """Word keys to ids, as sorted arrays."""
+    """Word keys to ids, as sorted arrays: about 25 bytes a word."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("key")
-        self.keys = rows["key"].to_numpy(np.int64)
-        lengths = rows["ids"].map(len).to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        self.ids = np.concatenate([np.asarray(x, np.int32) for x in rows["ids"]]) if len(rows) else np.zeros(0, np.int32)
+    def __init__(self, packed: list[tuple[bytes, bytes, bytes]]):
+        keys, counts, ids = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[i], kind) for r in packed]]) for i, kind in enumerate((np.int64, np.int32, np.int32)))
+        order = np.argsort(keys, kind="stable")
+        starts = np.cumsum(counts, dtype=np.int64) - counts
+        self.keys, counts = keys[order], counts[order]
+        self.ids = _gather(ids, starts[order], counts)
+        self.starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
     def unique(self) -> bool:
         return bool((np.diff(self.keys) != 0).all())
@@ -141,9 +156,7 @@ class WordLookup:
         some, back = np.unique(keys, return_inverse=True)
         at = np.searchsorted(self.keys, some)[back]
         counts = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(self.starts[at], counts)], counts
+        return _gather(self.ids, self.starts[at], counts), counts
 
 
 def _decode(ids: list[int], piece: list[bytes]) -> bytes:
@@ -208,7 +221,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, broadcast_words: int = B
     table = stash(word_table(texts, definition, special), "words")
     piece = spark.sparkContext.broadcast(pieces(definition))
     if table.count() <= broadcast_words:
-        lookup = WordLookup(table.select("key", "ids").toPandas())
+        lookup = WordLookup([tuple(r) for r in table.select("key", "ids").mapInArrow(_packed, "keys binary, counts binary, ids binary").collect()])
         if lookup.unique():
             shared = spark.sparkContext.broadcast(lookup)
             keyed = texts.select("doc_id", F.transform(words(F.col("text"), special, newest_pattern(definition)), lambda w: F.xxhash64(w)).alias("keys"))
