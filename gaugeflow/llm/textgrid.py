@@ -65,10 +65,11 @@ def slices(column: pa.Array, n_bytes: int = 4 << 20):
 class Words:
     """Words of a string column: hashes, byte spans, and the range of words of each row (``first[i]:first[i + 1]``)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separators: np.ndarray | None = None):
+        """``separators``: which of the 256 bytes part words, if others than white space."""
         data, self.offsets = utf8(column)
         self.data = data
-        space = (data == 0x20) | ((data >= 9) & (data <= 13))
+        space = (data == 0x20) | ((data >= 9) & (data <= 13)) if separators is None else separators[data]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = False
         edge[self.offsets] = True
