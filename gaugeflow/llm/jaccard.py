@@ -60,7 +60,7 @@ def count_vector(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 def node_of(hashes: np.ndarray) -> int:
     """One 64-bit number for a set of hashes."""
     total = mix(np.array([np.add.reduce(mix(hashes + np.uint64(0x51ED27)), dtype=np.uint64) ^ np.bitwise_xor.reduce(hashes), len(hashes)], np.uint64))
-    return int(mix(np.array([total[0] * np.uint64(3) + total[1]], np.uint64)).view(np.int64)[0])
+    return int(mix(total[:1] * np.uint64(3) + total[1:]).view(np.int64)[0])
 
 
 def _sets(batch: pa.RecordBatch):
