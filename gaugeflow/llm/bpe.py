@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words (the tokenizer's own pattern, special tokens first) by Spark; every
-distinct word is encoded once; ids are joined back at each word's position. Decoding joins ids to
+distinct word is encoded once: words of several documents in a table, a word that only one document
+has where it stands. Ids are joined back at each word's position; decoding joins ids to
 their pieces. The word table is matched on the map side while it is within ``BROADCAST_WORDS`` rows
-(its measured size, a few tens of MB at most); a larger one is joined by shuffling words with their
+(its measured size, some 40 MB at most); a larger one is joined by shuffling words with their
 positions. Both ways give the same ids.
 
 Null texts count as empty and have no ids. Rows may repeat or share ids: they are told apart by
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gaugeflow.llm.common import stash, text_or_empty
+from gaugeflow.llm.textgrid import hash_spans, utf8
 
-BROADCAST_WORDS = 4_000_000
+BROADCAST_WORDS = 1_500_000
 #: White space of the tokenizer's pattern, as ranges of code points (fixed values of the Unicode standard).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Code points beyond this are no letters or numbers in any published version of the standard.
@@ -39,7 +41,7 @@ def _class(ranges) -> str:
 def pattern(letter: str = r"\p{L}", number: str = r"\p{N}") -> str:
     """The words of byte-level BPE: contractions, runs of letters, numbers or other signs with a space before, white space."""
     s = _class(WHITE_SPACE)
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{s}{letter}{number}]+|[{s}]+(?![^{s}])|[{s}]+"
+    return rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]++| ?[{number}]++| ?[^{s}{letter}{number}]++|[{s}]+(?![^{s}])|[{s}]+"
 
 
 @functools.cache
@@ -103,114 +105,170 @@ def pieces(definition: str) -> list[bytes]:
     return out
 
 
-def _encode(definition: str):
+def _tokenizer(definition: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def _encoded(tokenizer: Tokenizer, some: list[str], piece: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    """Of each word: how many ids, the ids as text, and the bytes that they decode to."""
+    out = []
+    for e in tokenizer.encode_batch(some, add_special_tokens=False):
+        out.append((len(e.ids), ",".join(map(str, e.ids)).encode(), b"".join([piece[i] for i in e.ids])))
+    return out
+
+
+def _encode(definition: str, piece):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(definition)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(definition)
         for batch in batches:
-            at = batch.schema.get_field_index("word")
-            ids = [e.ids for e in tokenizer.encode_batch(batch.column(at).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(ids, pa.list_(pa.int32()))], schema=batch.schema.append(pa.field("ids", pa.list_(pa.int32()))))
+            found = batch.column(0)
+            rows = _encoded(tokenizer, found.to_pylist(), piece.value)
+            yield pa.RecordBatch.from_arrays([found, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["word", "n", "ids", "decoded"])
 
     return encode
 
 
-def word_table(texts: DataFrame, definition: str, special: list[str]) -> DataFrame:
-    """(word, key, ids): every distinct word of ``texts`` (column text), encoded once."""
-    distinct = texts.select(F.explode(words(F.col("text"), special, newest_pattern(definition))).alias("word")).distinct().withColumn("key", F.xxhash64("word"))
-    return distinct.mapInArrow(_encode(definition), "word string, key long, ids array<int>")
-
-
-def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The runs ``values[start:start + count]`` one after the other."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)]
+def word_table(texts: DataFrame, definition: str, special: list[str], piece) -> DataFrame:
+    """(word, n, ids, decoded): the words that several rows of ``texts`` hold, each encoded once; ids as text."""
+    each = texts.select(F.explode(F.array_distinct(words(F.col("text"), special, newest_pattern(definition)))).alias("word"))
+    shared = each.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("word")
+    return shared.mapInArrow(_encode(definition, piece), "word string, n int, ids binary, decoded binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of three byte strings for each batch of the word table: keys, number of ids of each, ids."""
+    """A row of byte strings for each batch of the word table: hashes, counts, ids and decoded bytes with their lengths."""
     for batch in batches:
-        keys, ids = (batch.column(batch.schema.get_field_index(n)) for n in ("key", "ids"))
-        parts = [keys.to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["keys", "counts", "ids"])
+        data, offsets = utf8(batch.column(0))
+        parts = [hash_spans(data, offsets[:-1], offsets[1:]).tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()]
+        for column in (batch.column(2), batch.column(3)):
+            cells = column.to_pylist()
+            parts += [np.array([len(c) for c in cells], np.int32).tobytes(), b"".join(cells)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=list("abcdef"))
 
 
 class WordLookup:
-    """Word keys to ids, as sorted arrays: about 25 bytes a word."""
-
-    def __init__(self, packed: list[tuple[bytes, bytes, bytes]]):
-        keys, counts, ids = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[i], kind) for r in packed]]) for i, kind in enumerate((np.int64, np.int32, np.int32)))
-        order = np.argsort(keys, kind="stable")
-        starts = np.cumsum(counts, dtype=np.int64) - counts
-        self.keys, counts = keys[order], counts[order]
-        self.ids = _gather(ids, starts[order], counts)
-        self.starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-
-    def unique(self) -> bool:
-        return bool((np.diff(self.keys) != 0).all())
-
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words in order, and how many each word has."""
-        some, back = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.keys, some)[back]
-        counts = self.starts[at + 1] - self.starts[at]
-        return _gather(self.ids, self.starts[at], counts), counts
-
-
-def _decode(ids: list[int], piece: list[bytes]) -> bytes:
-    """Bytes of the decoded text: pieces joined, what isn't UTF-8 replaced."""
-    joined = b"".join([piece[i] for i in ids])
+    """Words to what they are encoded to, by an open hash table in two arrays."""
+
+    def __init__(self, packed: list[tuple]):
+        parts = [[r[i] for r in packed] for i in range(6)]
+        keys = np.frombuffer(b"".join(parts[0]), np.uint64)
+        self.unique = len(np.unique(keys)) == len(keys)
+        self.counts = np.frombuffer(b"".join(parts[1]), np.int32)
+        self.packed = [(np.frombuffer(b"".join(parts[i]), np.int32), b"".join(parts[i + 1])) for i in (2, 4)]
+        bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slot_key, self.slot_row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        rest, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(rest):  # each free slot takes one of the words that want it
+            free = self.slot_row[at] < 0
+            self.slot_row[at[free]] = rest[free]
+            lost = self.slot_row[at] != rest
+            rest, at = rest[lost], (at[lost] + 1) & int(self.mask)
+        held = self.slot_row >= 0
+        self.slot_key[held] = keys[self.slot_row[held]]
+
+    def cells(self) -> tuple[list[bytes], list[bytes]]:
+        """Per row of the table the ids as text and the decoded bytes."""
+        out = []
+        for lengths, data in self.packed:
+            ends = np.cumsum(lengths, dtype=np.int64).tolist()
+            out.append([data[a:b] for a, b in zip([0, *ends], ends)])
+        return out[0], out[1]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each word in the table, or -1."""
+        at = (keys & self.mask).astype(np.int64)
+        row = self.slot_row[at]
+        found = np.where(self.slot_key[at] == keys, row, -1)
+        rest = np.flatnonzero((found < 0) & (row >= 0))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & int(self.mask)
+            row, hit = self.slot_row[at], self.slot_key[at] == keys[rest]
+            hit &= row >= 0
+            found[rest[hit]] = row[hit]
+            more = ~hit & (row >= 0)
+            rest, at = rest[more], at[more]
+        return found
+
+
+def _text_sha(decoded: bytes) -> str:
+    """Of the decoded text: what isn't UTF-8 is replaced."""
     try:
-        joined.decode()
+        decoded.decode()
     except UnicodeDecodeError:
-        joined = joined.decode("utf-8", "replace").encode()
-    return joined
+        decoded = decoded.decode("utf-8", "replace").encode()
+    return hashlib.sha256(decoded).hexdigest()
 
 
-def digests(ids: list[int], piece: list[bytes], name: list[str]) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(_decode(ids, piece)).hexdigest()
+_NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+_OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-_OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def _result(doc_id: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=_NAMES)
 
 
-def _map_side(lookup, piece):
+def _map_side(lookup, definition: str, piece, rows_at_once: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pieces_, name = lookup.value, piece.value, None
-        name = [str(i) for i in range(len(pieces_))]
-        for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("keys"))
-            flat, counts = find(keys.flatten().to_numpy(zero_copy_only=False))
-            per_row = np.asarray(keys.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_row)])]
-            rows = [digests(flat[a:b].tolist(), pieces_, name) for a, b in zip(ends[:-1], ends[1:])]
-            columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        table, tokenizer, pieces_ = lookup.value, _tokenizer(definition), piece.value
+        ids_of, decoded_of = table.cells()
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                cells = batch.column(1)
+                flat = cells.flatten()
+                data, offsets = utf8(flat)
+                row = table(hash_spans(data, offsets[:-1], offsets[1:]))
+                counts = np.where(row >= 0, table.counts[row] if len(table.counts) else 0, 0)
+                ends = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+                new = np.flatnonzero(row < 0)
+                own = flat.take(pa.array(new)).to_pylist()
+                known = dict(zip(dict.fromkeys(own), _encoded(tokenizer, list(dict.fromkeys(own)), pieces_)))
+                at_new = np.searchsorted(new, ends)
+                out = []
+                for i in range(batch.num_rows):
+                    at = row[ends[i] : ends[i + 1]].tolist()
+                    ids, decoded = [ids_of[r] for r in at] if ids_of else [b""] * len(at), [decoded_of[r] for r in at] if ids_of else [b""] * len(at)
+                    n = int(counts[ends[i] : ends[i + 1]].sum())
+                    for j in range(at_new[i], at_new[i + 1]):
+                        place = int(new[j] - ends[i])
+                        k, ids[place], decoded[place] = known[own[j]]
+                        n += k
+                    out.append((n, hashlib.sha256(b",".join(ids)).hexdigest(), _text_sha(b"".join(decoded))))
+                yield _result(batch.column(0), out)
 
     return run
 
 
-def _joined(piece):
-    """Digests of rows of word ids in order of place."""
+def _joined(definition: str, piece):
+    """Digests of rows of encoded words in order of place; words without a table row are encoded here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_ = piece.value
-        name = [str(i) for i in range(len(pieces_))]
+        tokenizer, pieces_ = _tokenizer(definition), piece.value
         for batch in batches:
-            rows = [digests([i for word in ids or [] for i in word], pieces_, name) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for cells in batch.column(1).to_pylist():
+                own = list(dict.fromkeys(c["word"] for c in cells or [] if c["word"] is not None))
+                known = dict(zip(own, _encoded(tokenizer, own, pieces_)))
+                parts = [(c["n"], c["ids"], c["decoded"]) if c["word"] is None else known[c["word"]] for c in cells or []]
+                out.append((sum(p[0] for p in parts), hashlib.sha256(b",".join(p[1] for p in parts)).hexdigest(), _text_sha(b"".join(p[2] for p in parts))))
+            yield _result(batch.column(0), out)
 
     return run
 
 
 def by_position(texts: DataFrame, table: DataFrame, definition: str, special: list[str]) -> DataFrame:
-    """(doc_id, ids): an array of each word's ids in order, by joining words with their places to the word table."""
+    """(doc_id, cells): what each word is encoded to, in order, by joining words with their places to the word table."""
     rows = stash(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     placed = rows.select("row", F.posexplode(words(F.col("text"), special, newest_pattern(definition))).alias("place", "word"))
-    ids = placed.join(table.select("word", "ids"), "word").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]).alias("ids"))
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", "ids")
+    joined = placed.join(table, "word", "left")
+    cell = F.struct("place", "n", "ids", "decoded", F.when(F.col("n").isNull(), F.col("word")).alias("word"))
+    cells = joined.groupBy("row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("row", "doc_id").join(cells, "row", "left").select("doc_id", "cells")
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -218,12 +276,12 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, broadcast_words: int = B
     spark: SparkSession = docs.sparkSession
     definition, special = read_vocabulary(vocabulary)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    table = stash(word_table(texts, definition, special), "words")
     piece = spark.sparkContext.broadcast(pieces(definition))
+    table = stash(word_table(texts, definition, special, piece), "words")
     if table.count() <= broadcast_words:
-        lookup = WordLookup([tuple(r) for r in table.select("key", "ids").mapInArrow(_packed, "keys binary, counts binary, ids binary").collect()])
-        if lookup.unique():
+        lookup = WordLookup([tuple(r) for r in table.mapInArrow(_packed, ", ".join(f"{c} binary" for c in "abcdef")).collect()])
+        if lookup.unique:
             shared = spark.sparkContext.broadcast(lookup)
-            keyed = texts.select("doc_id", F.transform(words(F.col("text"), special, newest_pattern(definition)), lambda w: F.xxhash64(w)).alias("keys"))
-            return keyed.mapInArrow(_map_side(shared, piece), _OUT)
-    return by_position(texts, table, definition, special).mapInArrow(_joined(piece), _OUT)
+            split = texts.select("doc_id", words(F.col("text"), special, newest_pattern(definition)).alias("words"))
+            return split.mapInArrow(_map_side(shared, definition, piece), _OUT)
+    return by_position(texts, table, definition, special).mapInArrow(_joined(definition, piece), _OUT)

@@ -62,6 +62,30 @@ def slices(column: pa.Array, n_bytes: int = 4 << 20):
         start += n
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans follow each other in order. ``lower`` reads A-Z as a-z."""
+    power, inverse = _powers()
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(ends, base + BLOCK, side="right"))
+        if j <= i:  # a span longer than a block
+            word = data[base : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word.translate(_LOWER) if lower else word, digest_size=8).digest(), "little")
+            i += 1
+            continue
+        part = data[base : ends[j - 1]]
+        if lower:
+            part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
+
+
 class Words:
     """Words of a string column: hashes, byte spans, and the range of words of each row (``first[i]:first[i + 1]``)."""
 
@@ -82,25 +106,7 @@ class Words:
         self.hashes = self._hash()
 
     def _hash(self) -> np.ndarray:
-        power, inverse = _powers()
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(self.starts):
-            base = self.starts[i]
-            j = int(np.searchsorted(self.ends, base + BLOCK, side="right"))
-            if j <= i:  # a word longer than a block
-                word = self.data[base : self.ends[i]].tobytes().translate(_LOWER)
-                out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-                i += 1
-                continue
-            part = self.data[base : self.ends[j - 1]]
-            part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-            s, e = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            i = j
-        return out
+        return hash_spans(self.data, self.starts, self.ends, lower=True)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and row of every run of ``n`` words within a row, in order."""
