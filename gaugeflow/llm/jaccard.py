@@ -37,8 +37,8 @@ NUM, DEN = 3, 4
 GROUPS = 64
 #: Shingles counted together, the count in such a block from which one is common, and how many common ones are ordered last.
 COUNTED = 4_000_000
-COMMON = 4
-COMMON_KEPT = 500_000
+COMMON = 2
+COMMON_KEPT = 1_000_000
 FAN_OUT = 16
 #: Bits of the filter that tells which sets are needed for verification; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
@@ -53,21 +53,49 @@ def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def count_vector(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+def count_vectors(values: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Group counts of each set."""
+    rows = len(first) - 1
+    group = (mix(values) % np.uint64(groups)).astype(np.int64) + np.repeat(np.arange(rows), np.diff(first)) * groups
+    return np.bincount(group, minlength=rows * groups).reshape(rows, groups)
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """One 64-bit number for a set of hashes."""
-    total = mix(np.array([np.add.reduce(mix(hashes + np.uint64(0x51ED27)), dtype=np.uint64) ^ np.bitwise_xor.reduce(hashes), len(hashes)], np.uint64))
-    return int(mix(total[:1] * np.uint64(3) + total[1:]).view(np.int64)[0])
+def as_bytes(vectors: np.ndarray) -> list[bytes]:
+    """Group counts as 16-bit numbers, or as 32-bit ones where they need it."""
+    return [(v.astype(np.uint16) if v.max() < 1 << 16 else v.astype(np.uint32)).tobytes() for v in vectors]
+
+
+def from_bytes(cells: list[bytes]) -> np.ndarray:
+    if all(len(c) == 2 * GROUPS for c in cells):
+        return np.frombuffer(b"".join(cells), np.uint16).reshape(-1, GROUPS).astype(np.int64)
+    return np.stack([np.frombuffer(c, np.uint16 if len(c) == 2 * GROUPS else np.uint32) for c in cells]).astype(np.int64)
+
+
+def nodes_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each set of hashes; what an empty set has means nothing."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        total = np.add.reduceat(mix(values + np.uint64(0x51ED27)), first[full])
+        out[full] = mix(total ^ mix(np.bitwise_xor.reduceat(values, first[full]) + np.diff(first)[full].astype(np.uint64)))
+    return out.view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch):
-    """(row, sorted distinct shingle hashes) of a batch, hashed a few MB of text at a time."""
+    """(first row, values, starts, nodes) of a batch's sets, a few MB of text at a time."""
     for start, part in slices(batch.column(batch.schema.get_field_index("text"))):
-        for row, hashes in Words(part).shingle_sets(SHINGLE):
-            yield start + row, hashes
+        values, first = Words(part).shingle_sets(SHINGLE)
+        yield start, values, first, nodes_of(values, first)
+
+
+def unseen(nodes: np.ndarray, first: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows have a set that this task hasn't met; they count as met from now on."""
+    out = np.zeros(len(nodes), bool)
+    for i, (node, size) in enumerate(zip(nodes.tolist(), np.diff(first).tolist())):
+        if size and node not in seen:
+            seen.add(node)
+            out[i] = True
+    return out
 
 
 _NODES = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
@@ -89,51 +117,50 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         nodes, sizes, vectors = [], [], []
-        for _, hashes in _sets(batch):
-            node = node_of(hashes) if len(hashes) else None
-            nodes.append(node)
-            sizes.append(len(hashes))
-            vectors.append(count_vector(hashes).astype(np.uint32).tobytes() if len(hashes) else None)
-            if node is not None and node not in seen:
-                seen.add(node)
-                held.append(hashes)
-                size += len(hashes)
-                if size >= COUNTED:
-                    yield common()
-                    held.clear()
-                    seen.clear()
-                    size = 0
+        for _, values, first, keys in _sets(batch):
+            n = np.diff(first)
+            nodes.append(pa.array(keys, mask=n == 0))
+            sizes.append(n)
+            vectors += as_bytes(count_vectors(values, first))
+            held.append(values[np.repeat(unseen(keys, first, seen), n)])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield common()
+                held.clear()
+                seen.clear()
+                size = 0
         get = lambda name: batch.column(batch.schema.get_field_index(name))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), get("row_key"), get("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())], schema=_NODES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), get("row_key"), get("doc_id"), pa.concat_arrays(nodes), pa.array(np.concatenate(sizes)), pa.array(vectors, pa.binary())], schema=_NODES)
     if held:
         yield common()
 
 
-def in_order(hashes: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The prefix of a sorted set in the common order: uncommon shingles first, then by how common they are, then by hash."""
-    size = prefix_size(len(hashes))
-    if not len(common):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    rank = np.where(common[at] == hashes, level[at], 0)
-    return hashes[np.argsort(rank, kind="stable")[:size]]
+def prefixes_of(values: np.ndarray, first: np.ndarray, rows: np.ndarray, common: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of the chosen rows' sets in the common order (uncommon shingles first, then by how common they are,
+    then by hash), one after the other, and their lengths."""
+    rank = np.zeros(len(values), np.int64)
+    if len(common) and len(values):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        rank = np.where(common[at] == values, level[at], 0)
+    parts, lengths = [], []
+    for i in rows.tolist():
+        a, b = first[i], first[i + 1]
+        size = prefix_size(int(b - a))
+        own = values[a:b]
+        parts.append(own[np.argsort(rank[a:b], kind="stable")[:size]] if rank[a:b].any() else own[:size])
+        lengths.append(size)
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(lengths, np.int64)
 
 
 def _prefixes(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, level = common.value
+        shingles, level = common.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes = [np.zeros(0, np.uint64)], [], []
-            for _, hashes in _sets(batch):
-                if len(hashes) and (node := node_of(hashes)) not in seen:
-                    seen.add(node)
-                    tokens.append(in_order(hashes, values, level))
-                    nodes.append((node, len(tokens[-1])))
-                    sizes.append(len(hashes))
-            lengths = [k for _, k in nodes]
-            repeat = lambda x: pa.array(np.repeat(np.array(x, np.int64), np.array(lengths, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), repeat([n for n, _ in nodes]), repeat(sizes)], names=["token", "node", "n"])
+            for _, values, first, keys in _sets(batch):
+                rows = np.flatnonzero(unseen(keys, first, seen))
+                tokens, lengths = prefixes_of(values, first, rows, shingles, level)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(keys[rows], lengths)), pa.array(np.repeat(np.diff(first)[rows], lengths))], names=["token", "node", "n"])
 
     return run
 
@@ -215,7 +242,7 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()  # only saves work: distinct() follows
         seen.add(members)
         node, comp, size = (np.array([r[k] for r in rows], np.int64) for k in ("node", "component", "n"))
-        points = np.frombuffer(b"".join(r["vector"] for r in rows), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        points = from_bytes([r["vector"] for r in rows])
         tree, out = CountVectorRTree(points, size), []
         for i in range(len(rows)):
             j = tree.search(points[i], int(size[i]))
@@ -243,17 +270,16 @@ def _needed_sets(wanted):
         words, bits = wanted.value
         seen: set[int] = set()
         for batch in batches:
-            nodes, tokens = [], []
-            for _, hashes in _sets(batch):
-                if not len(hashes) or (node := node_of(hashes)) in seen:
-                    continue
-                bit = node % FILTER_BITS
-                at = np.searchsorted(words, bit >> 6)
-                if at < len(words) and words[at] == bit >> 6 and (int(bits[at]) >> (bit & 63)) & 1:
-                    seen.add(node)
-                    nodes.append(node)
-                    tokens.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
+            for _, values, first, keys in _sets(batch):
+                bit = keys % FILTER_BITS
+                if len(words):
+                    at = np.minimum(np.searchsorted(words, bit >> 6), len(words) - 1)
+                    maybe = (words[at] == bit >> 6) & ((bits[at] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0) & (np.diff(first) > 0)
+                else:
+                    maybe = np.zeros(len(keys), bool)
+                rows = [i for i in np.flatnonzero(maybe).tolist() if keys[i] not in seen]
+                seen.update(keys[rows].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([values[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], names=["node", "tokens"])
 
     return run
 
@@ -289,7 +315,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
+        x, y = (from_bytes(batch.column(i).to_pylist()) for i in (2, 3))
         good = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1)))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 

@@ -119,18 +119,28 @@ class Words:
         within = self.row[:count] == self.row[n - 1 :]
         return mix(total)[within], self.row[:count][within]
 
-    def shingle_sets(self, n: int):
-        """(row, sorted distinct shingle hashes) of every row; a row with fewer than ``n`` words has its whole sequence as one."""
+    def shingle_sets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingle hashes of every row, one row after the other, and where each row's begin.
+
+        A row with fewer than ``n`` words has its whole sequence as one shingle.
+        """
         hashes, row = self.shingles(n)
-        at = np.searchsorted(row, np.arange(len(self.offsets)))
-        for i in range(len(self.offsets) - 1):
-            if at[i + 1] > at[i]:
-                yield i, np.unique(hashes[at[i] : at[i + 1]])
-            elif self.first[i + 1] > self.first[i]:
-                whole = self.hashes[self.first[i] : self.first[i + 1]].tobytes()
-                yield i, np.array([int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")], np.uint64)
-            else:
-                yield i, np.zeros(0, np.uint64)
+        rows = len(self.offsets) - 1
+        counts = np.bincount(row, minlength=rows)
+        short = (counts == 0) & (np.diff(self.first) > 0)
+        shift = np.cumsum(short) - short
+        values = np.empty(len(hashes) + int(short.sum()), np.uint64)
+        values[np.arange(len(hashes)) + shift[row]] = hashes
+        first = np.concatenate([[0], np.cumsum(counts + short)])
+        for i in np.flatnonzero(short):
+            whole = self.hashes[self.first[i] : self.first[i + 1]].tobytes()
+            values[first[i]] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            values[a:b].sort()
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = values[1:] != values[:-1]
+        fresh[first[:-1][first[:-1] < len(values)]] = True
+        return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[first]
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
