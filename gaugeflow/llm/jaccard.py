@@ -38,7 +38,7 @@ GROUPS = 64
 #: Shingles counted together, the count in such a block from which one is common, and how many common ones are ordered last.
 COUNTED = 4_000_000
 COMMON = 2
-COMMON_KEPT = 1_000_000
+COMMON_KEPT = 3_000_000
 FAN_OUT = 16
 #: Bits of the filter that tells which sets are needed for verification; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
@@ -138,10 +138,10 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefixes_of(values: np.ndarray, first: np.ndarray, rows: np.ndarray, common: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefixes of the chosen rows' sets in the common order (uncommon shingles first, then by how common they are,
     then by hash), one after the other, and their lengths."""
-    rank = np.zeros(len(values), np.int64)
+    rank = np.zeros(len(values), np.int8)
     if len(common) and len(values):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        rank = np.where(common[at] == values, level[at], 0)
+        rank = np.where(common[at] == values, level[at], np.int8(0))
     parts, lengths = [], []
     for i in rows.tolist():
         a, b = first[i], first[i + 1]
@@ -341,14 +341,32 @@ def node_links(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.
     return links.unionByName(verified(rest, texts))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()) for i, kind in ((0, np.int64), (1, np.int8))], names=["shingles", "levels"])
+
+
+def common_shingles(survey: DataFrame, most: int = COMMON_KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, sorted, with a level that grows with their counts: the levels from the top that hold ``most`` together."""
+    counts = stash(survey.where(F.col("kind") == 1).groupBy("node").agg(F.sum("n").alias("n")).select("node", F.floor(F.log2("n") * 4).cast("int").alias("level")), "common")
+    sizes, least, total = counts.groupBy("level").count().collect(), 127, 0
+    for level, n in sorted(sizes, reverse=True):
+        total += n
+        if total > most:
+            break
+        least = level
+    kept = counts.where(F.col("level") >= least).mapInArrow(_packed, "shingles binary, levels binary").collect()
+    shingles = np.frombuffer(b"".join(r[0] for r in kept), np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.frombuffer(b"".join(r[1] for r in kept), np.int8)[order] + np.int8(1)
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     survey = stash(texts.mapInArrow(_survey, NODES), "survey")
-    often = survey.where(F.col("kind") == 1).groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "node").limit(COMMON_KEPT).toPandas()
-    order = np.argsort(often["node"].to_numpy(np.int64).view(np.uint64))
-    common = (often["node"].to_numpy(np.int64).view(np.uint64)[order], 1 + np.log2(often["n"].to_numpy(np.float64)[order]).astype(np.int64))
+    common = common_shingles(survey)
     rows = survey.where(F.col("kind") == 0)
     nodes = rows.where(F.col("node").isNotNull())
     found = stash(components(node_links(texts, nodes, common)), "components")
