@@ -113,10 +113,10 @@ def _tokenizer(definition: str) -> Tokenizer:
 
 
 def _encoded(tokenizer: Tokenizer, some: list[str], piece: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-    """Of each word: how many ids, the ids as text, and the bytes that they decode to."""
+    """Of each word: how many ids, the ids as text (a comma after each), and the bytes that they decode to."""
     out = []
     for e in tokenizer.encode_batch(some, add_special_tokens=False):
-        out.append((len(e.ids), ",".join(map(str, e.ids)).encode(), b"".join([piece[i] for i in e.ids])))
+        out.append((len(e.ids), "".join([f"{i}," for i in e.ids]).encode(), b"".join([piece[i] for i in e.ids])))
     return out
 
 
@@ -149,6 +149,32 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=list("abcdef"))
 
 
+class Ragged:
+    """Byte strings of different lengths in one array."""
+
+    def __init__(self, lengths: np.ndarray, data: np.ndarray):
+        self.lengths, self.data = lengths, data
+        self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
+
+    def joined(self, rows: np.ndarray, more: list[bytes], new: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of ``rows`` one after the other (those at ``new`` are ``more``), and where each ends."""
+        extra = np.array([len(m) for m in more], np.int64)
+        lengths, starts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        old = np.flatnonzero(rows >= 0)
+        lengths[old], starts[old] = self.lengths[rows[old]], self.starts[rows[old]]
+        lengths[new] = extra
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        place = np.arange(len(out)) + np.repeat(starts - (ends - lengths), lengths)
+        if len(new):
+            fresh = np.repeat(rows < 0, lengths)
+            out[~fresh] = self.data[place[~fresh]]
+            out[fresh] = np.frombuffer(b"".join(more), np.uint8)
+        else:
+            out[:] = self.data[place]
+        return out.tobytes(), ends
+
+
 class WordLookup:
     """Words to what they are encoded to, by an open hash table in two arrays."""
 
@@ -157,7 +183,7 @@ class WordLookup:
         keys = np.frombuffer(b"".join(parts[0]), np.uint64)
         self.unique = len(np.unique(keys)) == len(keys)
         self.counts = np.frombuffer(b"".join(parts[1]), np.int32)
-        self.packed = [(np.frombuffer(b"".join(parts[i]), np.int32), b"".join(parts[i + 1])) for i in (2, 4)]
+        self.ids, self.decoded = (Ragged(np.frombuffer(b"".join(parts[i]), np.int32), np.frombuffer(b"".join(parts[i + 1]), np.uint8)) for i in (2, 4))
         bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.mask = np.uint64((1 << bits) - 1)
         self.slot_key, self.slot_row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -170,14 +196,6 @@ class WordLookup:
         held = self.slot_row >= 0
         self.slot_key[held] = keys[self.slot_row[held]]
 
-    def cells(self) -> tuple[list[bytes], list[bytes]]:
-        """Per row of the table the ids as text and the decoded bytes."""
-        out = []
-        for lengths, data in self.packed:
-            ends = np.cumsum(lengths, dtype=np.int64).tolist()
-            out.append([data[a:b] for a, b in zip([0, *ends], ends)])
-        return out[0], out[1]
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Row of each word in the table, or -1."""
         at = (keys & self.mask).astype(np.int64)
@@ -215,7 +233,6 @@ def _result(doc_id: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatc
 def _map_side(lookup, definition: str, piece, rows_at_once: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tokenizer, pieces_ = lookup.value, _tokenizer(definition), piece.value
-        ids_of, decoded_of = table.cells()
         for whole in batches:
             for start in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(start, rows_at_once)
@@ -223,23 +240,19 @@ def _map_side(lookup, definition: str, piece, rows_at_once: int = 256):
                 flat = cells.flatten()
                 data, offsets = utf8(flat)
                 row = table(hash_spans(data, offsets[:-1], offsets[1:]))
-                counts = np.where(row >= 0, table.counts[row] if len(table.counts) else 0, 0)
-                ends = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
                 new = np.flatnonzero(row < 0)
                 own = flat.take(pa.array(new)).to_pylist()
                 known = dict(zip(dict.fromkeys(own), _encoded(tokenizer, list(dict.fromkeys(own)), pieces_)))
-                at_new = np.searchsorted(new, ends)
-                out = []
-                for i in range(batch.num_rows):
-                    at = row[ends[i] : ends[i + 1]].tolist()
-                    ids, decoded = [ids_of[r] for r in at] if ids_of else [b""] * len(at), [decoded_of[r] for r in at] if ids_of else [b""] * len(at)
-                    n = int(counts[ends[i] : ends[i + 1]].sum())
-                    for j in range(at_new[i], at_new[i + 1]):
-                        place = int(new[j] - ends[i])
-                        k, ids[place], decoded[place] = known[own[j]]
-                        n += k
-                    out.append((n, hashlib.sha256(b",".join(ids)).hexdigest(), _text_sha(b"".join(decoded))))
-                yield _result(batch.column(0), out)
+                more = [known[w] for w in own]
+                counts = np.zeros(len(row), np.int64)
+                counts[row >= 0] = table.counts[row[row >= 0]]
+                counts[new] = [m[0] for m in more]
+                ids, id_ends = table.ids.joined(row, [m[1] for m in more], new)
+                decoded, ends = table.decoded.joined(row, [m[2] for m in more], new)
+                cut = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+                at = lambda x, cut=cut: np.concatenate([[0], x])[cut].tolist()
+                n, a, b = at(np.cumsum(counts)), at(id_ends), at(ends)
+                yield _result(batch.column(0), [(n[i + 1] - n[i], hashlib.sha256(ids[a[i] : max(a[i], a[i + 1] - 1)]).hexdigest(), _text_sha(decoded[b[i] : b[i + 1]])) for i in range(batch.num_rows)])
 
     return run
 
@@ -255,7 +268,7 @@ def _joined(definition: str, piece):
                 own = list(dict.fromkeys(c["word"] for c in cells or [] if c["word"] is not None))
                 known = dict(zip(own, _encoded(tokenizer, own, pieces_)))
                 parts = [(c["n"], c["ids"], c["decoded"]) if c["word"] is None else known[c["word"]] for c in cells or []]
-                out.append((sum(p[0] for p in parts), hashlib.sha256(b",".join(p[1] for p in parts)).hexdigest(), _text_sha(b"".join(p[2] for p in parts))))
+                out.append((sum(p[0] for p in parts), hashlib.sha256(b"".join(p[1] for p in parts)[:-1]).hexdigest(), _text_sha(b"".join(p[2] for p in parts))))
             yield _result(batch.column(0), out)
 
     return run
