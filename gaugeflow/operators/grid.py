@@ -83,6 +83,6 @@ def interpolate(df: DataFrame, keys: Sequence[str], value: str = "value", most:
     return rows.withColumn(out, filled).drop("__a", "__b", "__run")
 
 
-def last_before(df: DataFrame, keys: Sequence[str], value: str, within: int) -> Column:
+def last_before(keys: Sequence[str], value: str, within: int) -> Column:
     """Latest value that isn't null at most ``within`` seconds before a row, the row itself left out."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("t").rangeBetween(-within, -1))
