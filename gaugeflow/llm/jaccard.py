@@ -8,10 +8,10 @@ an R-tree box for every point within.
 Who meets whom: two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of each in
 any order that both follow. The order puts shingles that occur often (counted over all documents,
 block by block) last, so that common passages don't bring unrelated documents together. Copies of a
-set within a task are emitted once. Each shared shingle first links every node to one leader, which
-joins groups of near copies with as many pairs as members. Only shingles whose nodes are still in
-different components get an R-tree, which yields the pairs that pass the bound; those are verified on
-the exact sets. Links within a component that is already joined change nothing and aren't looked for.
+set within a task are emitted once. Each shared shingle first links its nodes to one hub (the node with
+most shared shingles), which joins groups of near copies with as many pairs as members. Only hubs whose
+nodes are still in different components get an R-tree of all nodes that share a shingle with them by it; what is
+not in the largest component searches the tree, and the pairs that pass the bound are verified on the exact sets. Links within a component that is already joined change nothing and aren't looked for.
 
 Null and empty texts have an empty set and are alone. Repeated rows and ids are handled as rows of
 their own; a component's id is its smallest doc_id, null only where all its ids are null. Extra
@@ -34,7 +34,7 @@ from gaugeflow.llm.textgrid import Words, mix, slices
 SHINGLE = 5
 #: Similarity as a fraction: sets link when ``DEN * overlap >= NUM * union``.
 NUM, DEN = 3, 4
-GROUPS = 64
+GROUPS = 512
 #: Shingles counted together, the count in such a block from which one is common, and how many common ones are ordered last.
 COUNTED = 4_000_000
 COMMON = 2
@@ -60,15 +60,20 @@ def count_vectors(values: np.ndarray, first: np.ndarray, groups: int = GROUPS) -
     return np.bincount(group, minlength=rows * groups).reshape(rows, groups)
 
 
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
 def as_bytes(vectors: np.ndarray) -> list[bytes]:
-    """Group counts as 16-bit numbers, or as 32-bit ones where they need it."""
-    return [(v.astype(np.uint16) if v.max() < 1 << 16 else v.astype(np.uint32)).tobytes() for v in vectors]
+    """Group counts as the narrowest numbers that hold them."""
+    most = vectors.max(axis=1, initial=0)
+    return [v.astype(_WIDTHS[int(m > 0xFF) + int(m > 0xFFFF)]).tobytes() for v, m in zip(vectors, most.tolist())]
 
 
 def from_bytes(cells: list[bytes]) -> np.ndarray:
-    if all(len(c) == 2 * GROUPS for c in cells):
-        return np.frombuffer(b"".join(cells), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-    return np.stack([np.frombuffer(c, np.uint16 if len(c) == 2 * GROUPS else np.uint32) for c in cells]).astype(np.int64)
+    kinds = {len(c) // GROUPS for c in cells}
+    if len(kinds) == 1:
+        return np.frombuffer(b"".join(cells), f"u{kinds.pop()}").reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(c, f"u{len(c) // GROUPS}") for c in cells]).astype(np.int32)
 
 
 def nodes_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -231,36 +236,40 @@ class CountVectorRTree:
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of token: pairs of nodes of different components that pass the bound."""
-    seen: set[tuple[int, ...]] = set()
+    """From rows in order of hub: pairs of nodes of different components that pass the bound.
 
-    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
-        members = tuple(r["node"] for r in rows)
-        if members in seen or len({r["component"] for r in rows}) < 2:
+    What is not in a hub's largest component searches the tree of all its nodes.
+    """
+
+    def pairs(parts: list[tuple]) -> list[tuple[int, int]]:
+        node, comp, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        names, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(names) < 2:
             return []
-        if len(seen) > 500_000:
-            seen.clear()  # only saves work: distinct() follows
-        seen.add(members)
-        node, comp, size = (np.array([r[k] for r in rows], np.int64) for k in ("node", "component", "n"))
-        points = from_bytes([r["vector"] for r in rows])
+        points = from_bytes([v for p in parts for v in p[3]])
         tree, out = CountVectorRTree(points, size), []
-        for i in range(len(rows)):
+        asks = where != counts.argmax()
+        for i in np.flatnonzero(asks):
             j = tree.search(points[i], int(size[i]))
-            j = j[(node[j] > node[i]) & (comp[j] != comp[i])]
-            out += [(members[i], int(x)) for x in node[j]]
+            j = j[(comp[j] != comp[i]) & (~asks[j] | (node[j] > node[i]))]
+            out += [(min(int(node[i]), int(x)), max(int(node[i]), int(x))) for x in node[j]]
         return out
 
-    token, rows = None, []
+    def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    hub, parts = None, []
     for batch in batches:
-        found = []
-        for r in batch.to_pylist():
-            if r["token"] != token:
-                found += pairs(rows)
-                token, rows = r["token"], []
-            rows.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-    found = pairs(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        hubs, node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        vectors = batch.column(4)
+        cut = np.flatnonzero(np.concatenate([[True], hubs[1:] != hubs[:-1]])) if len(hubs) else []
+        for i, j in zip(cut, [*cut[1:], len(hubs)]):
+            if parts and hub != hubs[i]:
+                yield emit(pairs(parts))
+                parts = []
+            hub = hubs[i]
+            parts.append((node[i:j], comp[i:j], n[i:j], vectors.slice(i, j - i).to_pylist()))
+    yield emit(pairs(parts) if parts else [])
 
 
 def _needed_sets(wanted):
@@ -325,19 +334,25 @@ def node_links(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.
     spark = texts.sparkSession
     shared_common = spark.sparkContext.broadcast(common)
     prefixes = texts.select("text").mapInArrow(_prefixes(shared_common), "token long, node long, n long")
-    shared = stash(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, SHARED), "shared")
-    alike = (F.col("n") * DEN >= F.col("leader_n") * NUM) & (F.col("leader_n") * DEN >= F.col("n") * NUM)
-    star = shared.where((F.col("node") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, SHARED)
+    shared = stash(shared.select("token", "node", "n"), "shared")
+    # the hub of a shingle is the node that shares most shingles: of a group of edited copies, their original
+    degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = shared.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
+    star = stash(shared.join(hubs, "token").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "node", "n").distinct(), "star")
     points = nodes.select("node", "vector").groupBy("node").agg(F.first("vector").alias("vector"))
-    star = star.join(points.withColumnsRenamed({"node": "a", "vector": "x"}), "a").join(points.withColumnsRenamed({"node": "b", "vector": "y"}), "b").select("a", "b", "x", "y")
-    star = stash(star.mapInArrow(_bounded, "a long, b long"), "star")
-    links = stash(verified(star, texts), "star-links")
+    alike = (F.col("n") * DEN >= F.col("hub_n") * NUM) & (F.col("hub_n") * DEN >= F.col("n") * NUM)
+    near = star.where((F.col("node") != F.col("hub")) & alike).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    near = near.join(points.withColumnsRenamed({"node": "a", "vector": "x"}), "a").join(points.withColumnsRenamed({"node": "b", "vector": "y"}), "b").select("a", "b", "x", "y")
+    near = stash(near.mapInArrow(_bounded, "a long, b long"), "near")
+    links = stash(verified(near, texts), "star-links")
     joined = stash(components(links), "joined")
-    members = shared.select("token", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("token")
-    rows = members.join(open_, "token").join(points, "node").select("token", "node", "n", "component", "vector")
-    rest = rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    rest = stash(rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "tree-pairs")
+    members = star.select("hub", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = stash(members, "members")
+    open_ = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("hub")
+    rows = members.join(open_, "hub").join(points, "node").select("hub", "node", "n", "component", "vector")
+    rest = rows.repartition("hub").sortWithinPartitions("hub", "node").mapInArrow(_tree_pairs, "a long, b long").distinct()
+    rest = stash(rest.join(near, ["a", "b"], "left_anti"), "tree-pairs")
     return links.unionByName(verified(rest, texts))
 
 
