@@ -150,19 +150,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ragged:
-    """Byte strings of different lengths in one array."""
+    """Byte strings of different lengths in one array, found by where each begins."""
 
     def __init__(self, lengths: np.ndarray, data: np.ndarray):
-        self.lengths, self.data = lengths, data
-        self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        ends = np.cumsum(lengths, dtype=np.int64)
+        self.bounds = np.concatenate([[0], ends]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        self.data = data
 
     def joined(self, rows: np.ndarray, more: list[bytes], new: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The strings of ``rows`` one after the other (those at ``new`` are ``more``), and where each ends."""
-        extra = np.array([len(m) for m in more], np.int64)
         lengths, starts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         old = np.flatnonzero(rows >= 0)
-        lengths[old], starts[old] = self.lengths[rows[old]], self.starts[rows[old]]
-        lengths[new] = extra
+        starts[old] = self.bounds[rows[old]]
+        lengths[old] = self.bounds[rows[old] + 1] - starts[old]
+        lengths[new] = np.array([len(m) for m in more], np.int64)
         ends = np.cumsum(lengths)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
         place = np.arange(len(out)) + np.repeat(starts - (ends - lengths), lengths)
@@ -184,7 +185,7 @@ class WordLookup:
         self.unique = len(np.unique(keys)) == len(keys)
         self.counts = np.frombuffer(b"".join(parts[1]), np.int32)
         self.ids, self.decoded = (Ragged(np.frombuffer(b"".join(parts[i]), np.int32), np.frombuffer(b"".join(parts[i + 1]), np.uint8)) for i in (2, 4))
-        bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        bits = max(4, int(np.ceil(np.log2(1.5 * len(keys) + 1))))
         self.mask = np.uint64((1 << bits) - 1)
         self.slot_key, self.slot_row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         rest, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
@@ -230,12 +231,15 @@ def _result(doc_id: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([doc_id, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=_NAMES)
 
 
-def _map_side(lookup, definition: str, piece, rows_at_once: int = 256):
+def _map_side(lookup, definition: str, piece, words_at_once: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tokenizer, pieces_ = lookup.value, _tokenizer(definition), piece.value
         for whole in batches:
-            for start in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(start, rows_at_once)
+            sizes = whole.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes, dtype=np.int64) - 1) // words_at_once
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if whole.num_rows else []
+            for start, end in zip(starts, [*starts[1:], whole.num_rows]):
+                batch = whole.slice(start, end - start)
                 cells = batch.column(1)
                 flat = cells.flatten()
                 data, offsets = utf8(flat)
