@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import circular, solar, stats
 from gaugeflow.functions.time import DAY, HOUR, epoch, floor_to, month_day_between, season_of
-from gaugeflow.operators import compare, coupling, grid, imputation, islands, monitoring, prediction, quality, rolling, tests_of_series
+from gaugeflow.operators import compare, coupling, grid, imputation, islands, monitoring, prediction, quality, rolling, studies, tests_of_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,3 +594,112 @@ def block_bootstrap_skill(spark, sf_dir):
 SELECT key, (start_t + floor((n - 6) / 2)::BIGINT * 3600)::BIGINT AS start_t, (start_t + floor((n - 6) / 2)::BIGINT * 3600 + 18000)::BIGINT AS end_t FROM b WHERE r = 1""")
 def synthetic_gap(spark, sf_dir):
     return imputation.synthetic_gap(hourly(spark, sf_dir), ["key"], "value", 6, HOUR)
+
+
+# study operators
+
+
+@query(U_SQL + """, tf AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) > 64800 OR lag(t) OVER (PARTITION BY key ORDER BY t) IS NULL OR era IS DISTINCT FROM lag(era) OVER (PARTITION BY key ORDER BY t) THEN 1 ELSE 0 END AS f FROM (SELECT *, t // 864000 AS era FROM u) WHERE value IS NOT NULL),
+tb AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY t) AS b FROM tf), tg AS (SELECT key, b, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM tb GROUP BY key, b HAVING max(t) - min(t) + 21600 >= 43200)
+SELECT key, start_t, end_t, n, round(n / ((end_t - start_t) / 21600.0::DOUBLE + 1), 6) AS coverage, row_number() OVER (PARTITION BY key ORDER BY start_t)::INTEGER AS block FROM tg""")
+def tolerant_blocks(spark, sf_dir):
+    u = by_user(spark, sf_dir).withColumn("era", F.floor(F.col("t") / 864000))
+    return studies.tolerant_blocks(u, ["key"], ["value"], 6 * HOUR, 2, 12 * HOUR, "era").withColumn("coverage", r6(F.col("coverage")))
+
+
+@query(E_SQL + " SELECT key, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS period, round(avg(CASE WHEN value IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, count(*) AS slots FROM e GROUP BY 1, 2")
+def coverage_by_period(spark, sf_dir):
+    return studies.coverage_by_period(hourly(spark, sf_dir), ["key"], "value", "yyyy-MM-dd").withColumn("share", r6(F.col("share")))
+
+
+@query("""SELECT l_returnflag, channel, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS low, round(quantile_cont(v, 0.5), 6) AS median, max(v) AS high
+FROM (SELECT l_returnflag, 'l_quantity' AS channel, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, 'l_discount', l_discount FROM lineitem) GROUP BY 1, 2""")
+def summary_by_group(spark, sf_dir):
+    out = studies.summary_by_group(read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount"), ["l_returnflag"], ["l_quantity", "l_discount"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("mean", "sd", "median")})
+
+
+ANOMALY_SQL = O_SQL + """, oa AS (SELECT *, month(make_timestamp(t * 1000000)) AS m, day(make_timestamp(t * 1000000)) AS d FROM o), ob AS (SELECT key, m, d, avg(value) AS reference FROM oa WHERE t <= 883612799 GROUP BY 1, 2, 3)
+SELECT oa.key, t, value, round(reference, 6) AS reference, round(value - reference, 6) AS anomaly FROM oa LEFT JOIN ob ON oa.key = ob.key AND oa.m = ob.m AND oa.d = ob.d WHERE t BETWEEN 890000000 AND 900000000"""
+
+
+@query(ANOMALY_SQL)
+def climatology_anomaly(spark, sf_dir):
+    out = studies.climatology_anomaly(daily_orders(spark, sf_dir), ["key"], "value", 890000000, 900000000, 883612799)
+    return out.withColumns({c: r6(F.col(c)) for c in ("reference", "anomaly")})
+
+
+@query(E_SQL + " SELECT key, strftime(make_timestamp(t * 1000000), '%Y-%m') AS month, count(*) AS n, min(value) AS low, count(DISTINCT t // 86400) AS days FROM e WHERE value < 20 GROUP BY 1, 2")
+def excursions_by_month(spark, sf_dir):
+    return studies.excursions_by_month(hourly(spark, sf_dir), ["key"], "value", 20.0)
+
+
+@query(E_SQL + " SELECT key, t // 86400 AS day, max(value) AS peak, round((min(t) FILTER (value > 50) + max(t) FILTER (value > 50) - 2 * (t // 86400) * 86400) / 7200.0::DOUBLE, 6) AS midpoint_h FROM e GROUP BY key, t // 86400 HAVING max(value) >= 100")
+def lit_midpoint(spark, sf_dir):
+    return studies.lit_midpoint(hourly(spark, sf_dir), ["key"], "value", 50.0, 100.0).withColumn("midpoint_h", r6(F.col("midpoint_h")))
+
+
+@query(P_SQL + """, mm AS (SELECT var_samp(y) AS va, var_samp(x) AS vb, covar_samp(y, x) AS cab FROM p WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT c::DOUBLE AS coefficient, round(va - 2 * c * cab + c * c * vb, 5) AS variance, round(abs((cab - c * vb) / sqrt((va - 2 * c * cab + c * c * vb) * vb)), 6) AS abs_r FROM mm, (VALUES (-1.0::DOUBLE), (-0.5), (0.0), (0.5), (1.0)) v(c)""")
+def coefficient_sweep(spark, sf_dir):
+    out = studies.coefficient_sweep(pair(spark, sf_dir), "y", "x", [-1.0, -0.5, 0.0, 0.5, 1.0])
+    return out.withColumns({"variance": F.round("variance", 5), "abs_r": r6(F.col("abs_r"))})
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM lineitem" for i, a in enumerate(("l_quantity", "l_extendedprice", "l_tax")) for b in ("l_quantity", "l_extendedprice", "l_tax")[i:]))
+def correlation_matrix(spark, sf_dir):
+    return studies.correlation_matrix(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]).withColumn("r", r6(F.col("r")))
+
+
+@query(S_SQL + " SELECT season, count(*) AS n, round(avg(y - x), 3) AS bias, round(stddev_samp(y - x), 3) AS sd, round(avg(y - x) - 1.96 * stddev_samp(y - x), 3) AS low, round(avg(y - x) + 1.96 * stddev_samp(y - x), 3) AS high FROM s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY season")
+def bland_altman(spark, sf_dir):
+    out = studies.bland_altman(sources(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull()), "x", "y", ["season"])
+    return out.withColumns({c: F.round(c, 3) for c in ("bias", "sd", "low", "high")})
+
+
+@query(U_SQL + SEG_SQL.format("u", 21600, 1) + """, n AS (SELECT DISTINCT key, segment, length FROM seg)
+SELECT p::INTEGER AS lag, h::INTEGER AS horizon, sum(greatest(length - (p + h) + 1, 0))::BIGINT AS windows FROM n, (VALUES (1), (2)) a(p), (VALUES (1), (3)) b(h) GROUP BY 1, 2""")
+def segment_survival(spark, sf_dir):
+    seg = islands.contiguous_segments(by_user(spark, sf_dir), ["key"], ["value"], 6 * HOUR, 1).select("key", "segment", "length").distinct()
+    return studies.segment_survival(seg, [1, 2], [1, 3])
+
+
+@query()
+def couple_strata(spark, sf_dir):
+    strata = {"all": F.lit(True), "first_half": F.col("t") < 1705400000}
+    return studies.couple(pair(spark, sf_dir).drop("key"), "y", ["x"], [0, 1, 2], [0.0, 4.0], strata)
+
+
+@query()
+def gain_stability(spark, sf_dir):
+    return studies.gain_stability(pair(spark, sf_dir), ["key"], "y", "x", "yyyy-MM", 6)
+
+
+@query()
+def fault_register(spark, sf_dir):
+    return studies.fault_register(pair(spark, sf_dir), ["key"], "y", ["x"], 4.0)
+
+
+@query()
+def fill_benchmark(spark, sf_dir):
+    return studies.fill_benchmark(hourly(spark, sf_dir), ["key"], "value", [1, 3], 10)
+
+
+@query()
+def harmonic_fit(spark, sf_dir):
+    return studies.harmonic_fit(hourly(spark, sf_dir), ["key"], "value", [12.0, 24.0])
+
+
+@query()
+def detectability(spark, sf_dir):
+    return studies.detectability(referenced(spark, sf_dir), ["key"], "value", [0.0, 20.0, 60.0], 1705276800)
+
+
+@query()
+def cadence_evidence(spark, sf_dir):
+    return studies.cadence_evidence(events(spark, sf_dir).select(F.col("event_type").alias("key"), "t", "value"), ["key"], "value", [HOUR, 6 * HOUR])
+
+
+@query()
+def seasonal_fill(spark, sf_dir):
+    return studies.seasonal_fill(hourly(spark, sf_dir), ["key"], "value").select("key", "t", "filled")
