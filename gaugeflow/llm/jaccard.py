@@ -377,7 +377,7 @@ def common_shingles(survey: DataFrame, most: int = COMMON_KEPT) -> tuple[np.ndar
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, n_shingles, component_id) of every row of ``docs``."""
+    """(row_key, doc_id, n_shingles, component_id, component) of every row of ``docs``; component is null without words."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     survey = stash(texts.mapInArrow(_survey, NODES), "survey")
@@ -387,17 +387,17 @@ def link(docs: DataFrame) -> DataFrame:
     found = stash(components(node_links(texts, nodes, common)), "components")
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "component").distinct().join(least, "component").select("node", "component_id")
+    by_node = named.select("node", "component").distinct().join(least, "component")
     out = rows.join(by_node, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("row_key", "doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return out.select("row_key", "doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "component")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id (and then row key); texts without words all stay once per row."""
     keyed = docs.withColumn("__key", F.xxhash64(*[F.col(c) for c in docs.columns]))
     rows = link(docs)
-    first = rows.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("row_key"))).alias("m")).select(F.col("m.row_key").alias("row_key"))
+    first = rows.where(F.col("n_shingles") > 0).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("row_key"))).alias("m")).select(F.col("m.row_key").alias("row_key"))
     gone = rows.where(F.col("n_shingles") > 0).select("row_key").distinct().join(first, "row_key", "left_anti").withColumnRenamed("row_key", "__key")
     kept = keyed.join(gone, "__key", "left_anti")
     return kept.dropDuplicates(["__key"]).drop("__key")

@@ -70,9 +70,9 @@ def test_empty_table(spark):
 
 
 def test_one_of_each_keeps_the_smallest(spark):
-    rows = [(3, "a b c d e f", 0, "x"), (2, "A b c d e f", 0, "x"), (5, "", 0, "x"), (6, None, 0, "x"), (7, "other words entirely", 0, "x")]
+    rows = [(3, "a b c d e f", 0, "x"), (2, "A b c d e f", 0, "x"), (5, "", 0, "x"), (6, None, 0, "x"), (7, "other words entirely", 0, "x"), (None, "no id here", 0, "x"), (None, "nor has this", 0, "x")]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, DOCS))
-    assert kept.columns == ["doc_id", "text", "node", "n"] and sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 7]
+    assert kept.columns == ["doc_id", "text", "node", "n"] and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "6", "7", "None", "None"]
 
 
 def test_shared_is_the_same_however_rows_are_batched():
