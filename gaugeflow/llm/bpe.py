@@ -126,27 +126,30 @@ def _encode(definition: str, piece):
         for batch in batches:
             found = batch.column(0)
             rows = _encoded(tokenizer, found.to_pylist(), piece.value)
-            yield pa.RecordBatch.from_arrays([found, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["word", "n", "ids", "decoded"])
+            decoded = [None if r[2] == w.encode() else r[2] for w, r in zip(found.to_pylist(), rows)]
+            yield pa.RecordBatch.from_arrays([found, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(decoded, pa.binary())], names=["word", "n", "ids", "decoded"])
 
     return encode
 
 
 def word_table(texts: DataFrame, definition: str, special: list[str], piece) -> DataFrame:
-    """(word, n, ids, decoded): the words that several rows of ``texts`` hold, each encoded once; ids as text."""
+    """(word, n, ids, decoded): the words that several rows of ``texts`` hold, each encoded once; ids as text.
+
+    decoded is what the pieces of the ids join to, null where that is the word itself.
+    """
     each = texts.select(F.explode(F.array_distinct(words(F.col("text"), special, newest_pattern(definition)))).alias("word"))
     shared = each.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("word")
     return shared.mapInArrow(_encode(definition, piece), "word string, n int, ids binary, decoded binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of byte strings for each batch of the word table: hashes, counts, ids and decoded bytes with their lengths."""
+    """A row of byte strings for each batch of the word table: hashes, counts, lengths and bytes of the ids; which words decode to something else, and to what."""
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        parts = [hash_spans(data, offsets[:-1], offsets[1:]).tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()]
-        for column in (batch.column(2), batch.column(3)):
-            cells = column.to_pylist()
-            parts += [np.array([len(c) for c in cells], np.int32).tobytes(), b"".join(cells)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=list("abcdef"))
+        ids, decoded = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        other = [(i, d) for i, d in enumerate(decoded) if d is not None]
+        parts = [hash_spans(data, offsets[:-1], offsets[1:]).tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), np.array([len(c) for c in ids], np.int32).tobytes(), b"".join(ids), json.dumps([[i, d.hex()] for i, d in other]).encode()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=list("abcde"))
 
 
 class Ragged:
@@ -180,11 +183,13 @@ class WordLookup:
     """Words to what they are encoded to, by an open hash table in two arrays."""
 
     def __init__(self, packed: list[tuple]):
-        parts = [[r[i] for r in packed] for i in range(6)]
+        parts = [[r[i] for r in packed] for i in range(5)]
         keys = np.frombuffer(b"".join(parts[0]), np.uint64)
         self.unique = len(np.unique(keys)) == len(keys)
         self.counts = np.frombuffer(b"".join(parts[1]), np.int32)
-        self.ids, self.decoded = (Ragged(np.frombuffer(b"".join(parts[i]), np.int32), np.frombuffer(b"".join(parts[i + 1]), np.uint8)) for i in (2, 4))
+        self.ids = Ragged(np.frombuffer(b"".join(parts[2]), np.int32), np.frombuffer(b"".join(parts[3]), np.uint8))
+        before = np.cumsum([0, *[len(k) // 8 for k in parts[0]]]).tolist()
+        self.other = {start + i: bytes.fromhex(d) for start, cells in zip(before, parts[4]) for i, d in json.loads(cells)}
         bits = max(4, int(np.ceil(np.log2(1.5 * len(keys) + 1))))
         self.mask = np.uint64((1 << bits) - 1)
         self.slot_key, self.slot_row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -252,11 +257,19 @@ def _map_side(lookup, definition: str, piece, words_at_once: int = 50_000):
                 counts[row >= 0] = table.counts[row[row >= 0]]
                 counts[new] = [m[0] for m in more]
                 ids, id_ends = table.ids.joined(row, [m[1] for m in more], new)
-                decoded, ends = table.decoded.joined(row, [m[2] for m in more], new)
+                other = {int(p): m[2] for p, w, m in zip(new, own, more) if m[2] != w.encode()}
+                if table.other:
+                    other |= {p: table.other[r] for p, r in enumerate(row.tolist()) if r in table.other}
                 cut = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
                 at = lambda x, cut=cut: np.concatenate([[0], x])[cut].tolist()
-                n, a, b = at(np.cumsum(counts)), at(id_ends), at(ends)
-                yield _result(batch.column(0), [(n[i + 1] - n[i], hashlib.sha256(ids[a[i] : max(a[i], a[i + 1] - 1)]).hexdigest(), _text_sha(decoded[b[i] : b[i + 1]])) for i in range(batch.num_rows)])
+                n, a = at(np.cumsum(counts)), at(id_ends)
+                out = []
+                for i in range(batch.num_rows):
+                    first, last = int(cut[i]), int(cut[i + 1])
+                    odd = [p for p in other if first <= p < last]
+                    decoded = data[offsets[first] : offsets[last]].tobytes() if not odd else b"".join(other.get(p, data[offsets[p] : offsets[p + 1]].tobytes()) for p in range(first, last))
+                    out.append((n[i + 1] - n[i], hashlib.sha256(ids[a[i] : max(a[i], a[i + 1] - 1)]).hexdigest(), _text_sha(decoded)))
+                yield _result(batch.column(0), out)
 
     return run
 
@@ -269,9 +282,9 @@ def _joined(definition: str, piece):
         for batch in batches:
             out = []
             for cells in batch.column(1).to_pylist():
-                own = list(dict.fromkeys(c["word"] for c in cells or [] if c["word"] is not None))
+                own = list(dict.fromkeys(c["word"] for c in cells or [] if c["n"] is None))
                 known = dict(zip(own, _encoded(tokenizer, own, pieces_)))
-                parts = [(c["n"], c["ids"], c["decoded"]) if c["word"] is None else known[c["word"]] for c in cells or []]
+                parts = [known[c["word"]] if c["n"] is None else (c["n"], c["ids"], c["word"].encode() if c["decoded"] is None else c["decoded"]) for c in cells or []]
                 out.append((sum(p[0] for p in parts), hashlib.sha256(b"".join(p[1] for p in parts)[:-1]).hexdigest(), _text_sha(b"".join(p[2] for p in parts))))
             yield _result(batch.column(0), out)
 
@@ -283,7 +296,7 @@ def by_position(texts: DataFrame, table: DataFrame, definition: str, special: li
     rows = stash(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     placed = rows.select("row", F.posexplode(words(F.col("text"), special, newest_pattern(definition))).alias("place", "word"))
     joined = placed.join(table, "word", "left")
-    cell = F.struct("place", "n", "ids", "decoded", F.when(F.col("n").isNull(), F.col("word")).alias("word"))
+    cell = F.struct("place", "n", "ids", "decoded", "word")
     cells = joined.groupBy("row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return rows.select("row", "doc_id").join(cells, "row", "left").select("doc_id", "cells")
 
@@ -296,7 +309,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, broadcast_words: int = B
     piece = spark.sparkContext.broadcast(pieces(definition))
     table = stash(word_table(texts, definition, special, piece), "words")
     if table.count() <= broadcast_words:
-        lookup = WordLookup([tuple(r) for r in table.mapInArrow(_packed, ", ".join(f"{c} binary" for c in "abcdef")).collect()])
+        lookup = WordLookup([tuple(r) for r in table.mapInArrow(_packed, ", ".join(f"{c} binary" for c in "abcde")).collect()])
         if lookup.unique:
             shared = spark.sparkContext.broadcast(lookup)
             split = texts.select("doc_id", words(F.col("text"), special, newest_pattern(definition)).alias("words"))
