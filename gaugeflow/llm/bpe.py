@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,10 @@ def pieces(definition: str) -> list[bytes]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
 def _tokenizer(definition: str) -> Tokenizer:
+    """Read once in each Python worker; a task has one core, so the library's own threads stay off."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_truncation()
     tokenizer.no_padding()
