@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words (the tokenizer's own pattern, special tokens first) by Spark; every
-distinct word is encoded once: words of several documents in a table, a word that only one document
-has where it stands. Ids are joined back at each word's position; decoding joins ids to
+distinct word is encoded once: words of several different texts in a table, a word that only one text
+has where it stands (in each copy of it). Ids are joined back at each word's position; decoding joins ids to
 their pieces. The word table is matched on the map side while it is within ``BROADCAST_WORDS`` rows
 (its measured size, some 40 MB at most); a larger one is joined by shuffling words with their
 positions. Both ways give the same ids.
@@ -137,12 +137,13 @@ def _encode(definition: str, piece):
 
 
 def word_table(texts: DataFrame, definition: str, special: list[str], piece) -> DataFrame:
-    """(word, n, ids, decoded): the words that several rows of ``texts`` hold, each encoded once; ids as text.
+    """(word, n, ids, decoded): the words that several different texts hold, each encoded once; ids as text.
 
-    decoded is what the pieces of the ids join to, null where that is the word itself.
+    decoded is what the pieces of the ids join to, null where that is the word itself. Copies of a text count as one, so
+    that repeats (of a mix, say) don't grow the table; texts whose hashes meet only leave a word to be encoded in its place.
     """
-    each = texts.select(F.explode(F.array_distinct(words(F.col("text"), special, newest_pattern(definition)))).alias("word"))
-    shared = each.groupBy("word").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("word")
+    each = texts.select(F.hash("text").alias("of"), F.explode(F.array_distinct(words(F.col("text"), special, newest_pattern(definition)))).alias("word"))
+    shared = each.groupBy("word").agg(F.min("of").alias("low"), F.max("of").alias("high")).where(F.col("low") < F.col("high")).select("word")
     return shared.mapInArrow(_encode(definition, piece), "word string, n int, ids binary, decoded binary")
 
 
