@@ -1,34 +1,38 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words (the tokenizer's own pattern, special tokens first) by Spark; every
-distinct word is encoded once: words of several different texts in a table, a word that only one text
-has where it stands (in each copy of it). Ids are joined back at each word's position; decoding joins ids to
-their pieces. The word table is matched on the map side while it is within ``BROADCAST_WORDS`` rows
-(its measured size, some 40 MB at most); a larger one is joined by shuffling words with their
-positions. Both ways give the same ids.
+Spark splits every text once into words (the tokenizer's own pattern, special tokens first). Successive
+documents form a block of ``BLOCK_WORDS`` words (or one longer document); a block lists its distinct words,
+and the place of each word of each text in that list. The words of all blocks meet in one shuffle by word, so that each
+distinct word is encoded once; its ids are joined to the table of id and piece, which decodes it; both go
+back to the places of the blocks that use the word, where texts get their ids and their decoded text by position.
+All joins compare words, ids and places themselves. The way is the same at every size: a shuffle carries a
+frequent word once per block, and the table of pieces, the only thing that is broadcast, is as large as the vocabulary.
+
+Blocks are written as a table that is bucketed by block, so that they aren't shuffled again.
 
 Null texts count as empty and have no ids. Rows may repeat or share ids: they are told apart by
-their place in the table. Further columns are ignored. Empty input gives empty output.
+their place in the table. Null ids stay null. Further columns are ignored. Empty input gives empty output.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeflow.llm.common import stash, text_or_empty
-from gaugeflow.llm.textgrid import hash_spans, utf8
+from gaugeflow.llm.common import n_partitions, scratch_path, text_or_empty
 
-BROADCAST_WORDS = 1_500_000
+#: Words of a block, unless one document has more: bounds what a task holds.
+BLOCK_WORDS = 2_000_000
 #: White space of the tokenizer's pattern, as ranges of code points (fixed values of the Unicode standard).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Code points beyond this are no letters or numbers in any published version of the standard.
@@ -116,207 +120,150 @@ def _tokenizer(definition: str) -> Tokenizer:
     return tokenizer
 
 
-def _encoded(tokenizer: Tokenizer, some: list[str], piece: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-    """Of each word: how many ids, the ids as text (a comma after each), and the bytes that they decode to."""
-    out = []
-    for e in tokenizer.encode_batch(some, add_special_tokens=False):
-        out.append((len(e.ids), "".join([f"{i}," for i in e.ids]).encode(), b"".join([piece[i] for i in e.ids])))
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2**28 as one to four bytes each, seven bits a byte, the last byte of each below 128."""
+    more = [values >= 1 << 7 * k for k in (1, 2, 3)]
+    length = 1 + sum(m.astype(np.int64) for m in more)
+    start = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.uint8)
+    for k in range(4):
+        rows = slice(None) if k == 0 else more[k - 1]
+        v, n = values[rows], length[rows]
+        out[start[rows] + k] = (v >> 7 * k & 127) | np.where(n > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for k in range(4):
+        rows = starts + k <= ends
+        out[rows] |= (raw[starts[rows] + k].astype(np.int64) & 127) << 7 * k
     return out
 
 
-def _encode(definition: str, piece):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(definition)
+BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, places binary, words array<string>"
+
+
+def _blocks(block_words: int):
+    """Rows (row, doc_id, words) to blocks: the distinct words of successive documents, commonest first, and the place of each word of each text among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(0)
-            rows = _encoded(tokenizer, found.to_pylist(), piece.value)
-            decoded = [None if r[2] == w.encode() else r[2] for w, r in zip(found.to_pylist(), rows)]
-            yield pa.RecordBatch.from_arrays([found, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(decoded, pa.binary())], names=["word", "n", "ids", "decoded"])
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(sizes) - 1) // block_words
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if batch.num_rows else []
+            for i, j in zip(cut, [*cut[1:], batch.num_rows]):
+                found = batch.column(2).slice(i, j - i).flatten().dictionary_encode()
+                index = found.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                cells = [[batch.column(0)[i].as_py()], [batch.column(1).slice(i, j - i).to_pylist()], [sizes[i:j].astype(np.int32)], [packed(place[index])]]
+                words_ = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(pa.array(order)))
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cells, kinds)], words_], names=["block", "doc_ids", "sizes", "places", "words"])
+
+    return run
 
-    return encode
 
+def blocks_of(docs: DataFrame, definition: str, special: list[str], block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The blocks of ``docs``, written once to the shared folder as a table bucketed by block. A block is named by the number of its first row."""
+    spark: SparkSession = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(text_or_empty(), special, newest_pattern(definition)).alias("words"))
+    name = f"gaugeflow_blocks_{uuid.uuid4().hex}"
+    out = rows.mapInArrow(_blocks(block_words), BLOCKS).write.option("compression", "zstd").option("path", scratch_path(spark, "bpe-blocks"))
+    out.bucketBy(n_partitions(spark), "block").saveAsTable(name)
+    return spark.table(name)
 
-def word_table(texts: DataFrame, definition: str, special: list[str], piece) -> DataFrame:
-    """(word, n, ids, decoded): the words that several different texts hold, each encoded once; ids as text.
 
-    decoded is what the pieces of the ids join to, null where that is the word itself. Copies of a text count as one, so
-    that repeats (of a mix, say) don't grow the table; texts whose hashes meet only leave a word to be encoded in its place.
-    """
-    each = texts.select(F.hash("text").alias("of"), F.explode(F.array_distinct(words(F.col("text"), special, newest_pattern(definition)))).alias("word"))
-    shared = each.groupBy("word").agg(F.min("of").alias("low"), F.max("of").alias("high")).where(F.col("low") < F.col("high")).select("word")
-    return shared.mapInArrow(_encode(definition, piece), "word string, n int, ids binary, decoded binary")
+def _encode(definition: str):
+    """Rows (word, block, place) in order of word to a row per distinct word of a batch: its ids and the places that use it. A word that goes on in the next batch keeps its ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, last, held = _tokenizer(definition), None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run = pc.run_end_encode(batch.column(0))
+            distinct, ends = run.values.to_pylist(), run.run_ends.to_numpy(zero_copy_only=False)
+            known = distinct[0] == last
+            ids = [held] if known else []
+            ids += [e.ids for e in tokenizer.encode_batch_fast(distinct[int(known) :], add_special_tokens=False)]
+            last, held = distinct[-1], ids[-1]
+            uses = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["block", "place"]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), uses], names=["ids", "uses"])
+
+    return encode
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of byte strings for each batch of the word table: hashes, counts, lengths and bytes of the ids; which words decode to something else, and to what."""
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, code, piece, uses), the ids of a word one after the other, to (codes, decoded, uses) of each word."""
+    held = None
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
-        ids, decoded = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        other = [(i, d) for i, d in enumerate(decoded) if d is not None]
-        parts = [hash_spans(data, offsets[:-1], offsets[1:]).tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), np.array([len(c) for c in ids], np.int32).tobytes(), b"".join(ids), json.dumps([[i, d.hex()] for i, d in other]).encode()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=list("abcde"))
-
-
-class Ragged:
-    """Byte strings of different lengths in one array, found by where each begins."""
-
-    def __init__(self, lengths: np.ndarray, data: np.ndarray):
-        ends = np.cumsum(lengths, dtype=np.int64)
-        self.bounds = np.concatenate([[0], ends]).astype(np.int32 if len(data) < 1 << 31 else np.int64)
-        self.data = data
-
-    def joined(self, rows: np.ndarray, more: list[bytes], new: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The strings of ``rows`` one after the other (those at ``new`` are ``more``), and where each ends."""
-        lengths, starts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        old = np.flatnonzero(rows >= 0)
-        starts[old] = self.bounds[rows[old]]
-        lengths[old] = self.bounds[rows[old] + 1] - starts[old]
-        lengths[new] = np.array([len(m) for m in more], np.int64)
-        ends = np.cumsum(lengths)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-        place = np.arange(len(out)) + np.repeat(starts - (ends - lengths), lengths)
-        if len(new):
-            fresh = np.repeat(rows < 0, lengths)
-            out[~fresh] = self.data[place[~fresh]]
-            out[fresh] = np.frombuffer(b"".join(more), np.uint8)
-        else:
-            out[:] = self.data[place]
-        return out.tobytes(), ends
-
-
-class WordLookup:
-    """Words to what they are encoded to, by an open hash table in two arrays."""
-
-    def __init__(self, packed: list[tuple]):
-        parts = [[r[i] for r in packed] for i in range(5)]
-        keys = np.frombuffer(b"".join(parts[0]), np.uint64)
-        self.unique = len(np.unique(keys)) == len(keys)
-        self.counts = np.frombuffer(b"".join(parts[1]), np.int32)
-        self.ids = Ragged(np.frombuffer(b"".join(parts[2]), np.int32), np.frombuffer(b"".join(parts[3]), np.uint8))
-        before = np.cumsum([0, *[len(k) // 8 for k in parts[0]]]).tolist()
-        self.other = {start + i: bytes.fromhex(d) for start, cells in zip(before, parts[4]) for i, d in json.loads(cells)}
-        bits = max(4, int(np.ceil(np.log2(1.5 * len(keys) + 1))))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slot_key, self.slot_row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        rest, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
-        while len(rest):  # each free slot takes one of the words that want it
-            free = self.slot_row[at] < 0
-            self.slot_row[at[free]] = rest[free]
-            lost = self.slot_row[at] != rest
-            rest, at = rest[lost], (at[lost] + 1) & int(self.mask)
-        held = self.slot_row >= 0
-        self.slot_key[held] = keys[self.slot_row[held]]
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each word in the table, or -1."""
-        at = (keys & self.mask).astype(np.int64)
-        row = self.slot_row[at]
-        found = np.where(self.slot_key[at] == keys, row, -1)
-        rest = np.flatnonzero((found < 0) & (row >= 0))
-        at = at[rest]
-        while len(rest):
-            at = (at + 1) & int(self.mask)
-            row, hit = self.slot_row[at], self.slot_key[at] == keys[rest]
-            hit &= row >= 0
-            found[rest[hit]] = row[hit]
-            more = ~hit & (row >= 0)
-            rest, at = rest[more], at[more]
-        return found
-
-
-def _text_sha(decoded: bytes) -> str:
-    """Of the decoded text: what isn't UTF-8 is replaced."""
-    try:
-        decoded.decode()
-    except UnicodeDecodeError:
-        decoded = decoded.decode("utf-8", "replace").encode()
-    return hashlib.sha256(decoded).hexdigest()
-
-
-_NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-_OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def _result(doc_id: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=_NAMES)
-
-
-def _map_side(lookup, definition: str, piece, words_at_once: int = 50_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, tokenizer, pieces_ = lookup.value, _tokenizer(definition), piece.value
-        for whole in batches:
-            sizes = whole.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            part = (np.cumsum(sizes, dtype=np.int64) - 1) // words_at_once
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if whole.num_rows else []
-            for start, end in zip(starts, [*starts[1:], whole.num_rows]):
-                batch = whole.slice(start, end - start)
-                cells = batch.column(1)
-                flat = cells.flatten()
-                data, offsets = utf8(flat)
-                row = table(hash_spans(data, offsets[:-1], offsets[1:]))
-                new = np.flatnonzero(row < 0)
-                own = flat.take(pa.array(new)).to_pylist()
-                known = dict(zip(dict.fromkeys(own), _encoded(tokenizer, list(dict.fromkeys(own)), pieces_)))
-                more = [known[w] for w in own]
-                counts = np.zeros(len(row), np.int64)
-                counts[row >= 0] = table.counts[row[row >= 0]]
-                counts[new] = [m[0] for m in more]
-                ids, id_ends = table.ids.joined(row, [m[1] for m in more], new)
-                other = {int(p): m[2] for p, w, m in zip(new, own, more) if m[2] != w.encode()}
-                if table.other:
-                    other |= {p: table.other[r] for p, r in enumerate(row.tolist()) if r in table.other}
-                cut = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-                at = lambda x, cut=cut: np.concatenate([[0], x])[cut].tolist()
-                n, a = at(np.cumsum(counts)), at(id_ends)
-                out = []
-                for i in range(batch.num_rows):
-                    first, last = int(cut[i]), int(cut[i + 1])
-                    odd = [p for p in other if first <= p < last]
-                    decoded = data[offsets[first] : offsets[last]].tobytes() if not odd else b"".join(other.get(p, data[offsets[p] : offsets[p + 1]].tobytes()) for p in range(first, last))
-                    out.append((n[i + 1] - n[i], hashlib.sha256(ids[a[i] : max(a[i], a[i + 1] - 1)]).hexdigest(), _text_sha(decoded)))
-                yield _result(batch.column(0), out)
+        rows = pa.concat_batches([held, batch]) if held is not None else batch
+        first = np.flatnonzero(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False) == 0)
+        if not len(first):
+            continue
+        held = rows.slice(int(first[-1]))
+        yield _runs(rows.slice(0, int(first[-1])), first)
+    if held is not None:
+        yield _runs(held, np.array([0, held.num_rows]))
 
-    return run
 
+def _runs(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+    codes, decoded = (pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(i).fill_null(b"")), b"") for i in (1, 2))
+    return pa.RecordBatch.from_arrays([codes, decoded, rows.column(3).take(pa.array(bounds[:-1]))], names=["codes", "decoded", "uses"])
 
-def _joined(definition: str, piece):
-    """Digests of rows of encoded words in order of place; words without a table row are encoded here."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pieces_ = _tokenizer(definition), piece.value
-        for batch in batches:
-            out = []
-            for cells in batch.column(1).to_pylist():
-                own = list(dict.fromkeys(c["word"] for c in cells or [] if c["n"] is None))
-                known = dict(zip(own, _encoded(tokenizer, own, pieces_)))
-                parts = [known[c["word"]] if c["n"] is None else (c["n"], c["ids"], c["word"].encode() if c["decoded"] is None else c["decoded"]) for c in cells or []]
-                out.append((sum(p[0] for p in parts), hashlib.sha256(b"".join(p[1] for p in parts)[:-1]).hexdigest(), _text_sha(b"".join(p[2] for p in parts))))
-            yield _result(batch.column(0), out)
+def piece_table(spark: SparkSession, definition: str) -> DataFrame:
+    """(id, code, piece): the bytes that each id stands for; code is the id as four bytes."""
+    return spark.createDataFrame([(i, i.to_bytes(4, "little"), p) for i, p in enumerate(pieces(definition))], "id int, code binary, piece binary")
 
-    return run
 
+def word_codes(blocks: DataFrame, definition: str) -> DataFrame:
+    """(block, place, codes, decoded): the ids of every word of every block and the bytes they decode to. Each distinct word is encoded and decoded once.
 
-def by_position(texts: DataFrame, table: DataFrame, definition: str, special: list[str]) -> DataFrame:
-    """(doc_id, cells): what each word is encoded to, in order, by joining words with their places to the word table."""
-    rows = stash(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-    placed = rows.select("row", F.posexplode(words(F.col("text"), special, newest_pattern(definition))).alias("place", "word"))
-    joined = placed.join(table, "word", "left")
-    cell = F.struct("place", "n", "ids", "decoded", "word")
-    cells = joined.groupBy("row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return rows.select("row", "doc_id").join(cells, "row", "left").select("doc_id", "cells")
+    The join to the pieces is a broadcast join, so the ids of a word stay one after the other.
+    """
+    used = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
+    encoded = used.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(definition), "ids array<int>, uses array<struct<block:bigint,place:int>>")
+    each = encoded.select("uses", F.posexplode_outer("ids").alias("at", "id")).select("id", "at", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("uses")).alias("uses"))
+    joined = each.join(F.broadcast(piece_table(blocks.sparkSession, definition)), "id", "left").select("at", "code", "piece", "uses")
+    decoded = joined.mapInArrow(_decoded, "codes binary, decoded binary, uses array<struct<block:bigint,place:int>>")
+    return decoded.select(F.explode("uses").alias("use"), "codes", "decoded").select("use.block", "use.place", "codes", "decoded")
+
+
+def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
+    """The documents of a block: ids and decoded text by position."""
+    place = found["place"].to_numpy()
+    n_words = len(place)
+    if block.num_rows != 1 or len(np.unique(place)) != n_words:
+        raise ValueError("a block and its words must meet once")
+    codes, decoded = np.empty(n_words, object), np.empty(n_words, object)
+    codes[place], decoded[place] = found["codes"].to_pylist(), found["decoded"].to_pylist()
+    places, ids, texts, at = unpacked(block["places"][0].as_py()), [], [], 0
+    for size in block["sizes"][0].as_py():
+        own = places[at : at + size]
+        ids.append(np.frombuffer(b"".join(codes[own]), np.int32))
+        texts.append(b"".join(decoded[own]).decode("utf-8", "replace"))
+        at += size
+    columns = [pa.array(block["doc_ids"][0].as_py(), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+    return pa.Table.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of ``docs``: token ids and the text that they decode to."""
+    definition, special = read_vocabulary(vocabulary)
+    blocks = blocks_of(docs, definition, special, block_words)
+    codes = word_codes(blocks, definition)
+    rows = blocks.select("block", "doc_ids", "sizes", "places")
+    return rows.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``."""
-    spark: SparkSession = docs.sparkSession
-    definition, special = read_vocabulary(vocabulary)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    piece = spark.sparkContext.broadcast(pieces(definition))
-    table = stash(word_table(texts, definition, special, piece), "words")
-    if table.count() <= broadcast_words:
-        lookup = WordLookup([tuple(r) for r in table.mapInArrow(_packed, ", ".join(f"{c} binary" for c in "abcde")).collect()])
-        if lookup.unique:
-            shared = spark.sparkContext.broadcast(lookup)
-            split = texts.select("doc_id", words(F.col("text"), special, newest_pattern(definition)).alias("words"))
-            return split.mapInArrow(_map_side(shared, definition, piece), _OUT)
-    return by_position(texts, table, definition, special).mapInArrow(_joined(definition, piece), _OUT)
+    out = encode_and_decode(docs, vocabulary, **options)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -32,7 +32,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 @query

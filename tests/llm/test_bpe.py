@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -22,15 +23,27 @@ def expected():
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [bpe.BROADCAST_WORDS, 0])
-def test_same_as_the_library(spark, limit):
+@pytest.mark.parametrize("block_words", [bpe.BLOCK_WORDS, 7])
+def test_same_as_the_library(spark, block_words):
     docs = spark.createDataFrame([(i % 14, t, "z") for i, t in enumerate(TEXTS)], "doc_id long, text string, word string")
-    assert sorted(tuple(r) for r in bpe.encode_and_decode(docs, PATH, limit).collect()) == expected()
+    assert sorted(tuple(r) for r in bpe.digests(docs, PATH, block_words=block_words).collect()) == expected()
 
 
-@pytest.mark.parametrize("limit", [bpe.BROADCAST_WORDS, 0])
-def test_empty_table(spark, limit):
-    assert bpe.encode_and_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, limit).collect() == []
+def test_numbers_survive_packing():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.integers(0, 1 << b, 50) for b in range(1, 29)] + [np.array([0, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1])])
+    assert (bpe.unpacked(bpe.packed(values)) == values).all()
+    assert len(bpe.unpacked(bpe.packed(np.zeros(0, np.int64)))) == 0
+
+
+def test_ids_and_text_themselves(spark):
+    docs = spark.createDataFrame([(1, "a word, a word"), (2, None)], "doc_id long, text string")
+    t = Tokenizer.from_file(PATH)
+    assert sorted(map(tuple, bpe.encode_and_decode(docs, PATH).collect())) == [(1, t.encode("a word, a word").ids, "a word, a word"), (2, [], "")]
+
+
+def test_empty_table(spark):
+    assert bpe.encode_and_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
 def test_words_join_to_the_text(spark):
