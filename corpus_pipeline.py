@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
-    return bpe.encode_and_decode(docs, vocabulary_path())
+    return bpe.digests(docs, vocabulary_path())
 
 
 STAGES = [
