@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from gaugeflow.llm.common import n_partitions, scratch_path, text_or_empty
 
 #: Words of a block, unless one document has more: bounds what a task holds.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 8_000_000
 #: White space of the tokenizer's pattern, as ranges of code points (fixed values of the Unicode standard).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Code points beyond this are no letters or numbers in any published version of the standard.
@@ -120,8 +120,15 @@ def _tokenizer(definition: str) -> Tokenizer:
     return tokenizer
 
 
+PACKED_AT_ONCE = 1 << 20
+
+
 def packed(values: np.ndarray) -> bytes:
     """Numbers below 2**28 as one to four bytes each, seven bits a byte, the last byte of each below 128."""
+    return b"".join(_packed(values[i : i + PACKED_AT_ONCE]) for i in range(0, len(values), PACKED_AT_ONCE))
+
+
+def _packed(values: np.ndarray) -> bytes:
     more = [values >= 1 << 7 * k for k in (1, 2, 3)]
     length = 1 + sum(m.astype(np.int64) for m in more)
     start = np.cumsum(length) - length
@@ -137,10 +144,10 @@ def unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
+    out = np.zeros(len(ends), np.int32)
     for k in range(4):
         rows = starts + k <= ends
-        out[rows] |= (raw[starts[rows] + k].astype(np.int64) & 127) << 7 * k
+        out[rows] |= (raw[starts[rows] + k].astype(np.int32) & 127) << 7 * k
     return out
 
 
@@ -159,7 +166,7 @@ def _blocks(block_words: int):
                 found = batch.column(2).slice(i, j - i).flatten().dictionary_encode()
                 index = found.indices.to_numpy(zero_copy_only=False)
                 order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
-                place = np.empty(len(order), np.int64)
+                place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order))
                 cells = [[batch.column(0)[i].as_py()], [batch.column(1).slice(i, j - i).to_pylist()], [sizes[i:j].astype(np.int32)], [packed(place[index])]]
                 words_ = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(pa.array(order)))
@@ -199,56 +206,93 @@ def _encode(definition: str):
     return encode
 
 
+#: Uses of words that a task gathers before it sends them to their blocks.
+USES_AT_ONCE = 400_000
+SENT = "block long, places binary, counts binary, ids binary, lengths binary, decoded binary"
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, code, piece, uses), the ids of a word one after the other, to (codes, decoded, uses) of each word."""
-    held = None
+    """Rows (at, id, piece, uses), the ids of a word one after the other, to a row for each block of what its words are encoded and decoded to."""
+    held, gathered, n = None, [], 0
     for batch in batches:
         rows = pa.concat_batches([held, batch]) if held is not None else batch
-        first = np.flatnonzero(rows.column(0).fill_null(0).to_numpy(zero_copy_only=False) == 0)
+        first = np.flatnonzero(rows.column(0).to_numpy(zero_copy_only=False) == 0)
         if not len(first):
             continue
         held = rows.slice(int(first[-1]))
-        yield _runs(rows.slice(0, int(first[-1])), first)
+        gathered.append(_uses(rows.slice(0, int(first[-1])), first))
+        n += len(gathered[-1])
+        if n >= USES_AT_ONCE:
+            yield _by_block(gathered)
+            gathered, n = [], 0
     if held is not None:
-        yield _runs(held, np.array([0, held.num_rows]))
+        yield _by_block([*gathered, _uses(held, np.array([0, held.num_rows]))])
+
+
+def _uses(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.Table:
+    """(block, place, ids, decoded) of every use of the words that ``bounds`` part."""
+    ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(1))
+    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(2)), b"")
+    uses = rows.column(3).take(pa.array(bounds[:-1]))
+    word, use = pc.list_parent_indices(uses), uses.flatten()
+    return pa.table({"block": use.field(0), "place": use.field(1), "ids": ids.take(word), "decoded": decoded.take(word)})
 
 
-def _runs(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
-    codes, decoded = (pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(i).fill_null(b"")), b"") for i in (1, 2))
-    return pa.RecordBatch.from_arrays([codes, decoded, rows.column(3).take(pa.array(bounds[:-1]))], names=["codes", "decoded", "uses"])
+def _by_block(gathered: list[pa.Table]) -> pa.RecordBatch:
+    uses = pa.concat_tables(gathered).sort_by([("block", "ascending"), ("place", "ascending")]).combine_chunks()
+    block, out = uses["block"].to_numpy(), []
+    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(block) else []
+    for i, j in zip(cut, [*cut[1:], len(block)]):
+        part = uses.slice(i, j - i)
+        ids, decoded = part["ids"].combine_chunks(), part["decoded"].combine_chunks()
+        numbers = [np.diff(part["place"].to_numpy(), prepend=0), ids.value_lengths().to_numpy(), ids.flatten().to_numpy(), pc.binary_length(decoded).to_numpy()]
+        cells = [packed(x) for x in numbers]
+        out.append((int(block[i]), *cells, b"".join(decoded.to_pylist())))
+    kinds = [pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["block", "places", "counts", "ids", "lengths", "decoded"])
 
 
 def piece_table(spark: SparkSession, definition: str) -> DataFrame:
-    """(id, code, piece): the bytes that each id stands for; code is the id as four bytes."""
-    return spark.createDataFrame([(i, i.to_bytes(4, "little"), p) for i, p in enumerate(pieces(definition))], "id int, code binary, piece binary")
+    """(id, piece): the bytes that each id stands for."""
+    return spark.createDataFrame(list(enumerate(pieces(definition))), "id int, piece binary")
 
 
 def word_codes(blocks: DataFrame, definition: str) -> DataFrame:
-    """(block, place, codes, decoded): the ids of every word of every block and the bytes they decode to. Each distinct word is encoded and decoded once.
+    """Rows of ``SENT``: for words of a block, their places, ids and the bytes they decode to. Each distinct word is encoded and decoded once.
 
     The join to the pieces is a broadcast join, so the ids of a word stay one after the other.
     """
     used = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
     encoded = used.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(definition), "ids array<int>, uses array<struct<block:bigint,place:int>>")
-    each = encoded.select("uses", F.posexplode_outer("ids").alias("at", "id")).select("id", "at", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("uses")).alias("uses"))
-    joined = each.join(F.broadcast(piece_table(blocks.sparkSession, definition)), "id", "left").select("at", "code", "piece", "uses")
-    decoded = joined.mapInArrow(_decoded, "codes binary, decoded binary, uses array<struct<block:bigint,place:int>>")
-    return decoded.select(F.explode("uses").alias("use"), "codes", "decoded").select("use.block", "use.place", "codes", "decoded")
+    each = encoded.select("uses", F.posexplode("ids").alias("at", "id")).select("id", "at", F.when(F.col("at") == 0, F.col("uses")).alias("uses"))
+    joined = each.join(F.broadcast(piece_table(blocks.sparkSession, definition)), "id").select("at", "id", "piece", "uses")
+    return joined.mapInArrow(_decoded, SENT)
+
+
+def _slices(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
 def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block: ids and decoded text by position."""
-    place = found["place"].to_numpy()
+    place, ids_of, text_of = [np.zeros(0, np.int64)], [], []
+    for places, counts, ids, lengths, decoded in zip(*(found[c].to_pylist() for c in ("places", "counts", "ids", "lengths", "decoded"))):
+        place.append(np.cumsum(unpacked(places)))
+        ids_of += _slices(unpacked(ids).tobytes(), 4 * unpacked(counts))
+        text_of += _slices(decoded, unpacked(lengths))
+    place = np.concatenate(place)
     n_words = len(place)
-    if block.num_rows != 1 or len(np.unique(place)) != n_words:
+    if block.num_rows != 1 or len(np.unique(place)) != n_words or (n_words and place.max() != n_words - 1):
         raise ValueError("a block and its words must meet once")
-    codes, decoded = np.empty(n_words, object), np.empty(n_words, object)
-    codes[place], decoded[place] = found["codes"].to_pylist(), found["decoded"].to_pylist()
+    by_place = np.empty((2, n_words), object)
+    by_place[0, place], by_place[1, place] = ids_of, text_of
+    del ids_of, text_of
     places, ids, texts, at = unpacked(block["places"][0].as_py()), [], [], 0
     for size in block["sizes"][0].as_py():
         own = places[at : at + size]
-        ids.append(np.frombuffer(b"".join(codes[own]), np.int32))
-        texts.append(b"".join(decoded[own]).decode("utf-8", "replace"))
+        ids.append(np.frombuffer(b"".join(by_place[0, own]), np.int32))
+        texts.append(b"".join(by_place[1, own]).decode("utf-8", "replace"))
         at += size
     columns = [pa.array(block["doc_ids"][0].as_py(), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
     return pa.Table.from_arrays(columns, names=["doc_id", "ids", "decoded"])
@@ -258,7 +302,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK
     """(doc_id, ids, decoded) of every row of ``docs``: token ids and the text that they decode to."""
     definition, special = read_vocabulary(vocabulary)
     blocks = blocks_of(docs, definition, special, block_words)
-    codes = word_codes(blocks, definition)
+    codes = word_codes(blocks, definition)  # a block with no words at all has none
     rows = blocks.select("block", "doc_ids", "sizes", "places")
     return rows.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
 
