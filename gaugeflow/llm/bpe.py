@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeflow.llm.common import n_partitions, scratch_path, text_or_empty
+from gaugeflow.llm.common import batches_of, n_partitions, scratch_path, text_or_empty
 
 #: Words of a block, unless one document has more: bounds what a task holds.
 BLOCK_WORDS = 8_000_000
+#: Bytes of split texts that go to a worker at once.
+SPLIT_BYTES = 8 << 20
 #: White space of the tokenizer's pattern, as ranges of code points (fixed values of the Unicode standard).
 WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 #: Code points beyond this are no letters or numbers in any published version of the standard.
@@ -157,21 +159,34 @@ BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, places binary, wo
 def _blocks(block_words: int):
     """Rows (row, doc_id, words) to blocks: the distinct words of successive documents, commonest first, and the place of each word of each text among them."""
 
+    def block(row: int, parts: list[tuple]) -> pa.RecordBatch:
+        found = pa.chunked_array([p[2] for p in parts]).unify_dictionaries()
+        index, names = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in found.chunks]), found.chunk(0).dictionary
+        count = np.zeros(len(names), np.int64)
+        for i in range(0, len(index), PACKED_AT_ONCE):
+            count += np.bincount(index[i : i + PACKED_AT_ONCE], minlength=len(names))
+        order = np.argsort(-count, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        doc_ids, sizes = pa.chunked_array([p[0] for p in parts]).combine_chunks(), np.concatenate([p[1] for p in parts]).astype(np.int32)
+        listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (doc_ids, pa.array(sizes), names.take(pa.array(order)))]
+        return pa.RecordBatch.from_arrays([pa.array([row]), listed[0], listed[1], pa.array([packed(place[index])], pa.binary()), listed[2]], names=["block", "doc_ids", "sizes", "places", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts, n = None, [], 0
         for batch in batches:
             sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            part = (np.cumsum(sizes) - 1) // block_words
+            part = (np.cumsum(sizes) - 1 + n) // block_words
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if batch.num_rows else []
             for i, j in zip(cut, [*cut[1:], batch.num_rows]):
-                found = batch.column(2).slice(i, j - i).flatten().dictionary_encode()
-                index = found.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
-                place = np.empty(len(order), np.int32)
-                place[order] = np.arange(len(order))
-                cells = [[batch.column(0)[i].as_py()], [batch.column(1).slice(i, j - i).to_pylist()], [sizes[i:j].astype(np.int32)], [packed(place[index])]]
-                words_ = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(pa.array(order)))
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cells, kinds)], words_], names=["block", "doc_ids", "sizes", "places", "words"])
+                if parts and part[i] > 0:
+                    yield block(row, parts)
+                    parts, n = [], 0
+                row = batch.column(0)[i].as_py() if not parts else row
+                parts.append((batch.column(1).slice(i, j - i), sizes[i:j], batch.column(2).slice(i, j - i).flatten().dictionary_encode()))
+                n += int(sizes[i:j].sum())
+        if parts:
+            yield block(row, parts)
 
     return run
 
@@ -182,7 +197,8 @@ def blocks_of(docs: DataFrame, definition: str, special: list[str], block_words:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(text_or_empty(), special, newest_pattern(definition)).alias("words"))
     name = f"gaugeflow_blocks_{uuid.uuid4().hex}"
     out = rows.mapInArrow(_blocks(block_words), BLOCKS).write.option("compression", "zstd").option("path", scratch_path(spark, "bpe-blocks"))
-    out.bucketBy(n_partitions(spark), "block").saveAsTable(name)
+    with batches_of(spark, SPLIT_BYTES):
+        out.bucketBy(n_partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
 
 
@@ -288,14 +304,18 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     by_place = np.empty((2, n_words), object)
     by_place[0, place], by_place[1, place] = ids_of, text_of
     del ids_of, text_of
-    places, ids, texts, at = unpacked(block["places"][0].as_py()), [], [], 0
-    for size in block["sizes"][0].as_py():
+    places, ids, texts, done, at, n = unpacked(block["places"][0].as_py()), [], [], [], 0, 0
+    sizes = block["sizes"][0].as_py()
+    for row, size in enumerate(sizes):
         own = places[at : at + size]
         ids.append(np.frombuffer(b"".join(by_place[0, own]), np.int32))
         texts.append(b"".join(by_place[1, own]).decode("utf-8", "replace"))
-        at += size
-    columns = [pa.array(block["doc_ids"][0].as_py(), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-    return pa.Table.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+        at, n = at + size, n + size
+        if n >= PACKED_AT_ONCE or row + 1 == len(sizes):
+            done.append(pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}))
+            ids, texts, n = [], [], 0
+    doc_id = block["doc_ids"].combine_chunks().flatten()
+    return pa.concat_tables(done).add_column(0, "doc_id", doc_id)
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) -> DataFrame:

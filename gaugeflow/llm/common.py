@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gaugeflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -46,3 +50,21 @@ def text_or_empty(name: str = "text") -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """What is written within goes to Python workers in Arrow batches of about ``n_bytes``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def row_key(df: DataFrame) -> Column:
+    """One string for all columns of a row, nulls included: two 64-bit hashes. Rows that are equal throughout have the same."""
+    values = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    return F.concat_ws("-", F.hex(F.xxhash64(*values)), F.hex(F.xxhash64(F.lit("again"), *values)))
