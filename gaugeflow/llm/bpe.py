@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -143,21 +144,24 @@ def _packed(values: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    out = np.zeros(len(ends), np.int32)
-    for k in range(4):
-        rows = starts + k <= ends
-        out[rows] |= (raw[starts[rows] + k].astype(np.int32) & 127) << 7 * k
-    return out
+    raw, parts, at = np.frombuffer(data, np.uint8), [np.zeros(0, np.int32)], 0
+    while at < len(raw):
+        ends = np.flatnonzero(raw[at : at + PACKED_AT_ONCE] < 128)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        out = np.zeros(len(ends), np.int32)
+        for k in range(4):
+            rows = np.flatnonzero(starts + k <= ends) if k else slice(None)
+            out[rows] |= (raw[at + starts[rows] + k].astype(np.int32) & 127) << 7 * k
+        parts.append(out)
+        at += int(ends[-1]) + 1
+    return np.concatenate(parts)
 
 
 BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, places binary, words array<string>"
 
 
 def _blocks(block_words: int):
-    """Rows (row, doc_id, words) to blocks: the distinct words of successive documents, commonest first, and the place of each word of each text among them."""
+    """Rows (row, doc_id, words) to blocks: the distinct words of successive documents, commonest first (then in order, which compresses well), and the place of each word of each text among them."""
 
     def block(row: int, parts: list[tuple]) -> pa.RecordBatch:
         found = pa.chunked_array([p[2] for p in parts]).unify_dictionaries()
@@ -165,7 +169,7 @@ def _blocks(block_words: int):
         count = np.zeros(len(names), np.int64)
         for i in range(0, len(index), PACKED_AT_ONCE):
             count += np.bincount(index[i : i + PACKED_AT_ONCE], minlength=len(names))
-        order = np.argsort(-count, kind="stable")
+        order = pc.sort_indices(pa.table({"n": count, "word": names}), [("n", "descending"), ("word", "ascending")]).to_numpy()
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         doc_ids, sizes = pa.chunked_array([p[0] for p in parts]).combine_chunks(), np.concatenate([p[1] for p in parts]).astype(np.int32)
@@ -182,11 +186,13 @@ def _blocks(block_words: int):
                 if parts and part[i] > 0:
                     yield block(row, parts)
                     parts, n = [], 0
+                    pa.default_memory_pool().release_unused()
                 row = batch.column(0)[i].as_py() if not parts else row
                 parts.append((batch.column(1).slice(i, j - i), sizes[i:j], batch.column(2).slice(i, j - i).flatten().dictionary_encode()))
                 n += int(sizes[i:j].sum())
         if parts:
             yield block(row, parts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -262,8 +268,8 @@ def _by_block(gathered: list[pa.Table]) -> pa.RecordBatch:
         part = uses.slice(i, j - i)
         ids, decoded = part["ids"].combine_chunks(), part["decoded"].combine_chunks()
         numbers = [np.diff(part["place"].to_numpy(), prepend=0), ids.value_lengths().to_numpy(), ids.flatten().to_numpy(), pc.binary_length(decoded).to_numpy()]
-        cells = [packed(x) for x in numbers]
-        out.append((int(block[i]), *cells, b"".join(decoded.to_pylist())))
+        cells = [*map(packed, numbers), b"".join(decoded.to_pylist())]
+        out.append((int(block[i]), *map(zstandard.compress, cells)))
     kinds = [pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["block", "places", "counts", "ids", "lengths", "decoded"])
 
@@ -294,6 +300,7 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block: ids and decoded text by position."""
     place, ids_of, text_of = [np.zeros(0, np.int64)], [], []
     for places, counts, ids, lengths, decoded in zip(*(found[c].to_pylist() for c in ("places", "counts", "ids", "lengths", "decoded"))):
+        places, counts, ids, lengths, decoded = map(zstandard.decompress, (places, counts, ids, lengths, decoded))
         place.append(np.cumsum(unpacked(places)))
         ids_of += _slices(unpacked(ids).tobytes(), 4 * unpacked(counts))
         text_of += _slices(decoded, unpacked(lengths))
@@ -314,6 +321,7 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
         if n >= PACKED_AT_ONCE or row + 1 == len(sizes):
             done.append(pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}))
             ids, texts, n = [], [], 0
+    pa.default_memory_pool().release_unused()
     doc_id = block["doc_ids"].combine_chunks().flatten()
     return pa.concat_tables(done).add_column(0, "doc_id", doc_id)
 
