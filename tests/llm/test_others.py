@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,41 @@ def test_top_k_by_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def brute_top_k(rows, k=5):
+    import math
+
+    ok = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want, low, high = [], -(1 << 63), (1 << 63) - 1
+    for i in sorted({i for i, _ in ok if i % 50 == 0}):
+        asked = {tuple(v) for j, v in ok if j == i}
+        found = sorted((-min(max(sum(a * b for a, b in zip(v, w)), low), high), j) for v in asked for j, w in ok if j != i and len(w) == len(v))[:k]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_top_k_with_repeats_and_large_components(spark, seed):
+    rng = random.Random(seed)
+    size = lambda: rng.choice([1e-3, 1.0, 1.0, 1e6, 1e12, 1e17, 1e150])
+    rows = [(rng.randrange(120), [rng.gauss(0, 1) * (s := size()) for _ in range(6)]) for _ in range(300)]
+    rows += [(i % 130, list(rows[5][1])) for i in range(60)] + [(7, [0.5] * 6), (7, [0.5] * 6), (7, [0.25] * 6), (8, [0.5] * 6), (50, [1.0] * 6), (50, [2.0] * 6), (100, [0.0] * 6)]
+    rows += [(200, [1e12] * 6), (250, [-1e12] * 6), (300, [3.0] * 5), (301, [1.0] * 5)]
+    got = vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, candidate_block=64, query_block=3).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(rows)
+
+
+def test_cells_bound_every_inner_product():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q = np.floor(rng.normal(0, 300, (20, 16)))
+    v = np.floor(rng.normal(0, 300, (50, 16)) * 10.0 ** rng.integers(-2, 3, (50, 1)))
+    batch = next(vafile._approximate(15)(iter([pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(range(50)), pa.array(v.tolist())], names=["row", "vec_id", "ints"])])))
+    cells = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8).reshape(50, -1)
+    lower, upper = vafile.bounds(q, cells, batch.column(3).to_numpy())
+    assert (lower <= q @ v.T).all() and (q @ v.T <= upper).all() and (lower < upper).any()
+
+
 def test_top_k_of_nothing(spark):
     assert vafile.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
 
