@@ -141,25 +141,22 @@ WITH l AS (
   SELECT doc_id, n, line, list_filter(regexp_split_to_array(CASE WHEN regexp_matches(line, '[0-9]')
       THEN regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') ELSE line END, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM l
 ), p AS (
-  SELECT doc_id, n, t, CASE WHEN len(t) <= 32 THEN list_concat([len(t)::VARCHAR], t[1:3]) END AS leaf FROM k WHERE len(t) > 0
+  SELECT doc_id, n, t, list_concat([len(t)::VARCHAR], t[1:3]) AS leaf FROM k WHERE len(t) > 0
 ), m AS (
-  SELECT t, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM p GROUP BY t
-), f AS (
-  SELECT leaf, sum(docs) AS leaf_docs FROM m WHERE leaf IS NOT NULL GROUP BY leaf HAVING sum(docs) >= 3 AND count(*) > 1
+  SELECT t, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, ((len(t) + 31) // 32)::BIGINT AS step FROM p GROUP BY t
 ), e AS (
-  SELECT m.t, m.leaf, leaf_docs, docs, unnest(m.t) AS token, generate_subscripts(m.t, 1) AS pos FROM m JOIN f ON m.leaf = f.leaf
+  SELECT t, leaf, docs, unnest(f) AS field, generate_subscripts(f, 1) AS pos
+  FROM (SELECT *, list_transform(range(0, len(t), step), lambda i: array_to_string(t[i + 1 : i + step], chr(31))) AS f FROM m)
 ), c AS (
-  SELECT leaf, leaf_docs, pos, token, sum(docs) AS docs FROM e GROUP BY ALL
-), b AS (
-  SELECT leaf, pos, CASE WHEN docs * 2 >= leaf_docs THEN token ELSE '<*>' END AS token
-  FROM (SELECT *, row_number() OVER (PARTITION BY leaf, pos ORDER BY docs DESC, token DESC) AS r FROM c) WHERE r = 1
+  SELECT leaf, pos, field FROM e GROUP BY ALL HAVING sum(docs) >= 3
 ), w AS (
-  SELECT e.t, any_value(e.leaf) AS leaf FROM e JOIN b ON e.leaf = b.leaf AND e.pos = b.pos
-  GROUP BY e.t HAVING sum((e.token = b.token)::INTEGER) >= 0.6 * len(e.t)
+  SELECT e.t, any_value(e.leaf) AS leaf, list(CASE WHEN c.leaf IS NULL THEN NULL ELSE e.field END ORDER BY e.pos) AS shape
+  FROM e LEFT JOIN c ON e.leaf = c.leaf AND e.pos = c.pos AND e.field = c.field GROUP BY e.t
+  HAVING count(*) FILTER (c.leaf IS NOT NULL AND e.pos > 3 AND e.field <> '<*>') >= greatest(4, 0.6 * count(*) FILTER (e.pos > 3 AND e.field <> '<*>'))
 ), g AS (
-  SELECT w.leaf, count(DISTINCT p.doc_id) AS docs, min(p.doc_id) AS first FROM p JOIN w ON p.t = w.t GROUP BY w.leaf HAVING count(DISTINCT p.doc_id) >= 3
+  SELECT w.leaf, w.shape, min(p.doc_id) AS first FROM p JOIN w ON p.t = w.t GROUP BY w.leaf, w.shape HAVING count(DISTINCT p.doc_id) >= 3
 ), r AS (
-  SELECT w.t, g.first FROM w JOIN g ON w.leaf = g.leaf
+  SELECT w.t, g.first FROM w JOIN g ON w.leaf = g.leaf AND w.shape = g.shape
 ), a AS (
   SELECT t, first FROM r UNION ALL SELECT t, first FROM m WHERE docs >= 3 AND t NOT IN (SELECT t FROM r)
 ), x AS (

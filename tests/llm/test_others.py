@@ -81,6 +81,64 @@ def test_templates_drop_what_recurs_and_keep_the_first(spark):
     assert templates.dedup_lines(docs(spark, [])).collect() == []
 
 
+def brute_dedup(rows, depth=3, most=32):
+    """Line dedup by plain loops over (doc_id, text) with distinct ids."""
+    import re
+
+    def masked(line):
+        return tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[\x20\x09-\x0d]+", line) if t)
+
+    lines = [(i, n, masked(line)) for i, text in rows if text is not None for n, line in enumerate(text.split("\n"))]
+    docs = defaultdict(set)
+    for i, _, t in lines:
+        docs[t].add(i)
+    cut = lambda t: [t[k : k + max(1, -(-len(t) // most))] for k in range(0, len(t), max(1, -(-len(t) // most)))]
+    seen = defaultdict(int)
+    for t, ids in docs.items():
+        for pos, f in enumerate(cut(t)):
+            seen[len(t), t[:depth], pos, f] += len(ids)
+    wide, group = {}, defaultdict(set)
+    for t, ids in docs.items():
+        marks = [(seen[len(t), t[:depth], pos, f] >= 3, pos >= depth and f != ("<*>",), f) for pos, f in enumerate(cut(t))]
+        constants, plain = sum(a and b for a, b, _ in marks), sum(b for _, b, _ in marks)
+        if constants >= 4 and constants >= 0.6 * plain:
+            wide[t] = (len(t), t[:depth], tuple(f if a else None for a, _, f in marks))
+            group[wide[t]] |= ids
+    def keeper(t):
+        ids = group[wide[t]] if t in wide and len(group[wide[t]]) >= 3 else docs[t]
+        return min(ids) if len(ids) >= 3 else None
+    gone = {(i, n) for i, n, t in lines if t and keeper(t) not in (None, i)}
+    return {i: None if text is None else "\n".join(line for n, line in enumerate(text.split("\n")) if (i, n) not in gone) for i, text in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    some = lambda n: " ".join(rng.choice(["red", "blue", "old", "new", "fox", "7up"]) for _ in range(n))
+    formats = [lambda: f"the job has finished with code {some(1)} today now", lambda: f"the job has crashed after losing {some(2)} memory pages", lambda: f"This is a {some(1)}", lambda: some(4), lambda: "", lambda: "same " * 40 + some(1) + " tail" * 50]
+    rows = [(i, "\n".join(rng.choice(formats)() for _ in range(rng.randint(0, 6)))) for i in range(40)] + [(90, None), (91, "")]
+    got = {r.doc_id: r.text for r in templates.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_dedup(rows)
+
+
+def test_formats_that_begin_alike_are_templates_each(spark):
+    rows = [(i, f"the job has finished with code {w} today now") for i, w in enumerate(["ox", "ant", "bee", "cow"])]
+    rows += [(10 + i, f"the job has crashed after losing {w} memory pages") for i, w in enumerate(["some", "few", "many", "most", "all", "no"])]
+    rows += [(20 + i, f"This is a {w}") for i, w in enumerate(["dog", "house", "test"])]
+    long = " ".join(f"word{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)).replace("0", "o")
+    rows += [(30 + i, f"{long} {w} {long}") for i, w in enumerate(["ape", "bat", "cat"])]
+    got = {r.doc_id: r.n_dropped for r in templates.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert {i for i, n in got.items() if n} == {1, 2, 3, 11, 12, 13, 14, 15, 31, 32}
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(i, "a line that all of them have in common", "n", 5, 6) for i in range(3)] + [(None, None, None, None, None), (7, "", "z", 1, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, template string, n_lines int, n_dropped int")
+    out = templates.documents_without_boilerplate(table)
+    assert out.columns == table.columns and sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+    assert templates.documents_without_boilerplate(table.limit(0)).collect() == []
+
+
 def test_repeated_rows_count_once(spark):
     rows = [(1, "the same old line", "s")] * 4
     assert all(r.n_dropped == 0 for r in templates.dedup_lines(docs(spark, rows)).collect())
