@@ -1,30 +1,42 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are hashed into ``2**20`` buckets. On a bounded sample of labelled training rows the buckets
-that tell the labels apart best (chi-square) are kept, and Spark's factorization machine learns a
-weight for each bucket and, through its factors, one for each pair of buckets that meet in a text,
+Terms are hashed into ``BUCKETS`` buckets, all of which are inputs of the machine. What a text puts into a bucket it has a term of
+is the bucket's weight between 0 and 1: how strongly the training sample says that the bucket tells the labels apart, by itself or
+beside another (in standard errors from what the share of label 1, or the two buckets by themselves, let expect). Noise is damped
+that way, and a pair of buckets that matter only together is heard. Spark's factorization machine learns a
+coefficient for each bucket and, through its factors, one for each pair of buckets that meet in a text,
 so that an insult beside a group mention can weigh more than the sum of both. Every text is scored
 whole; doc_id only joins labels and splits the folds.
 
+The sample is bounded (``SAMPLE_ROWS``); buckets that fewer than ``LEAST_ROWS`` of its rows hold say nothing and weigh 0.
+
 Null and empty texts have no terms and get the score of an empty vector. Repeated rows are scored
-each. With no usable label (none, or all alike) every row gets the share of label 1, 0.0 if there is none.
+each; a null doc_id has no label and is in no fold (held_out is null). With no usable label (none, or all alike) every row gets the share of label 1, 0.0 if there is none.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import FMClassificationModel, FMClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import FMClassifier
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import stash
 
-BUCKETS = 1 << 20
-#: Rows of the training sample at most, and buckets kept.
+BUCKETS = 1 << 16
+#: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
-KEPT = 256
-#: Chi-square below which a bucket tells too little to be kept.
-LEAST_CHI = 30.0
+LEAST_ROWS = 5
+#: Pairs are looked at among the buckets that at least one row in so many holds.
+PAIR_SHARE = 64
+#: Standard errors at which a bucket weighs a half, and what the best of many pairs reaches by chance.
+HALF, BY_CHANCE = 5.0, 4.0
 FACTORS = 4
 
 
@@ -35,18 +47,76 @@ def fold(doc_id: Column) -> Column:
 def terms(text: Column, buckets: int = BUCKETS) -> Column:
     """Distinct hashed terms: lower-cased runs of letters of a text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    return F.transform(F.array_distinct(words), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-
-
-def _vector(terms_column: Column, kept: list[int]) -> Column:
-    """Which kept buckets a text has; the outer transform binds them once for all the inner tests."""
-    known = F.array(*[F.lit(k) for k in kept])
-    found = F.array(F.array_intersect(terms_column, known))
-    return array_to_vector(F.transform(found, lambda f: F.transform(known, lambda k: F.array_contains(f, k).cast("double")))[0])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT, factors: int = FACTORS) -> tuple[FMClassificationModel | None, list[int], float]:
-    """The model, its buckets and the share of label 1, learnt outside the held-out fold.
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))))
+
+
+@dataclass(frozen=True)
+class Machine:
+    """Weights of the buckets, and what the factorization machine learnt; without coefficients every score is ``share``."""
+
+    share: float
+    weight: np.ndarray | None = None
+    linear: np.ndarray | None = None
+    factors: np.ndarray | None = None
+    intercept: float = 0.0
+
+    def scores(self, terms_: pd.Series) -> np.ndarray:
+        lengths = np.array([0 if t is None else len(t) for t in terms_], np.int64)
+        if self.weight is None:
+            return np.full(len(lengths), self.share)
+        at = np.concatenate([np.zeros(0, np.int64), *(t for t in terms_ if t is not None and len(t))]).astype(np.int64)
+        row, x = np.repeat(np.arange(len(lengths)), lengths), self.weight[at]
+        sums = lambda v: np.bincount(row, v, len(lengths))
+        total = self.intercept + sums(x * self.linear[at])
+        for v in self.factors.T:
+            total += (sums(x * v[at]) ** 2 - sums((x * v[at]) ** 2)) / 2
+        return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+
+
+def _pair_errors(often: np.ndarray, alone: np.ndarray, share: float):
+    """From rows (terms, label): (bucket, errors), how far the label of any pair of a bucket is from what both let expect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(often)
+        both, toxic = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                cells, label = batch.column(0).slice(i, 512), batch.column(1).slice(i, 512).to_numpy(zero_copy_only=False)
+                row, found = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(often, found), n - 1)
+                known = often[at] == found
+                x = np.zeros((len(cells), n), np.float32)
+                x[row[known], at[known]] = 1
+                both += x.T @ x
+                toxic += x[label > 0].T @ x[label > 0]
+        errors = np.zeros(n)
+        for i in range(n):
+            expected = np.clip(alone[i] + alone - share, 0, 1)
+            far = np.abs(toxic[i] - both[i] * expected) / np.sqrt(np.maximum(both[i], 1) * share * (1 - share))
+            far[(both[i] < LEAST_ROWS)] = 0
+            far[i] = 0
+            errors[i] = far.max(initial=0)
+        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(errors)], names=["bucket", "errors"])
+
+    return run
+
+
+def weights(sample: DataFrame, n: int, n_toxic: float) -> np.ndarray:
+    """The weight of each bucket, from a bounded sample (terms, label)."""
+    share = n_toxic / n
+    counts = sample.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("label").alias("toxic")).toPandas()
+    rows, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rows[counts["bucket"]], toxic[counts["bucket"]] = counts["rows"], counts["toxic"]
+    errors = np.abs(toxic - rows * share) / np.sqrt(np.maximum(rows, 1) * share * (1 - share))
+    often = np.flatnonzero(rows >= max(LEAST_ROWS, n / PAIR_SHARE))
+    if len(often) > 1:
+        pairs = sample.select("terms", "label").coalesce(1).mapInArrow(_pair_errors(often, toxic[often] / rows[often], share), "bucket int, errors double").toPandas()
+        errors[pairs["bucket"]] = np.maximum(errors[pairs["bucket"]], pairs["errors"] - BY_CHANCE)
+    return np.where(rows < LEAST_ROWS, 0.0, errors**2 / (errors**2 + HALF**2))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, factors: int = FACTORS) -> Machine:
+    """The machine, learnt outside the held-out fold.
 
     The sample is the ``sample_rows`` labels of smallest hashed doc_id: bounded (so it can be
     broadcast) and alike at every size. Of a repeated label the largest counts.
@@ -57,40 +127,39 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ke
     sample = stash(labelled.select(terms(F.col("text")).alias("terms"), F.col("toxic").cast("double").alias("label")), "toxic-sample")
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < n_toxic < n:
-        return None, [], float(n_toxic / n) if n else 0.0
-    counts = sample.select("label", F.explode(F.array_distinct("terms")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("with"), F.sum("label").alias("both"))
-    with_, both = F.col("with").cast("double"), F.col("both")
-    expected = with_ * (n_toxic / n)
-    chi = F.pow(both - expected, 2) / expected + F.pow(with_ - both - (with_ - expected), 2) / (with_ - expected)
-    chi = chi * n / (n - with_ + 1)
-    buckets = [r[0] for r in counts.where((with_ >= 5) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "bucket").limit(kept).collect()]
-    if not buckets:
-        return None, [], float(n_toxic / n)
-    rows = sample.select("label", _vector(F.col("terms"), buckets).alias("features")).coalesce(4).cache()
+        return Machine(float(n_toxic / n) if n else 0.0)
+    weight = weights(sample, n, n_toxic)
+
+    def vector(found):
+        at = [t for t in found if weight[t]]
+        return Vectors.sparse(BUCKETS, at, weight[at])
+
+    rows = sample.select("label", F.udf(vector, VectorUDT())("terms").alias("features")).coalesce(4).cache()
     model = FMClassifier(factorSize=factors, stepSize=0.1, maxIter=80, regParam=1e-4, initStd=0.05, seed=7).fit(rows)
     rows.unpersist()
-    return model, buckets, float(n_toxic / n)
+    return Machine(float(n_toxic / n), weight, model.linear.toArray(), model.factors.toArray(), model.intercept)
+
+
+def score(text: Column, machine: Machine, spark) -> Column:
+    """The score of a text, 0 to 1."""
+    held = spark.sparkContext.broadcast(machine)
 
+    @F.pandas_udf("double")
+    def scores(found: pd.Series) -> pd.Series:
+        return pd.Series(held.value.scores(found))
 
-def score(docs: DataFrame, model: FMClassificationModel | None, buckets: list[int], share: float) -> DataFrame:
-    """``docs`` with score and predicted."""
-    if model is None:
-        scored = docs.withColumn("score", F.lit(share))
-    else:
-        base = docs.withColumn("__features", _vector(terms(F.col("text")), buckets))
-        scored = model.setFeaturesCol("__features").setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__y").transform(base)
-        scored = scored.withColumn("score", vector_to_array("__p")[1]).select(*docs.columns, "score")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scores(terms(text))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = train(docs, labels, **options)
-    out = score(docs.select("doc_id", "text"), *model)
-    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    machine = train(docs, labels, **options)
+    out = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score(F.col("text"), machine, docs.sparkSession).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not scored as toxic, with their columns."""
-    model = train(docs, labels, **options)
-    return score(docs, *model).where(F.col("predicted") == 0).select(*docs.columns)
+    """The documents that are not scored as toxic, with all their columns."""
+    machine = train(docs, labels, **options)
+    scored = docs.withColumn("__toxicity", score(F.col("text"), machine, docs.sparkSession))
+    return scored.where(F.col("__toxicity") < 0.5).drop("__toxicity")

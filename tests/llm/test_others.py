@@ -277,6 +277,43 @@ def toxic_corpus(n=400):
     return rows, labels
 
 
+def test_what_only_a_pair_tells_is_learnt(spark):
+    import dataclasses
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(2500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdefghijklmnopqrst')}" for _ in range(15)] + ["insult"] * insult + ["group"] * group
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult != group)))
+    table, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(table, lab)
+    held = table.where(toxicity.fold(F.col("doc_id")) == 0).select("doc_id", toxicity.terms(F.col("text")).alias("terms")).toPandas()
+    truth = np.array([labels[i][1] for i in held["doc_id"]])
+    agree = lambda m: ((m.scores(pd.Series(held["terms"])) >= 0.5) == truth).mean()
+    assert agree(machine) > 0.95
+    assert agree(dataclasses.replace(machine, factors=np.zeros_like(machine.factors))) < 0.8  # without pairs
+
+
+def test_scores_are_those_of_sparks_machine_in_plain_loops():
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(0.1, rng.random(50), rng.normal(size=50), rng.normal(size=(50, 3)), 0.3)
+    texts = [[1, 5, 7], [], None, [2], list(range(40))]
+    for got, text in zip(m.scores(pd.Series(texts)), texts):
+        x = {i: m.weight[i] for i in text or []}
+        f = m.intercept + sum(m.linear[i] * v for i, v in x.items()) + sum((m.factors[i] @ m.factors[j]) * x[i] * x[j] for i in x for j in x if i < j)
+        assert math.isclose(got, 1 / (1 + math.exp(-f)), rel_tol=1e-9)
+
+
 def test_toxic_texts_are_told_apart_where_held_out(spark):
     rows, labels = toxic_corpus()
     extra = [(1000, None, "s"), (1001, "", "s"), (None, "vermin", "s"), (3, rows[3][1], "s")]
