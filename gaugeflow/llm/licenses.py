@@ -1,14 +1,15 @@
 """License scans by patience alignment.
 
-A licence text is aligned with a window of a document: words that occur once in both are anchors, the
+A licence text is aligned with a part of a document: words that occur once in both are anchors, the
 longest increasing run of them (in both orders) is kept, and the gaps between kept anchors are aligned
 the same way; a gap without anchors keeps what agrees at its ends. The coverage is the share of the template's
 words that are matched. A document is scanned where it holds words of a template that any match must
 hold: so many of the template's words that a match of the least coverage can't do without all of them.
+Each such word says where the template would start; it is aligned with the words there, and where those don't match, with a wider part.
 
-``scan`` gives a row for each template that a document matches (doc_id, license, template, coverage,
-place of the match in words), the best match of each; of matches that overlap, the one that covers
-most words stays. Words are lower-cased runs of ASCII letters and digits and of other
+``scan`` gives a row for every match (doc_id, license, template, coverage,
+place of the match in words), several of a template too; of matches that overlap, the one that covers
+most words stays. The bodies of long licences are known by the notices that they hold. Words are lower-cased runs of ASCII letters and digits and of other
 alphabets' bytes. Null and empty texts match nothing; repeated rows are scanned each; extra columns are ignored.
 """
 
@@ -99,26 +100,48 @@ def _rank(templates) -> dict:
 RANK: dict = _rank(TEMPLATES)
 
 
+def windows(start: int, n: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Where to align a template of ``n`` words that seems to start at ``start``: right there, closely around it, then with room for words that were put in."""
+    for room in (0, max(2, n // 5), max(4, 3 * n // 4)):
+        yield max(low, start - room), min(high, start + n + room)
+
+
+def matches_of(template: list, places: dict, must: set, words: list, hits: list[int], least: float) -> list[tuple[int, int, int]]:
+    """(matched words, start, end) of all matches of a template in a text, in order; matches don't overlap.
+
+    ``places`` has the template's places of each word. Every word of ``hits`` that a match must have says where the template
+    would start; what is near is aligned there, unless too few of the template's words are. Copies that follow each other are found each,
+    since a window holds little more than one.
+    """
+    n, found, low, tried = len(template), [], 0, set()
+    for i in hits:
+        if i < low or words[i] not in must:
+            continue
+        for q in places[words[i]]:
+            start = i - q
+            if start in tried or i < low:
+                continue
+            tried.add(start)
+            for a, b in windows(start, n, low, len(words)):
+                if sum(w in places for w in words[a:b]) < least * n:
+                    continue
+                pairs = patience(template, words[a:b])
+                if len(pairs) >= least * n and pairs[-1][1] - pairs[0][1] + 1 <= 1.5 * n + 2:
+                    found.append((len(pairs), a + pairs[0][1], a + pairs[-1][1] + 1))
+                    low = found[-1][2]
+                    break
+    return found
+
+
 def _scan(templates: Sequence[tuple[str, str]], least: float):
     prepared = [(n, name, words_of(text).tolist()) for n, (name, text) in enumerate(templates)]
-    needed = [(n, name, words, must_have(words, least)) for n, name, words in prepared]
+    needed = [(n, name, words, {w: [q for q, x in enumerate(words) if x == w] for w in words}, must_have(words, least)) for n, name, words in prepared]
     every = np.array(sorted({w for *_, s in needed for w in s}), np.uint64)
 
-    def matches(words: np.ndarray, hits: np.ndarray) -> list[tuple]:
+    def matches(words: list, hits: list[int]) -> list[tuple]:
         found = []
-        for n, name, template, must in needed:
-            at = [int(i) for i in hits if int(words[i]) in must]
-            tried = -1
-            for i in at:  # windows of the template's length on both sides of a word it must have
-                if i < tried:
-                    continue
-                start, end = max(0, i - len(template) - 4), min(len(words), i + 2 * len(template) + 8)
-                tried = i + max(1, len(template) // 2)
-                pairs = patience(template, words[start:end].tolist())
-                if len(pairs) >= least * len(template):
-                    first, last = start + pairs[0][1], start + pairs[-1][1] + 1
-                    if last - first <= 1.5 * len(template) + 2:
-                        found.append((len(pairs), -n, name, len(pairs) / len(template), first, last))
+        for n, name, template, places, must in needed:
+            found += [(m, -n, name, m / len(template), a, b) for m, a, b in matches_of(template, places, must, words, hits, least)]
         kept: list[tuple] = []
         for m in sorted(found, reverse=True):
             if all(m[5] <= k[4] or m[4] >= k[5] for k in kept):
@@ -135,7 +158,7 @@ def _scan(templates: Sequence[tuple[str, str]], least: float):
                 for row in np.unique(rows):
                     first = words.first[row]
                     own = words.hashes[first : words.first[row + 1]]
-                    for n_words, n, name, coverage, a, b in matches(own, hits[rows == row] - first):
+                    for n_words, n, name, coverage, a, b in matches(own.tolist(), (hits[rows == row] - first).tolist()):
                         out.append({"doc_id": ids[start + int(row)].as_py(), "license": name, "template": -n, "coverage": coverage, "start": int(a), "end": int(b)})
             yield pa.RecordBatch.from_pylist(out, schema=_HITS)
 

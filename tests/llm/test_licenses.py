@@ -49,3 +49,46 @@ def test_a_match_holds_a_word_it_must_have():
         words = licenses.words_of(text).tolist()
         must = licenses.must_have(words, 0.8)
         assert sum(w in must for w in words) > 0.2 * len(words) - 1e-9
+
+
+def test_copies_near_each_other_are_found_each(spark):
+    apache = TEMPLATES[1][1]
+    texts = ["foo All rights reserved by x all rights reserved baz", "Released under the MIT License. Released under the MIT License.", f"{apache} word {apache}", "filler Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0. filler", f"{TEMPLATES[3][1]} {TEMPLATES[3][1]} {TEMPLATES[3][1]}"]
+    found = scan(spark, texts)
+    assert [f[:2] for f in found] == [(0, "Proprietary")] * 2 + [(1, "MIT")] * 2 + [(2, "Apache-2.0")] * 2 + [(3, "CC-BY-NC-4.0")] * 2 + [(4, "MIT")] * 3
+    assert all(f[2] == 1.0 for f in found)
+
+
+def test_neighbouring_licences_are_told_apart(spark):
+    assert [f[1:] for f in scan(spark, [t for _, t in TEMPLATES])] == [(name, 1.0) for name, _ in TEMPLATES]
+
+
+def brute(template, words, least):
+    """Non-overlapping matches, by the longest common subsequence of the template with every window of its length."""
+    n, out, i = len(template), [], 0
+    while i < len(words):
+        if longest_common(template, words[i : i + n]) >= least * n and words[i] == template[0]:
+            out.append(i)
+            i += n // 2
+        i += 1
+    return out
+
+
+def test_every_planted_notice_is_found_by_brute_force_too():
+    rng = random.Random(5)
+    for name, text in TEMPLATES:
+        template = licenses.words_of(text).tolist()
+        places = {w: [q for q, x in enumerate(template) if x == w] for w in template}
+        must = licenses.must_have(template, 0.8)
+        for _ in range(4):
+            words, planted = [], []
+            for _ in range(rng.randint(1, 4)):
+                words += [rng.choice([rng.randrange(50), rng.choice(template[1:])]) for _ in range(rng.choice([0, 1, 3, 30]))]
+                planted.append(len(words))
+                drop = set(rng.sample(range(1, len(template)), max(0, len(template) // 12)))
+                words += [rng.randrange(50) if k in drop else w for k, w in enumerate(template)]
+            got = licenses.matches_of(template, places, must, words, [i for i, w in enumerate(words) if w in must], 0.8)
+            assert len(got) >= len(planted), (name, planted, got)
+            if len(template) < 40:
+                assert len(got) >= len(brute(template, words, 0.8))
+            assert all(x[2] <= y[1] for x, y in zip(got, got[1:])) and all(m >= 0.8 * len(template) and m <= longest_common(template, words[a:b]) for m, a, b in got)
