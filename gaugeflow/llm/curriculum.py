@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import WORD, stash
+from gaugeflow.llm.common import WORD, row_key, stash
 
 WEIGHTS = (3, 1, 2)
 #: Knots (time, relative weight) of the schedules, dealt to the sources in turn like the weights.
@@ -74,8 +74,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
 
 
 def sized(docs: DataFrame, *extra: str | Column) -> DataFrame:
-    """(doc_id, source, size, key, bucket): key is the fixed pseudo-random order, bucket its first byte."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """(doc_id, source, size, key, bucket): key is the fixed pseudo-random order (by text where there is no id), bucket its first byte."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.substring(key, 1, 2).alias("bucket"), *extra)
 
@@ -124,9 +124,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is taken, range-sorted by training position."""
-    row_key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    rows = assign(stash(sized(docs, row_key.alias("row_key")), "sized"), **options)
-    takes = rows.select("row_key", F.explode(F.array_compact(F.array("position_1", "position_2"))).alias("position"))
-    named = docs.withColumn("row_key", row_key).dropDuplicates(["row_key"])
-    return takes.join(named, "row_key").orderBy("position", "row_key").select(*docs.columns)
+    """The mix itself: a row of ``docs``, all its columns, for each time it is taken, range-sorted by training position."""
+    key = row_key(docs)
+    rows = assign(stash(sized(docs, key.alias("__key")), "sized"), **options)
+    takes = rows.select("__key", F.explode(F.array_compact(F.array("position_1", "position_2"))).alias("__position"))
+    named = docs.withColumn("__key", key).dropDuplicates(["__key"])
+    return takes.join(named, "__key").orderBy("__position", "__key").drop("__key", "__position")

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import stash
+from gaugeflow.llm.common import row_key, stash
 from gaugeflow.llm.graph import components
 from gaugeflow.llm.textgrid import Words, mix, slices
 
@@ -103,8 +103,8 @@ def unseen(nodes: np.ndarray, first: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
-_NODES = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
-NODES = "kind int, row_key long, doc_id long, node long, n long, vector binary"
+_NODES = pa.schema([("kind", pa.int32()), ("row_key", pa.string()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+NODES = "kind int, row_key string, doc_id long, node long, n long, vector binary"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts >= COMMON
         n = int(often.sum())
         nothing = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), nothing, nothing, pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(n, pa.binary())], schema=_NODES)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.string()), nothing, pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.nulls(n, pa.binary())], schema=_NODES)
 
     for batch in batches:
         nodes, sizes, vectors = [], [], []
@@ -376,10 +376,16 @@ def common_shingles(survey: DataFrame, most: int = COMMON_KEPT) -> tuple[np.ndar
     return shingles[order], np.frombuffer(b"".join(r[1] for r in kept), np.int8)[order] + np.int8(1)
 
 
+def key_string(docs: DataFrame) -> Column:
+    """A row's key as one string."""
+    key = row_key(docs)
+    return F.concat_ws("-", F.hex(key["a"]), F.hex(key["b"]))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) of every row of ``docs``; component is null without words."""
     spark = docs.sparkSession
-    texts = docs.select(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    texts = docs.select(key_string(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     survey = stash(texts.mapInArrow(_survey, NODES), "survey")
     common = common_shingles(survey)
     rows = survey.where(F.col("kind") == 0)
@@ -395,7 +401,7 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id (and then row key); texts without words all stay once per row."""
-    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    keyed = docs.withColumn("__key", key_string(docs))
     rows = link(docs)
     first = rows.where(F.col("n_shingles") > 0).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("row_key"))).alias("m")).select(F.col("m.row_key").alias("row_key"))
     gone = rows.where(F.col("n_shingles") > 0).select("row_key").distinct().join(first, "row_key", "left_anti").withColumnRenamed("row_key", "__key")

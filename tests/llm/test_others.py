@@ -161,6 +161,18 @@ def water(sizes, weights):
     return targets
 
 
+def test_rows_that_differ_only_in_where_a_null_stands_are_rows_each(spark):
+    rows = [(1, "a b c", "en", None, 9, 7), (1, "a b c", None, "en", 9, 7), (2, "d e f g", "en", "en", 9, 7), (None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, position int, row_key int")
+    out = curriculum.mixed_documents(table)
+    assert out.columns == table.columns and {r for r in map(tuple, out.collect())} <= set(rows)
+    taken = defaultdict(int)
+    for r in curriculum.mix(table).collect():
+        taken[r.doc_id] += r.taken
+    assert sum(len(r.text.split()) for r in out.collect()) == sum(taken.values())
+    assert max(sum(tuple(r) == x for r in out.collect()) for x in rows) <= 2
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_mix_meets_its_targets(spark, seed):
     rows = corpus(seed)
