@@ -5,13 +5,15 @@ A document is the set of its five-word shingles; equal sets are one node. Shingl
 points bounds the overlap of their sets from above, and so does that of a point and the maxima of
 an R-tree box for every point within.
 
-Who meets whom: two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of each in
-any order that both follow. The order puts shingles that occur often (counted over all documents,
+Which points share trees: two sets that link share a shingle among the first ``n - ceil(0.75 n) + 1`` of each in
+any order that both follow, so a tree over all documents isn't needed (the boxes of count vectors prune too little there). The order puts shingles that occur often (counted over all documents,
 block by block) last, so that common passages don't bring unrelated documents together. Copies of a
-set within a task are emitted once. Each shared shingle first links its nodes to one hub (the node with
-most shared shingles), which joins groups of near copies with as many pairs as members. Only hubs whose
-nodes are still in different components get an R-tree of all nodes that share a shingle with them by it; what is
-not in the largest component searches the tree, and the pairs that pass the bound are verified on the exact sets. Links within a component that is already joined change nothing and aren't looked for.
+set within a task are emitted once. Each shared shingle names one of its nodes as hub (the one with
+most shared shingles); the nodes around a hub are dealt to R-trees of about ``TREE_NODES`` points.
+
+Every pair comes out of a search of these trees and is verified on the exact sets. First the hub searches the trees of its nodes,
+which joins groups of near copies with as many pairs as members. Where the nodes around a hub are still in different components, those
+outside the largest one then search its trees for nodes of other components. Links within a component that is already joined change nothing and aren't looked for.
 
 Null and empty texts have an empty set and are alone. Repeated rows and ids are handled as rows of
 their own; a component's id is its smallest doc_id, null only where all its ids are null. Extra
@@ -40,6 +42,9 @@ COUNTED = 4_000_000
 COMMON = 2
 COMMON_KEPT = 3_000_000
 FAN_OUT = 16
+#: Nodes of a tree, about, and sets that a task remembers so that it doesn't emit them twice.
+TREE_NODES = 1024
+REMEMBERED = 1_000_000
 #: Bits of the filter that tells which sets are needed for verification; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
 
@@ -96,6 +101,8 @@ def _sets(batch: pa.RecordBatch):
 def unseen(nodes: np.ndarray, first: np.ndarray, seen: set[int]) -> np.ndarray:
     """Which rows have a set that this task hasn't met; they count as met from now on."""
     out = np.zeros(len(nodes), bool)
+    if len(seen) > REMEMBERED:
+        seen.clear()
     for i, (node, size) in enumerate(zip(nodes.tolist(), np.diff(first).tolist())):
         if size and node not in seen:
             seen.add(node)
@@ -171,8 +178,8 @@ def _prefixes(common):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (token, node): those of tokens with several nodes, with the first node of the token as leader."""
-    last = None  # token, node, n of the row before; whether its token's leader was emitted; that leader and its n
+    """From rows in order of (token, node): those of tokens with several nodes."""
+    last = None  # token, node, n of the row before; whether its token's first row was emitted; the node of that row
     for batch in batches:
         token, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if last is not None:
@@ -184,11 +191,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         head = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
-        leader, leader_n = node[head], n[head]
+        leader = node[head]
         carried = last is not None
         if carried:
             mine = head == 0
-            leader, leader_n = np.where(mine, last[4], leader), np.where(mine, last[5], leader_n)
+            leader = np.where(mine, last[4], leader)
         follower = fresh & (node != leader)
         if carried:
             follower[0] = False
@@ -199,13 +206,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[0] = False  # emitted before
         elif carried:
             keep[0] = several[0]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n, leader, leader_n)], names=["token", "node", "n", "leader", "leader_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, n)], names=["token", "node", "n"])
         end = head[-1]
         done = bool(several[end] or (end == 0 and carried and last[3]))
-        last = (token[-1], node[-1], n[-1], done, leader[-1], leader_n[-1])
+        last = (token[-1], node[-1], n[-1], done, leader[-1])
 
 
-SHARED = "token long, node long, n long, leader long, leader_n long"
+SHARED = "token long, node long, n long"
 
 
 class CountVectorRTree:
@@ -236,40 +243,37 @@ class CountVectorRTree:
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of hub: pairs of nodes of different components that pass the bound.
+    """From rows (hub, block, asks, node, n, component, apart, vector) in order of (hub, block, asks): pairs of nodes of different
+    components that pass the bound.
 
-    What is not in a hub's largest component searches the tree of all its nodes.
+    A block's tree holds its rows that don't ask; each row that asks searches it. ``apart`` tells nodes that ask somewhere: two
+    of them meet twice, and count where the smaller node asks.
     """
-
-    def pairs(parts: list[tuple]) -> list[tuple[int, int]]:
-        node, comp, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        names, where, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return []
-        points = from_bytes([v for p in parts for v in p[3]])
-        tree, out = CountVectorRTree(points, size), []
-        asks = where != counts.argmax()
-        for i in np.flatnonzero(asks):
-            j = tree.search(points[i], int(size[i]))
-            j = j[(comp[j] != comp[i]) & (~asks[j] | (node[j] > node[i]))]
-            out += [(min(int(node[i]), int(x)), max(int(node[i]), int(x))) for x in node[j]]
-        return out
-
-    def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    hub, parts = None, []
+    key, parts, tree = None, [], None
     for batch in batches:
-        hubs, node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        vectors = batch.column(4)
-        cut = np.flatnonzero(np.concatenate([[True], hubs[1:] != hubs[:-1]])) if len(hubs) else []
-        for i, j in zip(cut, [*cut[1:], len(hubs)]):
-            if parts and hub != hubs[i]:
-                yield emit(pairs(parts))
-                parts = []
-            hub = hubs[i]
-            parts.append((node[i:j], comp[i:j], n[i:j], vectors.slice(i, j - i).to_pylist()))
-    yield emit(pairs(parts) if parts else [])
+        if not batch.num_rows:
+            continue
+        hub, block, asks, node, size, comp, apart = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        cut = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])]))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for i, j in zip(cut, [*cut[1:], batch.num_rows]):
+            if key != (hub[i], block[i]):
+                key, parts, tree = (hub[i], block[i]), [], None
+            vectors = from_bytes(batch.column(7).slice(i, j - i).to_pylist())
+            if not asks[i]:
+                parts.append((vectors, size[i:j], node[i:j], comp[i:j], apart[i:j]))
+                continue
+            if not parts:
+                continue
+            if tree is None:
+                points, sizes, nodes, comps, aparts = (np.concatenate([p[c] for p in parts]) for c in range(5))
+                tree = CountVectorRTree(points, sizes)
+            for q in range(j - i):
+                at = tree.search(vectors[q], int(size[i + q]))
+                at = at[(comps[at] != comp[i + q]) & (~aparts[at] | (nodes[at] > node[i + q]))]
+                out[0].append(np.minimum(nodes[at], node[i + q]))
+                out[1].append(np.maximum(nodes[at], node[i + q]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b"])
 
 
 def _needed_sets(wanted):
@@ -287,6 +291,8 @@ def _needed_sets(wanted):
                 else:
                     maybe = np.zeros(len(keys), bool)
                 rows = [i for i in np.flatnonzero(maybe).tolist() if keys[i] not in seen]
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 seen.update(keys[rows].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array([values[first[i] : first[i + 1]].tobytes() for i in rows], pa.binary())], names=["node", "tokens"])
 
@@ -319,40 +325,44 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose count vectors let them link."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (from_bytes(batch.column(i).to_pylist()) for i in (2, 3))
-        good = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+def searched(members: DataFrame, points: DataFrame, top: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(a, b): pairs of nodes of a hub that the bound lets link, found in R-trees.
+
+    ``members`` has (hub, node, n, component), ``top`` for each hub that is searched the component whose nodes don't ask. The nodes of a
+    hub are dealt to trees of about ``tree_nodes``; those of other components than the top one search all of them.
+    """
+    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / tree_nodes).cast("int").alias("blocks"))
+    rows = members.join(top, "hub").join(blocks, "hub").withColumn("apart", F.col("component") != F.col("top"))
+    rows = rows.join(points, "node")
+    own = F.struct(F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), F.lit(False).alias("asks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.cast("int").alias("block"), F.lit(True).alias("asks")))
+    dealt = rows.withColumn("at", F.explode(F.when(F.col("apart"), F.concat(F.array(own), every)).otherwise(F.array(own))))
+    dealt = dealt.select("hub", "at.block", "at.asks", "node", "n", "component", "apart", "vector")
+    return dealt.repartition("hub", "block").sortWithinPartitions("hub", "block", "asks").mapInArrow(_tree_pairs, "a long, b long").distinct()
 
 
-def node_links(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def node_links(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], tree_nodes: int = TREE_NODES) -> DataFrame:
     """(a, b): verified links that join the nodes of each component of the full link graph."""
     spark = texts.sparkSession
     shared_common = spark.sparkContext.broadcast(common)
     prefixes = texts.select("text").mapInArrow(_prefixes(shared_common), "token long, node long, n long")
-    shared = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, SHARED)
-    shared = stash(shared.select("token", "node", "n"), "shared")
+    shared = stash(prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, SHARED), "shared")
     # the hub of a shingle is the node that shares most shingles: of a group of edited copies, their original
     degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = shared.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
-    star = stash(shared.join(hubs, "token").select(F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "node", "n").distinct(), "star")
+    star = stash(shared.join(hubs, "token").select(F.col("hub.node").alias("hub"), "node", "n").distinct(), "star")
     points = nodes.select("node", "vector").groupBy("node").agg(F.first("vector").alias("vector"))
-    alike = (F.col("n") * DEN >= F.col("hub_n") * NUM) & (F.col("hub_n") * DEN >= F.col("n") * NUM)
-    near = star.where((F.col("node") != F.col("hub")) & alike).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    near = near.join(points.withColumnsRenamed({"node": "a", "vector": "x"}), "a").join(points.withColumnsRenamed({"node": "b", "vector": "y"}), "b").select("a", "b", "x", "y")
-    near = stash(near.mapInArrow(_bounded, "a long, b long"), "near")
+    # first each hub searches the tree of its nodes: it is one component, the others together are the other
+    alone = star.withColumn("component", (F.col("node") == F.col("hub")).cast("long"))
+    near = stash(searched(alone, points, star.select("hub", F.lit(0).cast("long").alias("top")).distinct(), tree_nodes), "near")
     links = stash(verified(near, texts), "star-links")
     joined = stash(components(links), "joined")
-    members = star.select("hub", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # then, around hubs whose nodes are still apart, what is not in the largest component
+    members = star.join(joined, "node", "left").select("hub", "node", "n", F.coalesce("component", "node").alias("component"))
     members = stash(members, "members")
-    open_ = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("hub")
-    rows = members.join(open_, "hub").join(points, "node").select("hub", "node", "n", "component", "vector")
-    rest = rows.repartition("hub").sortWithinPartitions("hub", "node").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    rest = stash(rest.join(near, ["a", "b"], "left_anti"), "tree-pairs")
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("hub").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where(F.col("parts") > 1).select("hub", F.col("largest.component").alias("top"))
+    rest = stash(searched(members, points, top, tree_nodes).join(near, ["a", "b"], "left_anti"), "tree-pairs")
     return links.unionByName(verified(rest, texts))
 
 
@@ -382,7 +392,7 @@ def key_string(docs: DataFrame) -> Column:
     return F.concat_ws("-", F.hex(key["a"]), F.hex(key["b"]))
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) of every row of ``docs``; component is null without words."""
     spark = docs.sparkSession
     texts = docs.select(key_string(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -390,7 +400,7 @@ def link(docs: DataFrame) -> DataFrame:
     common = common_shingles(survey)
     rows = survey.where(F.col("kind") == 0)
     nodes = rows.where(F.col("node").isNotNull())
-    found = stash(components(node_links(texts, nodes, common)), "components")
+    found = stash(components(node_links(texts, nodes, common, tree_nodes)), "components")
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.select("node", "component").distinct().join(least, "component")

@@ -55,14 +55,15 @@ def corpus(seed):
     return rows + rows[:2]
 
 
-def got(spark, rows):
-    return sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, DOCS)).collect()], key=str)
+def got(spark, rows, **options):
+    return sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, DOCS), **options).collect()], key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_as_by_brute_force(spark, seed):
     rows = corpus(seed)
     assert got(spark, rows) == brute(rows)
+    assert got(spark, rows, tree_nodes=2) == brute(rows)  # many trees for a hub
 
 
 def test_empty_table(spark):
@@ -85,7 +86,7 @@ def test_shared_is_the_same_however_rows_are_batched():
         batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + size]) for a in (token, node, n)], names=["token", "node", "n"]) for i in range(0, 80, size)]
         rows = [r for b in jaccard._shared(iter(batches)) for r in b.to_pylist()]
         assert sorted((r["token"], r["node"]) for r in rows) == want
-        assert all(r["leader"] == node[token == r["token"]].min() and r["leader_n"] == r["leader"] + 100 for r in rows)
+        assert all(r["n"] == r["node"] + 100 for r in rows)
 
 
 def test_tree_finds_what_the_bound_admits():
