@@ -81,7 +81,7 @@ def test_templates_drop_what_recurs_and_keep_the_first(spark):
     assert templates.dedup_lines(docs(spark, [])).collect() == []
 
 
-def brute_dedup(rows, depth=3, most=32):
+def brute_dedup(rows, depth=3, most=32, runs=8):
     """Line dedup by plain loops over (doc_id, text) with distinct ids."""
     import re
 
@@ -92,7 +92,8 @@ def brute_dedup(rows, depth=3, most=32):
     docs = defaultdict(set)
     for i, _, t in lines:
         docs[t].add(i)
-    cut = lambda t: [t[k : k + max(1, -(-len(t) // most))] for k in range(0, len(t), max(1, -(-len(t) // most)))]
+    step = lambda t: 1 if len(t) <= most else -(-len(t) // runs)
+    cut = lambda t: [t[k : k + step(t)] for k in range(0, len(t), step(t))]
     seen = defaultdict(int)
     for t, ids in docs.items():
         for pos, f in enumerate(cut(t)):
