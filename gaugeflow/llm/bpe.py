@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeflow.llm.common import batches_of, n_partitions, scratch_path, text_or_empty
+from gaugeflow.llm.common import batches_of, n_partitions, release_memory, scratch_path, text_or_empty
 
 #: Words of a block, unless one document has more: bounds what a task holds.
-BLOCK_WORDS = 8_000_000
+BLOCK_WORDS = 3_000_000
 #: Bytes of split texts that go to a worker at once.
 SPLIT_BYTES = 8 << 20
 #: White space of the tokenizer's pattern, as ranges of code points (fixed values of the Unicode standard).
@@ -113,9 +113,8 @@ def pieces(definition: str) -> list[bytes]:
     return out
 
 
-@functools.lru_cache(maxsize=1)
 def _tokenizer(definition: str) -> Tokenizer:
-    """Read once in each Python worker; a task has one core, so the library's own threads stay off."""
+    """A task has one core, so the library's own threads stay off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_truncation()
@@ -186,13 +185,13 @@ def _blocks(block_words: int):
                 if parts and part[i] > 0:
                     yield block(row, parts)
                     parts, n = [], 0
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
                 row = batch.column(0)[i].as_py() if not parts else row
                 parts.append((batch.column(1).slice(i, j - i), sizes[i:j], batch.column(2).slice(i, j - i).flatten().dictionary_encode()))
                 n += int(sizes[i:j].sum())
         if parts:
             yield block(row, parts)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 
@@ -224,6 +223,8 @@ def _encode(definition: str):
             last, held = distinct[-1], ids[-1]
             uses = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([batch.column(1), batch.column(2)], ["block", "place"]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), uses], names=["ids", "uses"])
+        del tokenizer
+        release_memory()
 
     return encode
 
@@ -249,6 +250,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gathered, n = [], 0
     if held is not None:
         yield _by_block([*gathered, _uses(held, np.array([0, held.num_rows]))])
+    del gathered, held
+    release_memory()
 
 
 def _uses(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.Table:
@@ -311,6 +314,8 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     by_place = np.empty((2, n_words), object)
     by_place[0, place], by_place[1, place] = ids_of, text_of
     del ids_of, text_of
+    del place, found
+    release_memory()
     places, ids, texts, done, at, n = unpacked(block["places"][0].as_py()), [], [], [], 0, 0
     sizes = block["sizes"][0].as_py()
     for row, size in enumerate(sizes):
@@ -321,7 +326,7 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
         if n >= PACKED_AT_ONCE or row + 1 == len(sizes):
             done.append(pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}))
             ids, texts, n = [], [], 0
-    pa.default_memory_pool().release_unused()
+    release_memory()
     doc_id = block["doc_ids"].combine_chunks().flatten()
     return pa.concat_tables(done).add_column(0, "doc_id", doc_id)
 

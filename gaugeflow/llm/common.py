@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,11 @@ def row_key(df: DataFrame) -> Column:
     """Two 64-bit hashes of all columns of a row, nulls included. Rows that are equal throughout have the same."""
     values = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
     return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit("again"), *values).alias("b"))
+
+
+def release_memory() -> None:
+    """Gives what a worker has freed back to the system: workers are kept for later stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
