@@ -574,7 +574,7 @@ def adf_test(spark, sf_dir):
 
 @query()
 def lomb_scargle(spark, sf_dir):
-    return tests_of_series.lomb_scargle(hourly(spark, sf_dir), ["key"], "value", [6, 8, 12, 24, 48, 168])
+    return tests_of_series.lomb_scargle(hourly(spark, sf_dir), ["key"], "value", [6, 8, 12, 24, 48, 168]).withColumn("power", r6(F.col("power")))
 
 
 @query()
@@ -697,7 +697,7 @@ def detectability(spark, sf_dir):
 
 @query()
 def cadence_evidence(spark, sf_dir):
-    return studies.cadence_evidence(events(spark, sf_dir).select(F.col("event_type").alias("key"), "t", "value"), ["key"], "value", [HOUR, 6 * HOUR])
+    return studies.cadence_evidence(events(spark, sf_dir).select(F.col("event_type").alias("key"), "t", "value"), ["key"], "value", [HOUR, 6 * HOUR]).withColumns({c: r6(F.col(c)) for c in ("r1", "change_sd")})
 
 
 @query()
