@@ -45,7 +45,7 @@ def days_chosen(spark, sf_dir):
     return evidence.restrict_to_days(e, e.where(F.col("value") > 90).select(F.floor(F.col("t") / 86400).alias("day"))).select("key", "t", "value")
 
 
-@query(P_SQL + " SELECT 'x' AS driver, count(x) AS n, round(avg((y IS NULL)::INTEGER) FILTER (x IS NOT NULL), 6) AS share_missing, round(corr((y IS NULL)::INTEGER, x), 6) AS r FROM p")
+@query(P_SQL + " SELECT 'x' AS driver, count(x) AS n, round(avg((y IS NULL)::INTEGER) FILTER (x IS NOT NULL), 6) AS share_missing, round(CASE WHEN min((y IS NULL)::INTEGER) FILTER (x IS NOT NULL) < max((y IS NULL)::INTEGER) FILTER (x IS NOT NULL) THEN corr((y IS NULL)::INTEGER, x) END, 6) AS r FROM p")
 def missingness(spark, sf_dir):
     return evidence.missingness(pair(spark, sf_dir), "y", ["x"]).withColumns({c: r6(F.col(c)) for c in ("share_missing", "r")})
 
