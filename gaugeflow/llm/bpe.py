@@ -335,7 +335,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK
     """(doc_id, ids, decoded) of every row of ``docs``: token ids and the text that they decode to."""
     definition, special = read_vocabulary(vocabulary)
     blocks = blocks_of(docs, definition, special, block_words)
-    codes = word_codes(blocks, definition)  # a block with no words at all has none
+    codes = word_codes(blocks, definition)
+    release_memory()  # the tokenizers that the driver has read
     rows = blocks.select("block", "doc_ids", "sizes", "places")
     return rows.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
 

@@ -27,7 +27,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import stash
+from gaugeflow.llm.common import release_memory, stash
 
 BUCKETS = 1 << 16
 #: Rows of the training sample at most.
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fa
     rows = sample.select("label", F.udf(vector, VectorUDT())("terms").alias("features")).coalesce(4).cache()
     model = FMClassifier(factorSize=factors, stepSize=0.1, maxIter=80, regParam=1e-4, initStd=0.05, seed=7).fit(rows)
     rows.unpersist()
+    release_memory()
     return Machine(float(n_toxic / n), weight, model.linear.toArray(), model.factors.toArray(), model.intercept)
 
 
