@@ -42,7 +42,8 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: Factorization machine and BPE can't be expressed in SQL: tests/llm compares each stage with a brute-force version.
+#: Factorization machine and BPE can't be expressed in SQL. tests/llm runs the stages one after the other, and compares the operators that they call
+#: with brute-force versions, held-out labels (toxicity) or the tokenizer's own library (BPE).
 ORACLE_SQL = None
 
 
