@@ -201,7 +201,7 @@ def blocks_of(docs: DataFrame, definition: str, special: list[str], block_words:
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(text_or_empty(), special, newest_pattern(definition)).alias("words"))
     name = f"gaugeflow_blocks_{uuid.uuid4().hex}"
-    out = rows.mapInArrow(_blocks(block_words), BLOCKS).write.option("compression", "zstd").option("path", scratch_path(spark, "bpe-blocks"))
+    out = rows.mapInArrow(_blocks(block_words), BLOCKS).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("path", scratch_path(spark, "bpe-blocks"))
     with batches_of(spark, SPLIT_BYTES):
         out.bucketBy(n_partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
@@ -272,7 +272,7 @@ def _by_block(gathered: list[pa.Table]) -> pa.RecordBatch:
         ids, decoded = part["ids"].combine_chunks(), part["decoded"].combine_chunks()
         numbers = [np.diff(part["place"].to_numpy(), prepend=0), ids.value_lengths().to_numpy(), ids.flatten().to_numpy(), pc.binary_length(decoded).to_numpy()]
         cells = [*map(packed, numbers), b"".join(decoded.to_pylist())]
-        out.append((int(block[i]), *map(zstandard.compress, cells)))
+        out.append((int(block[i]), *(zstandard.compress(c, 9) for c in cells)))
     kinds = [pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["block", "places", "counts", "ids", "lengths", "decoded"])
 
