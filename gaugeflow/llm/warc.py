@@ -2,11 +2,17 @@
 
 ``write_archive`` turns pages into WARC/1.1 records and writes them with Spark's text sink as
 gzipped archives. A payload that repeats an earlier one (equal bytes, at least ``REVISIT_BYTES``)
-becomes a revisit record without payload. A payload longer than ``CHUNK_BYTES`` is streamed as
-rows of (record identifier, chunk number), each a WARC segment (a continuation record) of its own
-that carries the SHA-1 of the payload so far: neither writing nor reading ever joins the chunks of
-such a record in memory. ``read_archive`` reads archives back into the chunk table, and
-``records`` digests it, following the chunks of a record in order with one incremental hash.
+becomes a revisit record without payload, of the identical-payload-digest profile. A payload longer
+than ``CHUNK_BYTES`` is cut by Spark into rows of (record identifier, chunk number), each a WARC
+segment (a continuation record) of its own that carries the SHA-1 of the payload so far: Python
+sees chunks only, and neither writing nor reading joins the chunks of such a record in memory.
+``read_archive`` reads archives back into the chunk table, and ``records`` digests it, following the
+chunks of a record in order with one incremental hash.
+
+Archives of other writers are read too: records of WARC/1.0 and 1.1, field names in any case,
+segments by their standard fields. Blocks are digested as they stand (an HTTP head is part of the
+block), page_id and refers_to are null, and each record is one chunk unless it was segmented. A
+block that holds an empty line followed by ``WARC/1.`` can't be told from two records: it raises.
 
 Null payloads count as empty, empty payloads are responses, a null page_id stays null, rows that
 repeat a page_id are records each, and columns other than page_id, url and html are ignored.
@@ -16,133 +22,178 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import scratch_path
+from gaugeflow.llm.common import batches_of, scratch_path
 
 CHUNK_BYTES = 64 * 1024
 REVISIT_BYTES = 1000
-VERSION = "WARC/1.1"
+#: Bytes of chunks that a Python worker receives at once.
+BATCH_BYTES = 4 << 20
 CRLF = "\r\n"
-#: What stands between two records: the end of one and the first line of the next.
-BETWEEN = CRLF * 2 + VERSION + CRLF
+#: How a record begins, whatever the minor version.
+START = "WARC/1."
+#: What stands between two records: the end of one and how the next begins.
+BETWEEN = CRLF * 2 + START
+#: Every place within the name of the version: a cut there leaves no chunk that reads like the start of a record.
+WITHIN_START = r"(?<=WA)(?=RC/1\.)"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_RECORDS = 50_000
 
-SEGMENTS = "page_id long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, chunk_no int, n_chunks int, prefix_digest string, chunk binary"
+HEAD = ["page_id", "uri", "record_type", "refers_to", "refers_to_uri", "payload_bytes", "payload_digest", "record_id"]
+_HEAD = [("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string())]
+_SCHEMA = pa.schema([*_HEAD, ("chunk_no", pa.int32()), ("total_bytes", pa.int64()), ("prefix_digest", pa.string()), ("chunk", pa.binary())])
+SEGMENTS = "page_id long, uri string, record_type string, refers_to long, refers_to_uri string, payload_bytes long, payload_digest string, record_id string, chunk_no int, total_bytes long, prefix_digest string, chunk binary"
 
 
-def cuts(payload: bytes, chunk_bytes: int) -> list[int]:
-    """Ends of the chunks: every ``chunk_bytes``, and within anything that reads like the start of a record."""
-    ends = set(range(chunk_bytes, len(payload), chunk_bytes))
-    framed, mark = (CRLF * 2).encode() + payload + (CRLF * 2).encode(), BETWEEN.encode()
-    at = framed.find(mark)
-    while at >= 0:
-        ends.add(at + 2)  # "WA" ends one chunk, "RC/1.1" begins the next
-        at = framed.find(mark, at + 1)
-    return [*sorted(e for e in ends if 0 < e < len(payload)), len(payload)]
-
-
-def _chunked(chunk_bytes: int):
-    """Rows of whole payloads to rows of chunks with running digests."""
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            for row in range(batch.num_rows):
-                values = {n: batch.column(i)[row].as_py() for i, n in enumerate(names) if n != "html"}
-                payload = (batch.column(names.index("html"))[row].as_py() or "").encode()
-                ends, start, seen = cuts(payload, chunk_bytes), 0, hashlib.sha1()
-                for number, end in enumerate(ends):
-                    chunk = payload[start:end]
-                    seen.update(chunk)
-                    start = end
-                    piece = values | {"chunk_no": number, "n_chunks": len(ends), "prefix_digest": seen.hexdigest(), "chunk": chunk}
-                    yield pa.RecordBatch.from_pylist([piece], schema=_SCHEMA)
-
-    return stream
-
-
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("prefix_digest", pa.string()), ("chunk", pa.binary())])
-
-
-def segments(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """The chunk table of ``pages``: which record is the response of a payload is decided on digests alone."""
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the chunks of each record and gives each the digest of the payload so far; holds one hash."""
+    record, number, seen = None, 0, hashlib.sha1()
+    for batch in batches:
+        numbers, digests = [], []
+        for name, chunk in zip(batch.column("record_id"), batch.column("chunk"), strict=True):
+            if name.as_py() != record:
+                record, number, seen = name.as_py(), 0, hashlib.sha1()
+            seen.update(chunk.as_buffer())
+            numbers.append(number)
+            digests.append(seen.hexdigest())
+            number += 1
+        made = {"chunk_no": pa.array(numbers, pa.int32()), "prefix_digest": pa.array(digests, pa.string())}
+        yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name).cast(f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _decided(pages: DataFrame, revisit_bytes: int) -> DataFrame:
+    """``pages`` with the record type of each.
+
+    Which record is the response of a payload is decided on narrow rows (page, digest, uri); only the
+    revisits among them meet the payloads again, by page and digest, so that copies of one payload
+    aren't sent to one task.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    uri = F.coalesce(F.col("url"), F.lit(""))
+    uri = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
     safe = F.when(uri.rlike(r"^[\x21-\x7E]*$"), uri).otherwise(F.url_encode(uri))
-    seen = pages.select(F.col("page_id").cast("long").alias("page_id"), safe.alias("uri"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
-    copies = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest")).where(F.col("n") >= revisit_bytes)
-    copies = copies.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where(F.col("copies") > 1).drop("copies")
-    rows = seen.join(copies, seen["payload_digest"] == copies["digest"], "left").drop("digest")
-    revisit = F.col("response").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("response"))) & (F.col("payload_bytes") >= revisit_bytes)
-    rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-    rows = rows.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("response"))).withColumn("record_id", F.expr("uuid()")).drop("response")
-    head = ["page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "record_id"]
-    stands_out = F.lit(CRLF * 2).cast("string")
-    mark = F.concat(stands_out, F.col("html"), stands_out).contains(BETWEEN)
-    streamed = (F.col("record_type") == "response") & ((F.col("payload_bytes") > chunk_bytes) | mark)
-    plain = rows.select(*head, "html", streamed.alias("streamed"))
-    body = F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")).cast("binary")
-    whole = plain.where(~F.col("streamed")).select(*head, F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), F.col("payload_digest").alias("prefix_digest"), body.alias("chunk"))
-    return whole, plain.where(F.col("streamed")).drop("streamed").mapInArrow(_chunked(chunk_bytes), SEGMENTS)
+    place = F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url"))
+    narrow = [F.col("page_id").cast("long").alias("page_id"), safe.alias("uri"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"), place.alias("place")]
+    heads = pages.select(*narrow).where(F.col("payload_bytes") >= revisit_bytes)
+    responses = heads.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.max_by("uri", "page_id").alias("refers_to_uri"), F.count("*").alias("copies"))
+    responses = responses.where((F.col("copies") > 1) & F.col("refers_to").isNotNull()).drop("copies")
+    later = F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))
+    missing = F.col("page_id").isNull().alias("missing")
+    revisits = heads.select("place", "payload_digest", "page_id").distinct().join(responses, "payload_digest").where(later).select("place", missing, "payload_digest", "refers_to", "refers_to_uri")
+    rows = pages.select(*narrow, html.alias("html")).select("*", missing).join(revisits, ["place", "missing", "payload_digest"], "left")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return rows.select("*", kind.alias("record_type"), F.expr("uuid()").alias("record_id")).select(*HEAD, "html")
+
+
+def segments(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, revisit_bytes: int = REVISIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The chunk table of ``pages`` in two parts: records of one chunk (``chunk_no`` null), and those that are streamed."""
+    rows, own = _decided(pages, revisit_bytes), F.col("record_type") == "response"
+    marked = F.col("html").contains(START)
+    streamed = own & ((F.col("payload_bytes") > chunk_bytes) | marked)
+    body = F.when(own, F.col("html")).otherwise(F.lit("")).cast("binary")
+    none = F.lit(None)
+    whole = rows.where(~streamed).select(*HEAD, none.cast("int").alias("chunk_no"), none.cast("long").alias("total_bytes"), none.cast("string").alias("prefix_digest"), body.alias("chunk"))
+    pieces = F.when(marked, F.split("html", WITHIN_START, -1)).otherwise(F.array("html"))
+    cut = rows.where(streamed).select(*HEAD, F.size(pieces).alias("n_pieces"), F.posexplode(pieces).alias("piece_no", "piece"))
+    last = F.greatest(F.lit(0), F.floor((F.octet_length("piece") - 1) / chunk_bytes).cast("int"))
+    cut = cut.select("*", last.alias("last_no"), F.explode(F.sequence(F.lit(0), last)).alias("slice_no"))
+    ends = (F.col("piece_no") == F.col("n_pieces") - 1) & (F.col("slice_no") == F.col("last_no"))
+    chunk = F.col("piece").cast("binary").substr(F.col("slice_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return whole, cut.select(*HEAD, F.when(ends, F.col("payload_bytes")).alias("total_bytes"), chunk.alias("chunk")).mapInArrow(_running, SEGMENTS)
 
 
 def _header(*fields: tuple[str, Column]) -> Column:
-    return F.concat(*[F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit(CRLF)) for name, value in fields])
+    """The fields that have a value, a line each."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit("")) for name, value in fields])
+
+
+def _urn(record_id: Column) -> Column:
+    return F.concat(F.lit("<urn:uuid:"), record_id, F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Writes gzipped WARC archives of at most ``ARCHIVE_RECORDS`` records each under ``path``."""
-    kind = F.when(F.col("chunk_no") > 0, F.lit("continuation")).otherwise(F.col("record_type"))
-    c = F.col
+    """Writes gzipped WARC archives of at most ``ARCHIVE_RECORDS`` records each under ``path``.
+
+    A page without a URL gets ``urn:page:`` and its id as target; all records carry the time of the call.
+    """
+    c, now = F.col, F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    later, revisit = c("chunk_no") > 0, c("record_type") == "revisit"
+    mixed = F.md5(F.concat_ws("/", "record_id", "chunk_no"))
+    own_id = F.when(later, F.regexp_replace(mixed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).otherwise(c("record_id"))
     header = F.concat(
-        F.lit(VERSION + CRLF),
+        F.lit(START + "1" + CRLF),
         _header(
-            ("WARC-Type", kind), ("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), c("record_id"), F.lit(">"))), ("WARC-Target-URI", c("uri")), ("Content-Type", F.lit("text/html")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("payload_digest"))), ("WARC-Segment-Number", c("chunk_no") + 1),
-            ("Content-Length", F.octet_length("chunk")), ("X-Page", c("page_id")), ("X-Refers-To-Page", c("refers_to")), ("X-Payload-Length", c("payload_bytes")), ("X-Record-Type", c("record_type")), ("X-Chunks", c("n_chunks")), ("X-Digest-So-Far", c("prefix_digest")),
+            ("WARC-Type", F.when(later, "continuation").otherwise(c("record_type"))), ("WARC-Record-ID", _urn(own_id)), ("WARC-Date", now), ("WARC-Target-URI", c("uri")),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("payload_digest"))), ("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1("chunk"))),
+            ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To-Target-URI", c("refers_to_uri")), ("WARC-Refers-To-Date", F.when(revisit, now)),
+            ("WARC-Segment-Number", c("chunk_no") + 1), ("WARC-Segment-Origin-ID", F.when(later, _urn(c("record_id")))), ("WARC-Segment-Total-Length", c("total_bytes")),
+            ("Content-Type", F.when(~F.coalesce(later, F.lit(False)), "text/html")), ("Content-Length", F.octet_length("chunk")),
+            ("X-Page", c("page_id")), ("X-Refers-To-Page", c("refers_to")), ("X-Payload-Length", c("payload_bytes")), ("X-Digest-So-Far", c("prefix_digest")),
         ),
         F.lit(CRLF),
     )
-    whole, streamed = segments(pages, chunk_bytes, revisit_bytes)
-    lines = whole.unionByName(streamed).select(F.concat(header.cast("binary"), c("chunk"), F.lit(CRLF).cast("binary")).cast("string").alias("value"))
-    lines.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    with batches_of(pages.sparkSession, BATCH_BYTES):
+        whole, streamed = segments(pages, chunk_bytes, revisit_bytes)
+        lines = whole.unionByName(streamed).select(F.concat(header.cast("binary"), c("chunk"), F.lit(CRLF).cast("binary")).cast("string").alias("value"))
+        lines.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives under ``path``; blocks come back byte by byte as their headers measure them."""
-    raw = spark.read.option("lineSep", BETWEEN).text(path)  # the first record of a file keeps its version line, which counts as head
+    """The chunk table of the archives under ``path``; blocks come back byte by byte as their headers measure them.
+
+    ``chunk_no`` is null where a record isn't segmented; ``record_id`` is that of the first segment.
+    """
+    raw = spark.read.option("lineSep", BETWEEN).text(path)  # a row starts at its minor version; the first of a file with its whole version line
+    raw = raw.where(F.octet_length("value") > 0)
     head = F.substring_index("value", CRLF * 2, 1)
-    field = lambda name: F.regexp_extract("head", f"(?:^|\\n){name}: ([^\\r]*)", 1)
-    number = lambda name, kind="long": F.nullif(field(name), F.lit("")).cast(kind)
+    field = lambda name: F.nullif(F.regexp_extract("head", f"(?i)\\n{name}: *([^\\r]*)", 1), F.lit(""))
+    number = lambda name, kind="long": field(name).cast(kind)
     rows = raw.select(head.alias("head"), F.col("value").cast("binary").alias("raw"))
     rows = rows.select("*", number("Content-Length", "int").alias("block_bytes"))
+    block = F.col("raw").substr(F.octet_length("head") + 5, F.col("block_bytes"))
+    broken = F.raise_error(F.concat(F.coalesce(field("WARC-Record-ID"), F.lit("a record")), F.lit(": its block isn't as long as its header says")))
+    whole = F.when(F.octet_length(block) == F.col("block_bytes"), block).otherwise(broken.cast("binary"))
+    origin = F.coalesce(field("WARC-Segment-Origin-ID"), field("WARC-Record-ID"))
     return rows.select(
-        number("X-Page").alias("page_id"), field("WARC-Target-URI").alias("uri"), field("X-Record-Type").alias("record_type"), number("X-Refers-To-Page").alias("refers_to"), number("X-Payload-Length").alias("payload_bytes"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        field("WARC-Record-ID").alias("record_id"), (number("WARC-Segment-Number", "int") - 1).alias("chunk_no"), number("X-Chunks", "int").alias("n_chunks"), field("X-Digest-So-Far").alias("prefix_digest"), F.col("raw").substr(F.octet_length("head") + 5, F.col("block_bytes")).alias("chunk"),
+        number("X-Page").alias("page_id"), field("WARC-Target-URI").alias("uri"), field("WARC-Type").alias("record_type"), number("X-Refers-To-Page").alias("refers_to"), number("X-Payload-Length").alias("payload_bytes"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        origin.alias("record_id"), (number("WARC-Segment-Number", "int") - 1).alias("chunk_no"), number("WARC-Segment-Total-Length").alias("total_bytes"), field("X-Digest-So-Far").alias("prefix_digest"), whole.alias("chunk"),
     )
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks in order of (record_id, chunk_no) to a row per record; holds one hash, never a payload."""
-    record = seen = first = None
-    size = 0
+    record, seen, size, first, total, number = None, hashlib.sha1(), 0, {}, None, 0
+
+    def done() -> list[dict]:
+        if record is None:
+            return []
+        if total != size:
+            raise ValueError(f"{record}: its last chunk is missing")
+        kept = {name: first[name] for name in ("page_id", "record_type", "refers_to")}
+        return [kept | {"payload_bytes": size, "payload_digest": seen.hexdigest()}]
+
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        chunks = batch.column("chunk")
+        for at, row in enumerate(batch.drop_columns(["chunk"]).to_pylist()):
             if row["record_id"] != record:
-                record, seen, size, first = row["record_id"], hashlib.sha1(), 0, row
-                if row["chunk_no"] != 0:
-                    raise ValueError(f"{record}: its first chunk is missing")
-            seen.update(row["chunk"])
-            size += len(row["chunk"])
-            if seen.hexdigest() != row["prefix_digest"]:
+                out += done()
+                record, seen, size, first, total, number = row["record_id"], hashlib.sha1(), 0, row, None, 0
+            if row["chunk_no"] != number:
+                raise ValueError(f"{record}: chunk {number} is missing or stands twice")
+            piece = chunks[at].as_buffer()
+            seen.update(piece)
+            size += len(piece)
+            number += 1
+            total = row["total_bytes"]
+            if row["prefix_digest"] is not None and seen.hexdigest() != row["prefix_digest"]:
                 raise ValueError(f"{record}: chunk {row['chunk_no']} differs from its digest")
-            if row["chunk_no"] + 1 == row["n_chunks"]:
-                out.append({"page_id": first["page_id"], "payload_bytes": size, "payload_digest": seen.hexdigest(), "record_type": first["record_type"], "refers_to": first["refers_to"]})
         yield pa.RecordBatch.from_pylist(out, schema=_RECORD)
+    yield pa.RecordBatch.from_pylist(done(), schema=_RECORD)
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -150,11 +201,11 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """A row per record, digested from the bytes that were read; a revisit has those of the payload it names."""
-    single = chunks.where(F.col("n_chunks") == 1)
-    own = F.col("record_type") == "response"
+    """A row per record, digested from the bytes that were read; a revisit has length and digest of the payload it names."""
+    single = chunks.where(F.col("chunk_no").isNull())
+    own = F.col("record_type") != "revisit"
     whole = single.select("page_id", F.when(own, F.octet_length("chunk").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(own, F.sha1("chunk")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
-    several = chunks.where(F.col("n_chunks") > 1).select("page_id", "record_type", "refers_to", "record_id", "chunk_no", "n_chunks", "prefix_digest", "chunk")
+    several = chunks.where(F.col("chunk_no").isNotNull()).select("page_id", "record_type", "refers_to", "record_id", "chunk_no", "total_bytes", "prefix_digest", "chunk")
     return whole.unionByName(several.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_follow, RECORDS))
 
 

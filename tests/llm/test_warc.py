@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import warc
@@ -62,3 +64,46 @@ def test_altered_chunk_is_noticed(spark, tmp_path):
         assert "differs from its digest" in str(e)
     else:
         raise AssertionError
+
+
+def test_archives_of_other_writers_and_missing_chunks(spark, tmp_path):
+    def record(*lines, body=b"", version="WARC/1.0"):
+        head = "\r\n".join([version, *lines, f"content-length: {len(body)}", "", ""])
+        return gzip.compress(head.encode() + body + b"\r\n\r\n")
+
+    html = b"<p>\xff\x00 bytes\r\n\r\nof any kind</p>"
+    parts = [
+        record("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>", body=b"software: x"),
+        record("warc-type: response", "warc-record-id: <urn:uuid:1>", "WARC-Target-URI:http://a", body=html),
+        record("WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", "WARC-Segment-Number: 1", body=html, version="WARC/1.1"),
+        record("WARC-Type: continuation", "WARC-Record-ID: <urn:uuid:3>", "WARC-Segment-Origin-ID: <urn:uuid:2>", "WARC-Segment-Number: 2", f"WARC-Segment-Total-Length: {len(html) + 4}", body=b"tail", version="WARC/1.1"),
+    ]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(parts))
+    got = sorted(tuple(r) for r in warc.records(warc.read_archive(spark, str(tmp_path / "other.warc.gz"))).select("payload_bytes", "payload_digest", "record_type").collect())
+    of = lambda body, kind: (len(body), hashlib.sha1(body).hexdigest(), kind)
+    assert got == sorted([of(b"software: x", "warcinfo"), of(html, "response"), of(html + b"tail", "response")])
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(parts[:3]))
+    (tmp_path / "short.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nab\r\n\r\n"))
+    for name, says in (("cut", "last chunk is missing"), ("short", "as long as its header says")):
+        with pytest.raises(Exception, match=says):
+            warc.records(warc.read_archive(spark, str(tmp_path / f"{name}.warc.gz"))).collect()
+
+
+def test_records_carry_the_fields_that_the_format_asks_for(spark, tmp_path):
+    rows = [(1, "http://a", "x" * 3000, "u"), (2, "http://b", "x" * 3000, "u"), (3, None, "y" * 12, "u")]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), chunk_bytes=1000)
+    text = "".join(gzip.decompress(p.read_bytes()).decode() for p in sorted((tmp_path / "w").glob("*.gz")))
+    heads = [dict(line.split(": ", 1) for line in part.split("\r\n\r\n")[0].split("\r\n")[1:]) for part in text.split("WARC/1.")[1:]]
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= h.keys() for h in heads)
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == 5
+    revisit = next(h for h in heads if h["WARC-Type"] == "revisit")
+    assert revisit["WARC-Refers-To-Target-URI"] == "http://b" and revisit["WARC-Profile"] == warc.PROFILE and revisit["Content-Length"] == "0"
+    assert sorted(h["WARC-Segment-Number"] for h in heads if "WARC-Segment-Number" in h) == ["1", "2", "3"]
+    assert [h["WARC-Segment-Total-Length"] for h in heads if "WARC-Segment-Total-Length" in h] == ["3000"]
+
+
+def test_extra_columns_with_clashing_names_and_repeated_rows(spark):
+    names = "page_id long, url string, html string, place string, payload_digest string, refers_to string, record_id string"
+    rows = [(i % 3 if i % 4 else None, None, "z" * (2000 if i % 2 else 50), "p", "d", "r", "i") for i in range(24)]
+    got = sorted([tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, names)).collect()], key=str)
+    assert got == expected([r[:4] for r in rows])
