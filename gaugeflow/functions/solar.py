@@ -27,8 +27,9 @@ def declination(gamma: Column) -> Column:
 
 
 def solar_noon(t: Column, longitude: float) -> Column:
-    """Hour (UTC) of solar noon on the day of ``t``, with the equation of time at ``t``."""
-    return (720 - 4 * longitude - equation_of_time(year_angle(t))) / 60
+    """Hour (UTC) of solar noon on the day of ``t``: one value per day, with the equation of time of its date."""
+    date_angle = (2 * 3.141592653589793 / 365.0) * (F.dayofyear(civil(t)) - 1)
+    return (720 - 4 * longitude - equation_of_time(date_angle)) / 60
 
 
 def solar_elevation(t: Column, latitude: float, longitude: float) -> Column:

@@ -49,7 +49,8 @@ def iterative_impute(df: DataFrame, keys: Sequence[str], target: str, drivers: S
     """Fills null runs forward in time with one-step predictions of the change, each fed with what was filled before.
 
     The model is a ridge per key on driver values, lagged changes and cyclic features. A run whose last value is over
-    ``seed_hours`` back stays null; with a feature missing the level is carried. Adds filled and imputed.
+    ``seed_hours`` back stays null; a row with a feature missing stays null, and the next one goes on from the last
+    level. Changes are known between values that were given, and where they were predicted. Adds filled and imputed.
     """
     table = training_table(df, keys, target, drivers, (0,), own_lags)
     feats = [*[f"{d}_lag_0" for d in drivers], *[f"delta_lag_{k}" for k in own_lags], "hour_sin", "hour_cos", "doy_sin", "doy_cos", "month_sin", "month_cos"]
@@ -67,16 +68,17 @@ def iterative_impute(df: DataFrame, keys: Sequence[str], target: str, drivers: S
             x = pdf[static].to_numpy(float)
             place = {f: i for i, f in enumerate(static)}
             delta = np.concatenate([[np.nan], np.diff(y)])
-            last = -1
+            level = np.nan
             for i in range(len(y)):
                 if given[i]:
-                    last = i
-                elif last >= 0 and t[i] - t[last] <= seed_hours * 3600 or i and last >= 0 and not np.isnan(y[i - 1]):
-                    row = [x[i, place[f]] if f in place else delta[i - int(f.rsplit("_", 1)[1])] if i >= int(f.rsplit("_", 1)[1]) else np.nan for f in feats]
-                    step = float(coef[0] + coef[1:] @ np.array(row)) if not np.isnan(row).any() else 0.0
-                    y[i] = y[i - 1] + step if i else np.nan
-                if i and np.isnan(delta[i]):
-                    delta[i] = y[i] - y[i - 1]
+                    level = y[i]
+                    continue
+                if i and given[i - 1] and t[i] - t[i - 1] > seed_hours * 3600:
+                    level = np.nan
+                row = [x[i, place[f]] if f in place else delta[i - int(f.rsplit("_", 1)[1])] if i >= int(f.rsplit("_", 1)[1]) else np.nan for f in feats]
+                if not np.isnan([level, *row]).any():
+                    delta[i] = float(coef[0] + coef[1:] @ np.array(row))
+                    level = y[i] = level + delta[i]
         return pdf[[*keys, "t", target]].assign(filled=y, imputed=~given & ~np.isnan(y))
 
     types = dict(df.dtypes)

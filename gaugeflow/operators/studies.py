@@ -59,10 +59,10 @@ def summary_by_group(df: DataFrame, by: Sequence[str], values: Sequence[str]) ->
 
 
 def rolling_robust_z(df: DataFrame, keys: Sequence[str], value: str, window: int = 25, least: int = 5) -> DataFrame:
-    """(value - rolling median) over 1.4826 rolling MAD about it; where that is 0 or null, over the residuals' standard deviation of the key."""
+    """(value - rolling median) over 1.4826 rolling MAD about it, each of ``least`` values or more; where that is 0 or null, over the residuals' standard deviation of the key."""
     w = order(keys).rowsBetween(-(window // 2), window - window // 2 - 1)
     rows = df.withColumn("__m", F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(0.5)).over(w))).withColumn("__e", F.col(value) - F.col("__m"))
-    rows = rows.withColumn("__s", 1.4826 * F.percentile(F.abs("__e"), F.lit(0.5)).over(w))
+    rows = rows.withColumn("__s", F.when(F.count("__e").over(w) >= least, 1.4826 * F.percentile(F.abs("__e"), F.lit(0.5)).over(w)))
     spread = rows.groupBy(*keys).agg(F.stddev_samp(F.abs("__e")).alias("__g"))
     rows = rows.join(spread, list(keys))
     scale = F.when(F.coalesce(F.col("__s"), F.lit(0.0)) > 0, F.col("__s")).otherwise(F.col("__g"))

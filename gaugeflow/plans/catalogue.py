@@ -355,8 +355,8 @@ _EOT = "229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 *
 _DEC = "(0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g))"
 
 
-@query(E_SQL + f""", a AS (SELECT DISTINCT t, 2 * pi() / 365.0 * (dayofyear(make_timestamp(t * 1000000)) - 1 + ((t % 86400) / 3600.0::DOUBLE - 12) / 24) AS g FROM e),
-b AS (SELECT t, (720 - 4 * {LONGITUDE} - {_EOT}) / 60 AS noon, {_DEC} AS d, radians(((t % 86400) / 60.0::DOUBLE + {_EOT} + 4 * {LONGITUDE}) / 4 - 180) AS h FROM a),
+@query(E_SQL + f""", a AS (SELECT DISTINCT t, 2 * pi() / 365.0 * (dayofyear(make_timestamp(t * 1000000)) - 1 + ((t % 86400) / 3600.0::DOUBLE - 12) / 24) AS g, 2 * pi() / 365.0 * (dayofyear(make_timestamp(t * 1000000)) - 1) AS g0 FROM e),
+b AS (SELECT t, (720 - 4 * {LONGITUDE} - {_EOT.replace('(g)', '(g0)').replace('* g)', '* g0)')}) / 60 AS noon, {_DEC} AS d, radians(((t % 86400) / 60.0::DOUBLE + {_EOT} + 4 * {LONGITUDE}) / 4 - 180) AS h FROM a),
 c AS (SELECT t, noon, 90 - degrees(acos(greatest(least(sin(radians({LATITUDE})) * sin(d) + cos(radians({LATITUDE})) * cos(d) * cos(h), 1), -1))) AS el FROM b)
 SELECT t, round(noon, 5) AS noon, round(el, 5) AS elevation, el > 0 AS daylight FROM c""")
 def solar_position(spark, sf_dir):

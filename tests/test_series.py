@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import circular, solar
 from gaugeflow.functions.time import civil_to_utc, seconds
-from gaugeflow.operators import compare, coupling, grid, imputation, islands, monitoring, prediction, quality, rolling, tests_of_series
+from gaugeflow.operators import compare, coupling, grid, imputation, islands, monitoring, prediction, quality, rolling, studies, tests_of_series
 from gaugeflow.sources import logger, tables
 
 H = 3600
@@ -218,6 +218,41 @@ def test_iterative_imputation_follows_the_driver(spark):
     assert sum(r.imputed for r in out) == 20 and max(abs(out[i].filled - y[i]) for i in range(300, 320)) < 0.05
 
 
+def test_iterative_imputation_leaves_rows_without_features_null(spark):
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=400)
+    y = np.cumsum(d)
+    rows = [("k", i * H, None if 200 <= i < 210 else float(v), None if i == 204 else float(x)) for i, (v, x) in enumerate(zip(y, d))]
+    df = spark.createDataFrame(rows, "key string, t long, y double, d double")
+    out = imputation.iterative_impute(df, ["key"], "y", ["d"], (), penalty=1e-6).orderBy("t").collect()
+    assert out[204].filled is None and not out[204].imputed and sum(r.imputed for r in out) == 9
+    missed = y[204] - y[203]  # the change of the hour without a driver isn't made up
+    assert max(abs(out[i].filled - (y[i] - (missed if i > 204 else 0))) for i in range(200, 210) if i != 204) < 0.05
+    late = df.where("t < 200 * 3600 or t >= 260 * 3600").unionByName(df.where(f"t = {260 * H}").selectExpr("key", f"{255 * H}L AS t", "null AS y", "d"))
+    assert imputation.iterative_impute(late, ["key"], "y", ["d"], (), penalty=1e-6).where(f"t = {255 * H}").first().filled is None
+
+
+def test_solar_noon_is_one_hour_per_day(spark):
+    days = spark.range(0, 24).select((F.lit(1718928000) + F.col("id") * H).alias("t")).select(F.round(solar.solar_noon(F.col("t"), 12.58), 9).alias("n")).distinct().collect()
+    gamma = 2 * np.pi / 365 * (173 - 1)
+    eot = 229.18 * (0.000075 + 0.001868 * np.cos(gamma) - 0.032077 * np.sin(gamma) - 0.014615 * np.cos(2 * gamma) - 0.040849 * np.sin(2 * gamma))
+    assert len(days) == 1 and abs(days[0].n - (720 - 4 * 12.58 - eot) / 60) < 1e-8
+
+
+def test_rolling_robust_z_is_that_of_pandas(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    v = pd.Series(np.where(rng.random(300) < 0.6, np.nan, rng.normal(size=300).round(1)))
+    m = v.rolling(25, center=True, min_periods=5).median()
+    e = v - m
+    s = 1.4826 * e.abs().rolling(25, center=True, min_periods=5).median()
+    want = e / s.replace(0.0, np.nan).fillna(e.abs().std())
+    rows = [("k", i * H, None if np.isnan(x) else float(x)) for i, x in enumerate(v)]
+    got = [r.z for r in studies.rolling_robust_z(spark.createDataFrame(rows, "key string, t long, v double"), ["key"], "v").orderBy("t").collect()]
+    assert np.allclose([np.nan if z is None else z for z in got], want, equal_nan=True)
+
+
 def test_duplicate_policies(spark):
     df = spark.createDataFrame([(0, 0, None), (0, 1, 0.0), (0, 2, 3.0), (1, 0, None), (1, 1, 0.0), (2, 0, None)], "t long, o int, v double")
     get = lambda p: {r.t: r.v for r in quality.merge_duplicates(df, ["t"], ["v"], "o", p).collect()}
