@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.stats import error_scores
 
+#: Accuracy of the approximate quantiles that bracket an order statistic; ranks are off by a part in as many at most.
+BRACKET = 10_000
+
 
 def segment_folds(segments: DataFrame, initial: int, folds: int, by: Sequence[str] = ()) -> DataFrame:
     """(segment, fold): segments after the first ``initial`` dealt in order to at most ``folds`` test folds; fold 0 only trains.
@@ -54,11 +59,21 @@ def route(core: Column, rich: Column, ar: Column, task: str, horizon: int) -> Co
 
 def conformal_scale(df: DataFrame, by: Sequence[str], y: str, yhat: str, level: float = 0.9) -> DataFrame:
     """Split-conformal half-width: the ceil((n + 1) * level)-th smallest absolute error; null if there are too few."""
-    ranked = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()).withColumn("__e", F.abs(F.col(y) - F.col(yhat)))
-    w = Window.partitionBy(*by)
-    ranked = ranked.withColumn("__n", F.count("*").over(w)).withColumn("__k", F.row_number().over(w.orderBy("__e")))
-    at = F.ceil((F.col("__n") + 1) * level)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.when(F.col("__k") == at, F.col("__e"))).alias("half_width"))
+    errors = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()).select(*by, F.abs(F.col(y) - F.col(yhat)).alias("__e"))
+    # approximate quantiles only bracket the order statistic: what is below is counted, and just the errors between are ordered
+    pad = 5 / BRACKET
+    near = F.percentile_approx("__e", [max(level - pad, 0.0), min(level + pad, 1.0)], BRACKET)
+    known = errors.groupBy(*by).agg(F.count("*").alias("__n"), near.alias("__q"), F.min("__e").alias("__lo"), F.max("__e").alias("__hi"))
+    few = F.col("__n") <= BRACKET
+    known = known.select(*by, "__n", F.when(few, F.col("__lo")).otherwise(F.col("__q")[0]).alias("__lo"), F.when(few, F.col("__hi")).otherwise(F.col("__q")[1]).alias("__hi"))
+    same = lambda other: reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in by], F.lit(True))
+    rows = errors.alias("a").join(known.alias("b"), same("b")).select(*[F.col(f"a.{k}").alias(k) for k in by], "__e", "__n", "__lo", "__hi")
+    e = F.col("__e")
+    below = rows.groupBy(*by).agg(F.first("__n").alias("n"), F.count(F.when(e < F.col("__lo"), 1)).alias("__below"))
+    between = rows.where(e.between(F.col("__lo"), F.col("__hi"))).select(*by, "__e", F.row_number().over(Window.partitionBy(*by).orderBy("__e")).alias("__k"))
+    at = F.ceil((F.col("n") + 1) * level)
+    chosen = below.alias("a").join(between.alias("c"), same("c") & (F.col("c.__k") == at - F.col("__below")), "left")
+    return chosen.select(*[F.col(f"a.{k}").alias(k) for k in by], "n", F.col("__e").alias("half_width"))
 
 
 def bootstrap_skill(df: DataFrame, parent: str, child: str, block: int, repetitions: int = 2000, seed: int = 0, batches: int = 16) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 def merge_duplicates(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str, policy: str = "first_non_null") -> DataFrame:
     """One row per key. Per value: 'first_non_null'; 'first_non_zero' (with several distinct values the first that isn't 0, else 0; otherwise the first row's);
-    'keep_first' and 'keep_last' keep whole rows."""
+    'keep_first' and 'keep_last' keep whole rows; 'keep_none' leaves out every key that has several rows."""
+    if policy == "keep_none":
+        alone = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.any_value(F.struct(*[c for c in df.columns if c not in keys])).alias("__row"))
+        return alone.where(F.col("__n") == 1).select(*keys, "__row.*").select(*df.columns)
     if policy in ("keep_first", "keep_last"):
         at = F.col(order).asc() if policy == "keep_first" else F.col(order).desc()
         return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where(F.col("__n") == 1).drop("__n")

@@ -120,6 +120,16 @@ def coefficient_sweep(df: DataFrame, a: str, b: str, coefficients: Sequence[floa
     return rows.select("coefficient", variance.alias("variance"), F.abs(F.try_divide(F.col("cab") - c * F.col("vb"), F.sqrt(F.greatest(variance, F.lit(0.0)) * F.col("vb")))).alias("abs_r"))
 
 
+def _mean_ranks(counts: DataFrame, c: str, parts: int = 200) -> DataFrame:
+    """``counts`` (distinct values and ``__n``) with the mean rank ``__r`` of each value: ranks within ranges of values, plus what the ranges before hold."""
+    bounds = counts.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)]).alias("__b"))  # one row
+    placed = counts.withColumn("__b", bounds.scalar()).select(c, "__n", F.size(F.filter("__b", lambda b: b < F.col(c))).alias("__p"))
+    before = placed.groupBy("__p").agg(F.sum("__n").alias("__s"))  # a row per range
+    before = before.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__s"))
+    inside = F.sum("__n").over(Window.partitionBy("__p").orderBy(c))
+    return placed.withColumn("__i", inside).join(F.broadcast(before), "__p").withColumn("__r", F.col("__s") + F.col("__i") - (F.col("__n") - 1) / 2)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """(a, b, r, n) of every pair of columns, over rows with both; 'spearman' ranks each column's values (ties averaged) over complete rows."""
     rows = df.select(*columns)
@@ -127,7 +137,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
         rows = rows.dropna("any")
         for c in columns:
             counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-            ranks = counts.withColumn("__r", F.sum("__n").over(Window.orderBy(c)) - (F.col("__n") - 1) / 2).select(c, F.col("__r").alias(f"__r_{c}"))
+            ranks = _mean_ranks(counts, c).select(c, F.col("__r").alias(f"__r_{c}"))
             rows = rows.join(ranks, c)
         rows = rows.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]

@@ -253,11 +253,32 @@ def test_rolling_robust_z_is_that_of_pandas(spark):
     assert np.allclose([np.nan if z is None else z for z in got], want, equal_nan=True)
 
 
+def test_conformal_width_is_the_order_statistic(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") > 20, "b").alias("m"), F.lit(0.0).alias("y"), F.round(F.pow(F.rand(7), F.lit(2)), 4).alias("p"))
+    rows = rows.unionByName(spark.createDataFrame([("few", 0.0, float(i)) for i in range(8)] + [("few", None, 99.0)], "m string, y double, p double"))
+    groups = {}
+    for r in rows.collect():
+        if r.y is not None:
+            groups.setdefault(r.m, []).append(abs(r.y - r.p))
+    want = {m: (len(e), sorted(e)[math.ceil((len(e) + 1) * 0.9) - 1] if math.ceil((len(e) + 1) * 0.9) <= len(e) else None) for m, e in groups.items()}
+    assert {r.m: (r.n, r.half_width) for r in prediction.conformal_scale(rows, ["m"], "y", "p").collect()} == want and len(want) == 4 and want["few"][1] is None
+
+
+def test_ranks_over_many_values_are_those_of_one_sort(spark):
+    counts = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), (F.col("id") % 4 + 1).alias("__n"))
+    got = {r.v: r["__r"] for r in studies._mean_ranks(counts, "v").collect()}
+    seen, want = 0, {}
+    for r in sorted(counts.collect()):
+        seen += r["__n"]
+        want[r.v] = seen - (r["__n"] - 1) / 2
+    assert got == want
+
+
 def test_duplicate_policies(spark):
     df = spark.createDataFrame([(0, 0, None), (0, 1, 0.0), (0, 2, 3.0), (1, 0, None), (1, 1, 0.0), (2, 0, None)], "t long, o int, v double")
     get = lambda p: {r.t: r.v for r in quality.merge_duplicates(df, ["t"], ["v"], "o", p).collect()}
     assert get("first_non_null") == {0: 0.0, 1: 0.0, 2: None} and get("first_non_zero") == {0: 3.0, 1: None, 2: None}
-    assert get("keep_last") == {0: 3.0, 1: 0.0, 2: None}
+    assert get("keep_last") == {0: 3.0, 1: 0.0, 2: None} and get("keep_none") == {2: None}
 
 
 def test_logger_records(spark):
