@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.stats import correlation, n_paired
+from gaugeflow.operators import scans
 
 
 def lag_scan(df: DataFrame, keys: Sequence[str], response: str, driver: str, lags: Sequence[int], least: int = 24, compact: bool = False) -> DataFrame:
@@ -40,34 +39,22 @@ def rank_features(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
     return one.unpivot([], list(features), "feature", "abs_r").orderBy(F.col("abs_r").desc_nulls_last(), "feature")
 
 
-def low_pass(x: np.ndarray, tau: float, dt: float) -> np.ndarray:
-    """First-order filter: x interpolated over its gaps (held beyond its ends), smoothed with alpha = dt / (tau + dt), null where x was."""
-    known = ~np.isnan(x)
-    if tau <= 0 or not known.any():
-        return x.copy()
-    place = np.arange(len(x))
-    full = np.interp(place, place[known], x[known])
-    alpha, out = dt / (tau + dt), np.empty(len(x))
-    level = full[0]
-    for i, v in enumerate(full):
-        level = level + alpha * (v - level)
-        out[i] = level
-    out[~known] = np.nan
-    return out
-
-
 def thermal_lag(df: DataFrame, keys: Sequence[str], value: str, taus: Sequence[float], dt: float = 1.0) -> DataFrame:
-    """(keys, t, tau, value): the filtered series for each time constant in hours; each key's rows in order of t in one group."""
+    """(keys, t, tau, value): the first-order filtered series for each time constant in hours, on a grid of ``dt`` hours.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        x = pdf[value].to_numpy(float)
-        return pd.concat([pdf.assign(tau=float(tau), **{value: low_pass(x, tau, dt)}) for tau in taus])[[*keys, "t", "tau", value]]
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", t long, tau double, {value} double"
-    out = df.select(*keys, "t", value).groupBy(*keys).applyInPandas(run, schema)
-    return out.withColumn(value, F.when(~F.isnan(value), F.col(value)))
+    Gaps are bridged by interpolation, or the nearest value beyond the ends; the filter then moves by dt / (tau + dt) of the
+    difference at each step and starts at the first value. What was null is null again. tau = 0 leaves the series as it is.
+    All time constants share one scan by blocks.
+    """
+    step = round(dt * 3600)
+    firsts = df.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("t"))).alias("__first"))
+    full = scans.interpolated(df.select(*keys, "t", value), keys, value, step * 4096).join(firsts, list(keys))
+    slow = {f"__{i}": float(tau) for i, tau in enumerate(taus) if tau > 0}
+    if slow:
+        states = {name: (tau / (tau + dt), F.col("filled") * (dt / (tau + dt))) for name, tau in slow.items()}
+        full = scans.decayed(full, keys, states, F.col("filled").isNotNull(), step, F.col("__first"))
+    each = [F.struct(F.lit(float(tau)).alias("tau"), F.when(F.col(value).isNotNull(), F.col(f"__{i}") if tau > 0 else F.col(value)).alias(value)) for i, tau in enumerate(taus)]
+    return full.select(*keys, "t", F.explode(F.array(*each)).alias("__e")).select(*keys, "t", "__e.*")
 
 
 def operator_scan(df: DataFrame, keys: Sequence[str], response: str, driver: str, lags: Sequence[int], taus: Sequence[float], least: int = 24, dt: float = 1.0) -> DataFrame:

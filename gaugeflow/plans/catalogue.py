@@ -559,7 +559,7 @@ def conformal_band(spark, sf_dir):
 
 @query()
 def thermal_lag_scan(spark, sf_dir):
-    return coupling.operator_scan(pair(spark, sf_dir), ["key"], "y", "x", [0, 1, 2, 3], [0.0, 4.0, 8.0])
+    return coupling.operator_scan(pair(spark, sf_dir), ["key"], "y", "x", [0, 1, 2, 3], [0.0, 4.0, 8.0]).withColumn("r", r6(F.col("r")))
 
 
 @query()

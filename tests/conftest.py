@@ -1,8 +1,10 @@
 import os
 import sys
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is loaded: its threads can block beside those of the JVM
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -135,7 +135,10 @@ def test_solar_geometry(spark):
 def test_lag_and_filter_are_recovered(spark):
     t = np.arange(24 * 40)
     x = np.sin(2 * np.pi * t / 24) + np.random.default_rng(1).normal(0, 0.5, len(t))
-    y = -2 * np.concatenate([[np.nan] * 3, coupling.low_pass(x, 8.0, 1.0)[:-3]])
+    slow = [x[0]]
+    for v in x[1:]:
+        slow.append(slow[-1] + (v - slow[-1]) / 9)
+    y = -2 * np.concatenate([[np.nan] * 3, slow[:-3]])
     df = spark.createDataFrame([("k", int(i) * H, float(a), None if math.isnan(b) else float(b)) for i, a, b in zip(t, x, y)], "key string, t long, x double, y double")
     scan = coupling.operator_scan(df, ["key"], "y", "x", range(0, 7), [0.0, 4.0, 8.0])
     best = coupling.best_lag(scan, ["key"]).first()
