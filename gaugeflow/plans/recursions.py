@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.time import HOUR
-from gaugeflow.operators import kalman, monitoring
-from gaugeflow.plans.catalogue import E_SQL, P_SQL, REF_SQL, hourly, query, r6, referenced
+from gaugeflow.operators import imputation, kalman, monitoring
+from gaugeflow.plans.catalogue import E_SQL, P_SQL, REF_SQL, hourly, pair, query, r6, referenced
 from gaugeflow.plans.evidence import with_sql
 
 Z_SQL = REF_SQL.replace("WITH eb", "WITH RECURSIVE eb", 1) + """, z0 AS (SELECT e.key, e.t, (value - mu) / nullif(sigma, 0) AS z, row_number() OVER (PARTITION BY e.key ORDER BY e.t) AS i FROM e JOIN rf USING (key))"""
@@ -79,3 +79,9 @@ def local_level_smoothing(spark, sf_dir):
 def kalman_fill(spark, sf_dir):
     """Level, slope and two daily harmonics, variances fitted per key."""
     return kalman.kalman_fill(hourly(spark, sf_dir), ["key"], "value", HOUR).select("key", "t", "value", "filled", "sd")
+
+
+@query()
+def imputation_uncertainty(spark, sf_dir):
+    """Gaps of one series filled from its driver and its own past by 50 resampled models, deviations calibrated on a synthetic gap."""
+    return imputation.calibrated_impute(pair(spark, sf_dir), ["key"], "y", ["x"], HOUR, 6, (1, 2), 50)
