@@ -121,3 +121,80 @@ def interpolated(df: DataFrame, keys: Sequence[str], value: str, width: int) ->
     between = F.col(f"{b}.v") + (F.col(f"{a}.v") - F.col(f"{b}.v")) * share
     filled = F.coalesce(F.col(value), between, F.col(f"{b}.v"), F.col(f"{a}.v"))
     return neighbours(df, keys, value, width).withColumn("filled", filled).drop(b, a)
+
+
+def tridiagonal(df: DataFrame, keys: Sequence[str], lower: str, diagonal: str, upper: str, right: str, out: str, width: int) -> DataFrame:
+    """Adds the solution x of lower[i] x[i-1] + diagonal[i] x[i] + upper[i] x[i+1] = right[i] over each key's rows in order of t.
+
+    Each block of ``width`` seconds is solved for itself as y + l * (last x of the block before) + r * (first x of the block after);
+    the first and last rows of blocks give a system of two unknowns a block, which is swept by key. For diagonally dominant rows.
+    """
+    types = dict(df.dtypes)
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    rows = df.withColumn("__block", _block(width))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        a, b, c, d = (pdf[x].tolist() for x in (lower, diagonal, upper, right))
+        n = len(b)
+        sides = [[v, 0.0, 0.0] for v in d]
+        sides[0][1] -= a[0]
+        sides[-1][2] -= c[-1]
+        b = list(b)
+        for i in range(1, n):
+            m = a[i] / b[i - 1]
+            b[i] -= m * c[i - 1]
+            sides[i] = [v - m * u for v, u in zip(sides[i], sides[i - 1])]
+        sides[-1] = [v / b[-1] for v in sides[-1]]
+        for i in range(n - 2, -1, -1):
+            sides[i] = [(v - c[i] * u) / b[i] for v, u in zip(sides[i], sides[i + 1])]
+        y, left, after = zip(*sides)
+        return pdf[[*keys, "t", "__block"]].assign(__y=y, __l=left, __r=after)
+
+    own = rows.select(*keys, "t", "__block", *[F.col(x).cast("double").alias(x) for x in (lower, diagonal, upper, right)])
+    own = own.groupBy(*keys, "__block").applyInPandas(solve, f"{named}, t long, __block long, __y double, __l double, __r double")
+    part = F.struct("__y", "__l", "__r")
+    ends = own.groupBy(*keys, "__block").agg(F.min_by(part, "t").alias("__f"), F.max_by(part, "t").alias("__e"))
+    ends = ends.select(*keys, "__block", *[F.col(f"__{end}.__{x}").alias(f"__{end}{x}") for end in "fe" for x in "ylr"])
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__block")
+        alpha = beta = 0.0  # last x of the block before = alpha + beta * first x of this one
+        steps = []
+        for fy, fl, fr, ey, el, er in zip(*[pdf[f"__{end}{x}"] for end in "fe" for x in "ylr"]):
+            scale = 1 / (1 - fl * beta)
+            first = ((fy + fl * alpha) * scale, fr * scale)
+            steps.append((alpha, beta, first))
+            alpha, beta = ey + el * (alpha + beta * first[0]), el * beta * first[1] + er
+        after, out_rows = 0.0, []
+        for alpha, beta, (p, q) in reversed(steps):
+            here = p + q * after
+            out_rows.append((alpha + beta * here, after))
+            after = here
+        return pdf[[*keys, "__block"]].assign(__left=[x for x, _ in out_rows[::-1]], __right=[x for _, x in out_rows[::-1]])
+
+    swept = ends.groupBy(*keys).applyInPandas(sweep, f"{named}, __block long, __left double, __right double")
+    solved = own.join(swept, [*keys, "__block"]).select(*keys, "t", (F.col("__y") + F.col("__l") * F.col("__left") + F.col("__r") * F.col("__right")).alias(out))
+    return df.join(solved, [*keys, "t"])
+
+
+def spline(df: DataFrame, keys: Sequence[str], value: str, width: int) -> DataFrame:
+    """``value`` by the natural cubic spline through the rows that have one; null beyond the first and the last. Adds ``filled``.
+
+    The second derivatives at the knots solve a tridiagonal system (``tridiagonal``, by blocks of ``width`` seconds).
+    """
+    w = Window.partitionBy(*keys).orderBy("t")
+    knots = df.where(F.col(value).isNotNull()).select(*keys, "t", F.col(value).cast("double").alias("v"))
+    knots = knots.withColumns({"__h0": F.col("t") - F.lag("t").over(w), "__h1": F.lead("t").over(w) - F.col("t"), "__d0": F.col("v") - F.lag("v").over(w), "__d1": F.lead("v").over(w) - F.col("v")})
+    inner = F.col("__h0").isNotNull() & F.col("__h1").isNotNull()
+    knots = knots.select(
+        *keys, "t", "v", F.when(inner, F.col("__h0").cast("double")).otherwise(0.0).alias("__a"), F.when(inner, 2.0 * (F.col("__h0") + F.col("__h1"))).otherwise(1.0).alias("__b"),
+        F.when(inner, F.col("__h1").cast("double")).otherwise(0.0).alias("__c"), F.when(inner, 6 * (F.col("__d1") / F.col("__h1") - F.col("__d0") / F.col("__h0"))).otherwise(0.0).alias("__d"),
+    )
+    bent = tridiagonal(knots, keys, "__a", "__b", "__c", "__d", "m", width).select(*keys, "t", F.struct("v", "m").alias("__knot"))
+    near = neighbours(df.join(bent, [*keys, "t"], "left"), keys, "__knot", width)
+    lo, hi = F.col("__before"), F.col("__after")
+    h, x = (hi["t"] - lo["t"]).cast("double"), (F.col("t") - lo["t"]).cast("double")
+    y = h - x
+    curve = (lo["v"]["m"] * y * y * y + hi["v"]["m"] * x * x * x) / (6 * h) + (lo["v"]["v"] / h - lo["v"]["m"] * h / 6) * y + (hi["v"]["v"] / h - hi["v"]["m"] * h / 6) * x
+    return near.withColumn("filled", F.coalesce(F.col(value).cast("double"), F.when(h > 0, curve))).drop("__before", "__after", "__knot")

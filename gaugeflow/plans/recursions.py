@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.time import HOUR
-from gaugeflow.operators import imputation, kalman, monitoring
+from gaugeflow.operators import imputation, kalman, monitoring, scans, spectra
 from gaugeflow.plans.catalogue import E_SQL, P_SQL, REF_SQL, hourly, pair, query, r6, referenced
 from gaugeflow.plans.evidence import with_sql
 
@@ -85,3 +85,51 @@ def kalman_fill(spark, sf_dir):
 def imputation_uncertainty(spark, sf_dir):
     """Gaps of one series filled from its driver and its own past by 50 resampled models, deviations calibrated on a synthetic gap."""
     return imputation.calibrated_impute(pair(spark, sf_dir), ["key"], "y", ["x"], HOUR, 6, (1, 2), 50)
+
+
+@query(
+    E_SQL.replace("WITH eb", "WITH RECURSIVE eb", 1) + """, s0 AS (SELECT key, t, value AS v, row_number() OVER w AS i, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, value - lag(value) OVER w AS d0, lead(value) OVER w - value AS d1 FROM e WHERE value IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY t)),
+s1 AS (SELECT key, t, v, i, CASE WHEN h0 * h1 IS NULL THEN 0 ELSE h0 END::DOUBLE AS a, CASE WHEN h0 * h1 IS NULL THEN 1 ELSE 2 * (h0 + h1) END::DOUBLE AS b, CASE WHEN h0 * h1 IS NULL THEN 0 ELSE h1 END::DOUBLE AS c, CASE WHEN h0 * h1 IS NULL THEN 0 ELSE 6 * (d1 / h1 - d0 / h0) END AS d FROM s0),
+sf AS (SELECT key, i, t, v, c / b AS cp, d / b AS dp FROM s1 WHERE i = 1 UNION ALL SELECT s1.key, s1.i, s1.t, s1.v, s1.c / (s1.b - s1.a * sf.cp), (s1.d - s1.a * sf.dp) / (s1.b - s1.a * sf.cp) FROM sf JOIN s1 ON s1.key = sf.key AND s1.i = sf.i + 1),
+sb AS (SELECT key, i, t, v, dp AS m FROM (SELECT *, max(i) OVER (PARTITION BY key) AS top FROM sf) WHERE i = top UNION ALL SELECT sf.key, sf.i, sf.t, sf.v, sf.dp - sf.cp * sb.m FROM sb JOIN sf ON sf.key = sb.key AND sf.i = sb.i - 1),
+sk AS (SELECT *, lead(t) OVER w AS t1, lead(v) OVER w AS v1, lead(m) OVER w AS m1 FROM sb WINDOW w AS (PARTITION BY key ORDER BY t)),
+se AS (SELECT e.key, e.t, e.value, v, v1, m, m1, (t1 - sk.t)::DOUBLE AS h, (e.t - sk.t)::DOUBLE AS x FROM e ASOF LEFT JOIN sk ON e.key = sk.key AND e.t >= sk.t)
+SELECT key, t, round(coalesce(value, (m * power(h - x, 3) + m1 * power(x, 3)) / (6 * h) + (v / h - m * h / 6) * (h - x) + (v1 / h - m1 * h / 6) * x), 6) AS filled FROM se"""
+)
+def spline_resampling(spark, sf_dir):
+    return scans.spline(hourly(spark, sf_dir), ["key"], "value", 5 * 86400).select("key", "t", r6(F.col("filled")).alias("filled"))
+
+
+@query(
+    E_SQL + """, fn AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY key) AS n, value, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER w AS bt, last_value(value IGNORE NULLS) OVER w AS bv,
+  first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER f AS ft, first_value(value IGNORE NULLS) OVER f AS fv FROM e WINDOW w AS (PARTITION BY key ORDER BY t), f AS (PARTITION BY key ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fi AS (SELECT key, i, n, CASE WHEN bt IS NULL THEN fv WHEN ft IS NULL OR ft = bt THEN bv ELSE bv + (fv - bv) * (t - bt) / (ft - bt) END AS y FROM fn),
+fs AS (SELECT key, s, i - 24 * s AS k, y FROM fi, range(200) r(s) WHERE i >= 24 * s AND i < 24 * s + 48 AND 24 * s + 48 <= n),
+fd AS (SELECT key, s, k, (y - avg(y) OVER (PARTITION BY key, s)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 48)) AS z FROM fs),
+fp AS (SELECT key, s, q, (power(sum(z * cos(2 * pi() * k * q / 48)), 2) + power(sum(z * sin(2 * pi() * k * q / 48)), 2)) * CASE WHEN q = 24 THEN 1 ELSE 2 END / 18.0::DOUBLE AS p FROM fd, range(1, 25) g(q) GROUP BY key, s, q)
+SELECT key, 48.0::DOUBLE / q AS period_h, round(avg(p), 6) AS psd, count(*) AS segments FROM fp GROUP BY key, q"""
+)
+def welch_spectrum(spark, sf_dir):
+    return spectra.welch_psd(hourly(spark, sf_dir), ["key"], "value", HOUR, 48).withColumn("psd", r6(F.col("psd")))
+
+
+@query(
+    E_SQL + """, x0 AS (SELECT key, t, (value IS NOT NULL)::INTEGER AS there FROM e), lm AS (SELECT key, avg(there) AS m, var_pop(there) AS vp FROM x0 GROUP BY key),
+lw AS (SELECT x0.key, p::DOUBLE AS period_h, vp, there - m AS d, 2 * pi() * t / (p * 3600.0::DOUBLE) AS wt FROM x0 JOIN lm ON x0.key = lm.key, (VALUES (8), (12), (24), (168)) v(p) WHERE vp > 0),
+lt AS (SELECT key, period_h, atan2(sum(sin(2 * wt)), sum(cos(2 * wt))) / 2 AS ph FROM lw GROUP BY ALL)
+SELECT lw.key, lw.period_h, round((power(sum(d * cos(wt - ph)), 2) / sum(power(cos(wt - ph), 2)) + power(sum(d * sin(wt - ph)), 2) / sum(power(sin(wt - ph), 2))) / (2 * any_value(vp)), 6) AS power
+FROM lw JOIN lt ON lw.key = lt.key AND lw.period_h = lt.period_h GROUP BY 1, 2"""
+)
+def sampling_spectrum(spark, sf_dir):
+    return spectra.window_spectrum(hourly(spark, sf_dir), ["key"], "value", [8, 12, 24, 168]).withColumn("power", r6(F.col("power")))
+
+
+@query()
+def sliding_harmonics(spark, sf_dir):
+    """Weekly and half-weekly components of the hourly series in windows of two weeks."""
+    return spectra.sliding_harmonics(hourly(spark, sf_dir), ["key"], "value", HOUR, {"week": 7.0, "half": 3.5}, 14 * 86400, 2 * 86400, 1704067200)
+
+
+@query()
+def phase_lock(spark, sf_dir):
+    return spectra.phase_lock(sliding_harmonics(spark, sf_dir), ["key"], ("week", 7.0), ("half", 3.5))
