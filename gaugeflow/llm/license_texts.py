@@ -69,4 +69,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
 )
+
+#: Words that tell a licence from its neighbours: a match must hold those that its template has, and none of the others between its words.
+QUALIFIERS = ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "affero")
+#: Names that a match must hold if its template does.
+NAMES = ("apache", "mit", "gnu", "creative", "commons", "cc", "by", "attribution", "mozilla")

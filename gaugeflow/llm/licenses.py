@@ -7,6 +7,10 @@ words that are matched. A document is scanned where it holds words of a template
 hold: so many of the template's words that a match of the least coverage can't do without all of them.
 Each such word says where the template would start; it is aligned with the words there, and where those don't match, with a wider part.
 
+Coverage alone would take a licence for its neighbour, from which a word may tell it. So a match must also hold its template's
+version numbers, its names (``NAMES``) and its qualifiers (``QUALIFIERS``), and no qualifier of another licence between its words.
+A notice of a version or variant without a template is thus not reported, instead of under a neighbour's name.
+
 ``scan`` gives a row for every match (doc_id, license, template, coverage,
 place of the match in words), several of a template too; of matches that overlap, the one that covers
 most words stays. The bodies of long licences are known by the notices that they hold. Words are lower-cased runs of ASCII letters and digits and of other
@@ -15,16 +19,17 @@ alphabets' bytes. Null and empty texts match nothing; repeated rows are scanned
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Container, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.license_texts import TEMPLATES
+from gaugeflow.llm.license_texts import NAMES, QUALIFIERS, TEMPLATES
 from gaugeflow.llm.textgrid import Words, slices
 
 LEAST_COVERAGE = 0.8
@@ -106,12 +111,24 @@ def windows(start: int, n: int, low: int, high: int) -> Iterator[tuple[int, int]
         yield max(low, start - room), min(high, start + n + room)
 
 
-def matches_of(template: list, places: dict, must: set, words: list, hits: list[int], least: float) -> list[tuple[int, int, int]]:
+def deciding(text: str) -> tuple[list[set[int]], set]:
+    """What a match of a template must hold (a place of each of these sets), and the words that it may not have between its own."""
+    words = [w for w in re.split("[^0-9a-z]+", text.lower()) if w]
+    held = [{i for i, w in enumerate(words) if w == name} for name in dict.fromkeys(words) if name in QUALIFIERS or name in NAMES]
+    version = False
+    for i, w in enumerate(words):
+        # all numbers of a short notice; of a longer one those of its version, not those of addresses
+        version = w.isdigit() and (len(words) <= 20 or words[i - 1] in ("version", "v") or version and words[i - 1].isdigit())
+        held += [{i}] * version
+    return held, {h for q in QUALIFIERS if q not in words for h in words_of(q).tolist()}
+
+
+def matches_of(template: list, places: dict, must: set, words: list, hits: list[int], least: float, held: Sequence[set[int]] = (), barred: Container = ()) -> list[tuple[int, int, int]]:
     """(matched words, start, end) of all matches of a template in a text, in order; matches don't overlap.
 
     ``places`` has the template's places of each word. Every word of ``hits`` that a match must have says where the template
     would start; what is near is aligned there, unless too few of the template's words are. Copies that follow each other are found each,
-    since a window holds little more than one.
+    since a window holds little more than one. ``held`` and ``barred`` are what ``deciding`` gives.
     """
     n, found, low, tried = len(template), [], 0, set()
     for i in hits:
@@ -127,6 +144,9 @@ def matches_of(template: list, places: dict, must: set, words: list, hits: list[
                     continue
                 pairs = patience(template, words[a:b])
                 if len(pairs) >= least * n and pairs[-1][1] - pairs[0][1] + 1 <= 1.5 * n + 2:
+                    matched = {i for i, _ in pairs}
+                    if not all(matched & some for some in held) or any(w in barred for w in words[a + pairs[0][1] : a + pairs[-1][1] + 1]):
+                        continue
                     found.append((len(pairs), a + pairs[0][1], a + pairs[-1][1] + 1))
                     low = found[-1][2]
                     break
@@ -134,14 +154,14 @@ def matches_of(template: list, places: dict, must: set, words: list, hits: list[
 
 
 def _scan(templates: Sequence[tuple[str, str]], least: float):
-    prepared = [(n, name, words_of(text).tolist()) for n, (name, text) in enumerate(templates)]
-    needed = [(n, name, words, {w: [q for q, x in enumerate(words) if x == w] for w in words}, must_have(words, least)) for n, name, words in prepared]
-    every = np.array(sorted({w for *_, s in needed for w in s}), np.uint64)
+    prepared = [(n, name, words_of(text).tolist(), deciding(text)) for n, (name, text) in enumerate(templates)]
+    needed = [(n, name, words, {w: [q for q, x in enumerate(words) if x == w] for w in words}, must_have(words, least), tells) for n, name, words, tells in prepared]
+    every = np.array(sorted({w for *_, s, _ in needed for w in s}), np.uint64)
 
     def matches(words: list, hits: list[int]) -> list[tuple]:
         found = []
-        for n, name, template, places, must in needed:
-            found += [(m, -n, name, m / len(template), a, b) for m, a, b in matches_of(template, places, must, words, hits, least)]
+        for n, name, template, places, must, (held, barred) in needed:
+            found += [(m, -n, name, m / len(template), a, b) for m, a, b in matches_of(template, places, must, words, hits, least, held, barred)]
         kept: list[tuple] = []
         for m in sorted(found, reverse=True):
             if all(m[5] <= k[4] or m[4] >= k[5] for k in kept):

@@ -1,11 +1,13 @@
 import random
 
+from pyspark.sql import functions as F
+
 from gaugeflow.llm import licenses
 from gaugeflow.llm.license_texts import TEMPLATES
 
 
 def scan(spark, texts, **options):
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string").withColumns({"template": F.lit(1), "coverage": F.lit("c"), "start": F.lit(0)})
     return sorted((r.doc_id, r.license, round(r.coverage, 3)) for r in licenses.scan(docs, **options).collect())
 
 
@@ -63,6 +65,21 @@ def test_neighbouring_licences_are_told_apart(spark):
     assert [f[1:] for f in scan(spark, [t for _, t in TEMPLATES])] == [(name, 1.0) for name, _ in TEMPLATES]
 
 
+def test_notices_of_neighbours_get_their_own_name_or_none(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} {} International License."
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    cases = [
+        ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("Licensed under CC BY 3.0", None), ("Licensed under CC BY-NC 3.0", None), (cc.format("", "4.0"), "CC-BY-4.0"), (cc.format("-NonCommercial", "4.0"), "CC-BY-NC-4.0"), (cc.format("-NoDerivatives", "4.0"), "CC-BY-ND-4.0"),
+        (cc.format("-NonCommercial-ShareAlike", "4.0"), "CC-BY-NC-SA-4.0"), (cc.format("-ShareAlike", "3.0"), None), (gnu.format("", "2"), "GPL-2.0"), (gnu.format("", "3"), "GPL-3.0"), (gnu.format("Lesser ", "3"), "LGPL-3.0"),
+        (gnu.format("Affero ", "3"), "AGPL-3.0"), (gnu.format("", "1"), None), ("Licensed under the Apache License, Version 1.0", None), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        ("Released under the MIT License", "MIT"), ("Released under the BSD License", None), (TEMPLATES[5][1].replace("version 3", "version 1"), None),
+        ("word " * 20000 + "Licensed under CC BY-SA 4.0 " + "word " * 20000, "CC-BY-SA-4.0"),
+    ]
+    found = {i: name for i, name, _ in scan(spark, [t for t, _ in cases])}
+    assert [found.get(i) for i in range(len(cases))] == [name for _, name in cases]
+
+
 def brute(template, words, least):
     """Non-overlapping matches, by the longest common subsequence of the template with every window of its length."""
     n, out, i = len(template), [], 0
