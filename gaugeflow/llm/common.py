@@ -39,9 +39,32 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _passing:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: For each block of ``passing_tables`` that is open, the tables stashed in it.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Tables stashed within are deleted at the end, but for the last ``keep``; nothing lazy that outlives the block may read the others."""
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield
+    finally:
+        _passing.pop()
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made[:-keep]:
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(hadoop).delete(found, True)
+    if _passing:
+        _passing[-1].extend(made[-keep:])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import stash
+from gaugeflow.llm.common import passing_tables, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is a grouping and a join on nodes, written to the shared folder; the edges shrink to stars
     around the smallest nodes in a number of rounds that grows with the logarithm of the longest path.
     """
+    with passing_tables(edges.sparkSession):
+        now = _starred(edges)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """(u, v): v is the smallest node that u is connected with, of all other nodes u."""
     now = stash(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
@@ -30,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import row_key, stash
+from gaugeflow.llm.common import passing_tables, row_key, stash
 from gaugeflow.llm.graph import components
 from gaugeflow.llm.textgrid import Words, mix, slices
 
@@ -396,11 +396,13 @@ def link(docs: DataFrame, tree_nodes: int = TREE_NODES) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) of every row of ``docs``; component is null without words."""
     spark = docs.sparkSession
     texts = docs.select(key_string(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    survey = stash(texts.mapInArrow(_survey, NODES), "survey")
-    common = common_shingles(survey)
-    rows = survey.where(F.col("kind") == 0)
+    with passing_tables(spark, keep=2):
+        survey = stash(texts.mapInArrow(_survey, NODES), "survey")
+        common = common_shingles(survey)
+        every = survey.where(F.col("kind") == 0)
+        found = stash(components(node_links(texts, every.where(F.col("node").isNotNull()), common, tree_nodes)), "components")
+        rows = stash(every.select("row_key", "doc_id", "node", "n"), "rows")
     nodes = rows.where(F.col("node").isNotNull())
-    found = stash(components(node_links(texts, nodes, common, tree_nodes)), "components")
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.select("node", "component").distinct().join(least, "component")

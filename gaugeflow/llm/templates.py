@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import row_key, stash
+from gaugeflow.llm.common import passing_tables, row_key, stash
 from gaugeflow.llm.sketch import bind
 
 DEPTH = 3
@@ -90,9 +90,10 @@ def recurring(lines: DataFrame, depth: int = DEPTH, alike: float = ALIKE, min_do
 def _without(docs: DataFrame, depth: int = DEPTH, most: int = FIELDS, alike: float = ALIKE, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with __all, its lines, and __kept, those that stay (null: all)."""
     key = row_key(docs)
-    lines = stash(parsed_lines(docs, key, depth, most), "lines")
-    drop = lines.select("row_key", "template").join(recurring(lines, depth, alike, min_docs), "template").where(F.col("row_key") != F.col("keeper"))
-    drop = drop.groupBy(F.col("row_key").alias("__key")).agg(F.collect_list("template").alias("__drop"))
+    with passing_tables(docs.sparkSession):
+        lines = stash(parsed_lines(docs, key, depth, most), "lines")
+        drop = lines.select("row_key", "template").join(recurring(lines, depth, alike, min_docs), "template").where(F.col("row_key") != F.col("keeper"))
+        drop = stash(drop.groupBy(F.col("row_key").alias("__key")).agg(F.collect_list("template").alias("__drop")), "dropped")
     rows = docs.withColumn("__key", key).join(drop, "__key", "left")
     kept = F.filter("__all", lambda line: ~F.coalesce(F.array_contains(F.col("__drop"), F.xxhash64(tokens(line))), F.lit(False)))
     return rows.withColumn("__all", F.split(F.col("text"), "\n")).withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept)).drop("__key", "__drop")

@@ -105,3 +105,17 @@ def test_words_of_bytes():
     w = Words(column)
     assert list(np.diff(w.first)) == [3, 0, 0, 1, 4]
     assert list(w.hashes[:3]) == list(w.hashes[-3:]) and len(set(w.hashes)) == 5
+
+
+def test_intermediate_tables_go_and_results_stay(spark):
+    import glob
+
+    from gaugeflow.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:") + "/gaugeflow/"
+    before = set(glob.glob(folder + "*"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 5}x{k}" for k in range(40)) + (" end" if i > 9 else ""), "s") for i in range(20)], "doc_id long, text string, source string")
+    out = jaccard.link(docs)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(folder + "*")) - before}
+    assert left == {"components", "rows"}
+    assert sorted(r.component_id for r in out.collect()) == sorted([i % 5 for i in range(20)])
