@@ -564,7 +564,8 @@ def thermal_lag_scan(spark, sf_dir):
 
 @query()
 def hac_gain(spark, sf_dir):
-    return coupling.hac_gain(pair(spark, sf_dir), ["key"], "y", "x", 12)
+    out = coupling.hac_gain(pair(spark, sf_dir), ["key"], "y", "x")
+    return out.withColumns({c: r6(F.col(c)) for c in ("slope", "intercept", "se", "low", "high", "r")})
 
 
 @query()
@@ -672,12 +673,13 @@ def couple_strata(spark, sf_dir):
 
 @query()
 def gain_stability(spark, sf_dir):
-    return studies.gain_stability(pair(spark, sf_dir), ["key"], "y", "x", "yyyy-MM", 6)
+    out = studies.gain_stability(pair(spark, sf_dir), ["key"], "y", "x", "yyyy-MM")
+    return out.withColumns({c: r6(F.col(c)) for c in ("slope", "intercept", "se", "low", "high", "r")})
 
 
 @query()
 def fault_register(spark, sf_dir):
-    return studies.fault_register(pair(spark, sf_dir), ["key"], "y", ["x"], 4.0)
+    return studies.fault_register(pair(spark, sf_dir), ["key"], "y", ["x"], 4.0).withColumns({c: r6(F.col(c)) for c in ("z", "step")})
 
 
 @query()
@@ -702,4 +704,4 @@ def cadence_evidence(spark, sf_dir):
 
 @query()
 def seasonal_fill(spark, sf_dir):
-    return studies.seasonal_fill(hourly(spark, sf_dir), ["key"], "value").select("key", "t", "filled")
+    return studies.seasonal_fill(hourly(spark, sf_dir), ["key"], "value").select("key", "t", r6(F.col("filled")).alias("filled"))

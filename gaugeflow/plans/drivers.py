@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import regression
-from gaugeflow.plans.catalogue import E_SQL, hourly, query, r6
+from gaugeflow.plans.catalogue import E_SQL, P_SQL, hourly, query, r6
+from gaugeflow.plans.evidence import with_sql
 
 WIDE_SQL = E_SQL + """, wd AS (SELECT 'v' AS key, a.t, a.value AS y, b.value AS a, c.value AS b FROM (SELECT * FROM e WHERE key = 'view') a
   LEFT JOIN (SELECT * FROM e WHERE key = 'click') b ON a.t = b.t LEFT JOIN (SELECT * FROM e WHERE key = 'purchase') c ON a.t = c.t)"""
@@ -81,3 +82,41 @@ UNION ALL SELECT 'l_discount', round((1 - qe * qe) / d, 6), round(greatest(abs(q
 def variance_inflation(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return regression.vif(items, ["l_quantity", "l_extendedprice", "l_discount"]).withColumns({c: r6(F.col(c)) for c in ("vif", "max_r")})
+
+
+def _hac_sql(by: str) -> str:
+    """Newey-West gain with 24 lags per ``by``: lag products by a join of row numbers."""
+    names = ", ".join(f"a.{c}" for c in by.split(", "))
+    same = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
+    return P_SQL + f""", hc AS (SELECT key, strftime(make_timestamp(t * 1000000), '%Y-%m') AS "window", t, x, y FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+hf AS (SELECT {by}, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy, var_pop(y) AS vy, covar_pop(x, y) / nullif(var_pop(x), 0) AS slope FROM hc GROUP BY {by} HAVING count(*) >= 3 AND var_pop(x) > 0),
+hu AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY t) AS i, (x - mx) * (y - my - slope * (x - mx)) AS g FROM hc JOIN hf USING ({by})),
+hm AS (SELECT {names}, sum(a.g * b.g * CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / 25.0::DOUBLE) END) AS meat FROM hu a JOIN hu b ON {same} AND b.i BETWEEN a.i - 24 AND a.i GROUP BY {names}),
+hs AS (SELECT *, sqrt(greatest(meat, 0)) / (n * vx) AS se FROM hf JOIN hm USING ({by}))
+SELECT {by}, n, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept, round(se, 6) AS se, round(slope - 1.959963984540054::DOUBLE * se, 6) AS low, round(slope + 1.959963984540054::DOUBLE * se, 6) AS high,
+  round(CASE WHEN vx * vy > 0 THEN cxy / sqrt(vx * vy) END, 6) AS r FROM hs"""
+
+
+with_sql("hac_gain", _hac_sql("key"))
+with_sql("gain_stability", _hac_sql('key, "window"'))
+with_sql(
+    "seasonal_fill",
+    E_SQL + ", sn AS (SELECT key, t, coalesce(value" + "".join(f", lag(value, {24 * k}) OVER w, lead(value, {24 * k}) OVER w" for k in range(1, 15)) + """) AS s FROM e WINDOW w AS (PARTITION BY key ORDER BY t)),
+sb AS (SELECT key, t, s, last_value(CASE WHEN s IS NOT NULL THEN t END IGNORE NULLS) OVER w AS bt, last_value(s IGNORE NULLS) OVER w AS bv, first_value(CASE WHEN s IS NOT NULL THEN t END IGNORE NULLS) OVER f AS ft, first_value(s IGNORE NULLS) OVER f AS fv
+  FROM sn WINDOW w AS (PARTITION BY key ORDER BY t), f AS (PARTITION BY key ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT key, t, round(coalesce(s, bv + (fv - bv) * (t - bt) / (ft - bt), bv, fv), 6) AS filled FROM sb""",
+)
+
+
+def _robust_z(c: str, source: str, out: str) -> str:
+    frame = "PARTITION BY key ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING"
+    return f"""{out}m AS (SELECT *, {c} - CASE WHEN count({c}) OVER w >= 5 THEN median({c}) OVER w END AS e_{c} FROM {source} WINDOW w AS ({frame})),
+{out}s AS (SELECT *, CASE WHEN count(e_{c}) OVER w >= 5 THEN 1.4826::DOUBLE * median(abs(e_{c})) OVER w END AS s_{c}, stddev_samp(abs(e_{c})) OVER (PARTITION BY key) AS g_{c} FROM {out}m WINDOW w AS ({frame})),
+{out} AS (SELECT *, e_{c} / nullif(CASE WHEN coalesce(s_{c}, 0) > 0 THEN s_{c} ELSE g_{c} END, 0) AS z_{c} FROM {out}s)"""
+
+
+with_sql(
+    "fault_register",
+    P_SQL + ", " + _robust_z("y", "p", "fy") + ", " + _robust_z("x", "fy", "fx") + """, fr AS (SELECT *, y - lag(y) OVER w AS step, lead(y) OVER w - y AS back FROM fx WINDOW w AS (PARTITION BY key ORDER BY t))
+SELECT key, t, round(z_y, 6) AS z, round(step, 6) AS step, coalesce(abs(z_x) > 4, false)::INTEGER AS corroborating, coalesce(sign(step) <> sign(back) AND abs(back) >= abs(step) / 2, false) AS reverts FROM fr WHERE abs(z_y) > 4""",
+)
