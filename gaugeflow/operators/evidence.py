@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.stats import both, correlation, n_paired
 from gaugeflow.functions.time import DAY
-from gaugeflow.operators.tests_of_series import ADF_CRITICAL, adf
+from gaugeflow.operators.tests_of_series import adf
 
 
 def restrict_to_days(df: DataFrame, days: DataFrame, t: str = "t") -> DataFrame:
@@ -64,13 +64,13 @@ def join_eras(df: DataFrame, keys: Sequence[str], value: str, boundary: int, win
 
 
 def cointegration(df: DataFrame, keys: Sequence[str], y: str, x: str, least: int = 20) -> DataFrame:
-    """(keys, n, slope, intercept, statistic, lag, cointegrated at 5 %): Engle-Granger, the unit-root test of the residual of y on x.
+    """(keys, n, slope, intercept, statistic, lag, p, cointegrated at 5 %): Engle-Granger, the unit-root test of the residual of y on x.
 
-    The regression is one grouping per key; only the residual of a key goes to one task.
+    The regression is one grouping per key, the test another.
     """
     a, b = F.when(both(F.col(y), F.col(x)), F.col(y)), F.when(both(F.col(y), F.col(x)), F.col(x))
     fit = df.groupBy(*keys).agg(F.try_divide(F.covar_pop(a, b), F.var_pop(b)).alias("slope"), F.avg(a).alias("__y"), F.avg(b).alias("__x"))
     fit = fit.select(*keys, "slope", (F.col("__y") - F.col("slope") * F.col("__x")).alias("intercept"))
     rest = df.join(fit, list(keys)).withColumn("__e", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    tested = adf(rest.select(*keys, "t", "__e"), keys, "__e", least).drop("stationary")
-    return tested.join(fit, list(keys)).select(*keys, "n", "slope", "intercept", "statistic", "lag", (F.col("statistic") < ADF_CRITICAL[2][1]).alias("cointegrated"))
+    tested = adf(rest.select(*keys, "t", "__e"), keys, "__e", least, series=2)
+    return tested.join(fit, list(keys)).select(*keys, "n", "slope", "intercept", "statistic", "lag", "p", F.col("stationary").alias("cointegrated"))

@@ -86,7 +86,7 @@ def bootstrap_skill(df: DataFrame, parent: str, child: str, block: int, repetiti
     blocks = rows.groupBy(F.floor(F.col("t") / block).alias("block")).agg(F.sum(F.abs(parent)).alias("p"), F.sum(F.abs(child)).alias("c"), F.count("*").alias("n"))
     point = blocks.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("c").alias("c")).select("n", (F.col("p") / F.col("n")).alias("parent_mae"), (F.col("c") / F.col("n")).alias("child_mae"), (1 - F.try_divide(F.col("c"), F.col("p"))).alias("skill"))
     draws = blocks.select("block", "p", "c", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-    each = repetitions // batches
+    each = -(-repetitions // batches)  # the last replicates beyond the number asked for are left out below
 
     def weigh(batches_: "pd.DataFrame"):
         for pdf in batches_:
@@ -97,6 +97,6 @@ def bootstrap_skill(df: DataFrame, parent: str, child: str, block: int, repetiti
             out = [pd.DataFrame({"rep": np.arange(each) + b * each, "p": s[0], "c": s[1]}) for b, s in sums.items()]
             yield pd.concat(out) if out else pd.DataFrame({"rep": np.zeros(0, int), "p": np.zeros(0), "c": np.zeros(0)})
 
-    reps = draws.mapInPandas(weigh, "rep long, p double, c double").groupBy("rep").agg(F.sum("p").alias("p"), F.sum("c").alias("c")).where(F.col("p") > 0)
+    reps = draws.mapInPandas(weigh, "rep long, p double, c double").where(F.col("rep") < repetitions).groupBy("rep").agg(F.sum("p").alias("p"), F.sum("c").alias("c")).where(F.col("p") > 0)
     bands = reps.agg(F.percentile(1 - F.col("c") / F.col("p"), F.lit(0.05)).alias("q05"), F.percentile(1 - F.col("c") / F.col("p"), F.lit(0.95)).alias("q95"))
     return point.join(bands)

@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 ADF_CRITICAL = {1: (-3.43035, -2.86154, -2.56677), 2: (-3.89644, -3.33613, -3.04445)}
 
 
+#: Bounds (least, turn, greatest) of the t statistic and the coefficients below and above the turn, for one series and for two
+#: (MacKinnon's published approximations of p values, with a constant). Fixed values.
+MACKINNON = {
+    1: (-18.83, -1.61, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    2: (-18.86, -2.62, 0.92, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
+}
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-square > x) by the series or the continued fraction of the incomplete gamma function."""
     a, z = df / 2, x / 2
@@ -63,39 +71,63 @@ def ljung_box(df: DataFrame, keys: Sequence[str], value: str, lags: int = 10) ->
     return r.groupBy(*keys, "n").agg((F.col("n") * (F.col("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q"))
 
 
-def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> tuple[float, int]:
-    """t statistic of the level in the unit-root regression with constant; lag length by least AIC on a common sample."""
-    n = len(x)
-    most = int(12 * (n / 100) ** 0.25) if max_lag is None else max_lag
-    most = max(0, min(most, n // 2 - 3))
-    d = np.diff(x)
+def unit_root_p(t: float, series: int = 1) -> float:
+    """P value of the unit-root t statistic with a constant, for one series or the residuals of a regression of two: the normal tail at a polynomial of t."""
+    low, star, high, small, large = MACKINNON[series]
+    if t > high:
+        return 1.0
+    if t < low:
+        return 0.0
+    z = sum(c * t**i for i, c in enumerate(small if t <= star else large))
+    return 0.5 * erfc(-z / sqrt(2))
 
-    def fit(lag: int, skip: int) -> tuple[float, float]:
-        y = d[skip:]
-        cols = [np.ones(len(y)), x[skip:-1], *[d[skip - k : -k] for k in range(1, lag + 1)]]
-        a = np.column_stack(cols)
-        beta, *_ = np.linalg.lstsq(a, y, rcond=None)
-        e = y - a @ beta
-        sse = float(e @ e)
-        var = sse / max(1, len(y) - a.shape[1]) * np.linalg.pinv(a.T @ a)[1, 1]
-        aic = len(y) * log(max(sse, 1e-300) / len(y)) + 2 * a.shape[1]
-        return float(beta[1] / sqrt(max(var, 1e-300))), aic
 
-    best = min(range(most + 1), key=lambda k: fit(k, most)[1])
-    return fit(best, best)[0], best
+def adf(df: DataFrame, keys: Sequence[str], value: str, least: int = 20, series: int = 1) -> DataFrame:
+    """(keys, n, statistic, lag, p, stationary at 5 %): augmented Dickey-Fuller with a constant, the lag length of least AIC; null from too few values.
 
+    Regressions of all lengths come from one table of cross products per key, summed in Spark, on the rows that the longest allows; the chosen
+    one is fitted again on all rows that it allows. ``series``: 2 for residuals of a regression on another series.
+    """
+    w = Window.partitionBy(*keys).orderBy("t")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, "t", F.col(value).cast("double").alias("__x"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__x").alias("__mean"), F.stddev_pop("__x").alias("__sd"))
+    most = F.greatest(F.lit(0), F.least(F.floor(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 3)).cast("int")
+    sizes = sizes.withColumn("__skip", most)
+    ok = (F.col("n") >= least) & (F.col("__sd") > 0)
+    top = sizes.where(ok).agg(F.max("__skip")).first()[0] or 0
+    rows = rows.join(sizes.where(ok), list(keys)).withColumn("__x", F.col("__x") - F.col("__mean"))
+    rows = rows.withColumn("__i", F.row_number().over(w) - 1).withColumns({"__level": F.lag("__x").over(w), "__d": F.col("__x") - F.lag("__x").over(w)})
+    rows = rows.withColumns({f"__d{k}": F.coalesce(F.lag("__d", k).over(w), F.lit(0.0)) for k in range(1, top + 1)})
+    cols = [F.lit(1.0), F.col("__level"), *[F.col(f"__d{k}") for k in range(1, top + 1)], F.col("__d")]
+    p = len(cols)
+    names = [f"s{i}_{j}" for i in range(p) for j in range(i, p)]
+    types = dict(df.dtypes)
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-def adf(df: DataFrame, keys: Sequence[str], value: str, least: int = 20) -> DataFrame:
-    """(keys, n, statistic, lag, stationary at 5 %): augmented Dickey-Fuller per key, keys in parallel; null from too few values."""
+    def summed(table: DataFrame) -> DataFrame:
+        return table.where(F.col("__i") > F.col("__skip")).groupBy(*keys, "__skip").agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t", kind="stable")[value].to_numpy(float)
-        ok = len(x) >= least and x.std() > 0
-        stat, lag = adf_statistic(x) if ok else (float("nan"), -1)
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], len(x), stat if ok else None, lag if ok else None, bool(stat < ADF_CRITICAL[1][1]) if ok else None]], columns=[*keys, "n", "statistic", "lag", "stationary"])
+    def fitted(r: dict, lag: int) -> tuple[float, float]:
+        """t statistic of the level and AIC with ``lag`` lags."""
+        used = [*range(lag + 2), p - 1]
+        m = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in used] for i in used], float)
+        inverse = np.linalg.pinv(m[:-1, :-1])
+        beta = inverse @ m[:-1, -1]
+        sse, n = max(float(m[-1, -1] - beta @ m[:-1, -1]), 1e-300), m[0, 0]
+        return float(beta[1] / sqrt(max(sse / max(1.0, n - lag - 2) * inverse[1, 1], 1e-300))), n * log(sse / n) + 2 * (lag + 2)
 
-    types = dict(df.dtypes)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, statistic double, lag int, stationary boolean")
+    def choose(batches):
+        for pdf in batches:
+            yield pd.DataFrame([[*[r[k] for k in keys], min(range(r["__skip"] + 1), key=lambda lag: fitted(r, lag)[1])] for r in pdf.to_dict("records")], columns=[*keys, "__skip"])
+
+    def test(batches):
+        for pdf in batches:
+            found = [(r, fitted(r, r["__skip"])[0]) for r in pdf.to_dict("records")]
+            yield pd.DataFrame([[*[r[k] for k in keys], t, r["__skip"], unit_root_p(t, series)] for r, t in found], columns=[*keys, "statistic", "lag", "p"])
+
+    best = summed(rows).mapInPandas(choose, f"{named}, __skip int")
+    tested = summed(rows.drop("__skip").join(best, list(keys))).mapInPandas(test, f"{named}, statistic double, lag int, p double")
+    return sizes.select(*keys, "n").join(tested, list(keys), "left").withColumn("stationary", F.col("statistic") < ADF_CRITICAL[series][1])
 
 
 def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -124,4 +156,4 @@ def lomb_scargle(df: DataFrame, keys: Sequence[str], value: str, periods_h: Sequ
     return sums.where(F.col("__v") > 0).select(*keys, "period_h", power.alias("power"))
 
 
-__all__ = ["ADF_CRITICAL", "adf", "adf_statistic", "autocorrelations", "chi2_tail", "ljung_box", "lomb_scargle", "normal_tail", "welch_t"]
+__all__ = ["ADF_CRITICAL", "adf", "autocorrelations", "chi2_tail", "ljung_box", "lomb_scargle", "normal_tail", "unit_root_p", "welch_t"]

@@ -588,7 +588,7 @@ def block_bootstrap_skill(spark, sf_dir):
     seg = islands.contiguous_segments(by_user(spark, sf_dir), ["key"], ["value"], 6 * HOUR, 2)
     w = prediction.baselines(seg, ["key", "segment"], "value", [1], 4).where(F.col("model") != "seasonal")
     wide = w.groupBy("key", "segment", "t").agg(*[F.max(F.when(F.col("model") == m, F.col("y") - F.col("yhat"))).alias(a) for m, a in (("zero", "parent"), ("persistence", "child"))])
-    return prediction.bootstrap_skill(wide, "parent", "child", DAY, 320)
+    return prediction.bootstrap_skill(wide, "parent", "child", DAY)
 
 
 @query(E_SQL + SEG_SQL.format("e", 3600, 6) + """, k AS (SELECT key, min(t) AS start_t, count(*) AS n, segment FROM seg GROUP BY key, segment), b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, start_t) AS r FROM k)
