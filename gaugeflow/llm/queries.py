@@ -143,10 +143,9 @@ WITH l AS (
 ), p AS (
   SELECT doc_id, n, t, list_concat([len(t)::VARCHAR], t[1:3]) AS leaf FROM k WHERE len(t) > 0
 ), m AS (
-  SELECT t, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, (CASE WHEN len(t) <= 32 THEN 1 ELSE (len(t) + 7) // 8 END)::BIGINT AS step FROM p GROUP BY t
+  SELECT t, any_value(leaf) AS leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM p GROUP BY t
 ), e AS (
-  SELECT t, leaf, docs, unnest(f) AS field, generate_subscripts(f, 1) AS pos
-  FROM (SELECT *, list_transform(range(0, len(t), step), lambda i: array_to_string(t[i + 1 : i + step], chr(31))) AS f FROM m)
+  SELECT t, leaf, docs, unnest(t) AS field, generate_subscripts(t, 1) AS pos FROM m
 ), c AS (
   SELECT leaf, pos, field FROM e GROUP BY ALL HAVING sum(docs) >= 3
 ), w AS (

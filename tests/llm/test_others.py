@@ -81,7 +81,7 @@ def test_templates_drop_what_recurs_and_keep_the_first(spark):
     assert templates.dedup_lines(docs(spark, [])).collect() == []
 
 
-def brute_dedup(rows, depth=3, most=32, runs=8):
+def brute_dedup(rows, depth=3):
     """Line dedup by plain loops over (doc_id, text) with distinct ids."""
     import re
 
@@ -92,15 +92,13 @@ def brute_dedup(rows, depth=3, most=32, runs=8):
     docs = defaultdict(set)
     for i, _, t in lines:
         docs[t].add(i)
-    step = lambda t: 1 if len(t) <= most else -(-len(t) // runs)
-    cut = lambda t: [t[k : k + step(t)] for k in range(0, len(t), step(t))]
     seen = defaultdict(int)
     for t, ids in docs.items():
-        for pos, f in enumerate(cut(t)):
+        for pos, f in enumerate(t):
             seen[len(t), t[:depth], pos, f] += len(ids)
     wide, group = {}, defaultdict(set)
     for t, ids in docs.items():
-        marks = [(seen[len(t), t[:depth], pos, f] >= 3, pos >= depth and f != ("<*>",), f) for pos, f in enumerate(cut(t))]
+        marks = [(seen[len(t), t[:depth], pos, f] >= 3, pos >= depth and f != "<*>", f) for pos, f in enumerate(t)]
         constants, plain = sum(a and b for a, b, _ in marks), sum(b for _, b, _ in marks)
         if constants >= 4 and constants >= 0.6 * plain:
             wide[t] = (len(t), t[:depth], tuple(f if a else None for a, _, f in marks))
@@ -132,6 +130,29 @@ def test_formats_that_begin_alike_are_templates_each(spark):
     assert {i for i, n in got.items() if n} == {1, 2, 3, 11, 12, 13, 14, 15, 31, 32}
 
 
+@pytest.mark.parametrize("n_tokens", [31, 32, 33, 40, 60, 700])
+def test_lines_of_any_length_may_differ_in_several_places(spark, n_tokens):
+    def line(i):
+        words = [f"word{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n_tokens)]
+        for place in (5, n_tokens // 2, n_tokens - 1):
+            words[place] = f"own{chr(97 + i)}"
+        return " ".join(words)
+
+    rows = [(i, line(i)) for i in range(5)]
+    rows += [(10 + i, " ".join(["word", "worda", "wordb", *(f"other{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n_tokens - 3))])) for i in range(4)]
+    got = {r.doc_id: r.text for r in templates.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert {i for i, t in got.items() if t == ""} == {1, 2, 3, 4}
+    assert got == brute_dedup(rows)
+
+
+@pytest.mark.parametrize("min_docs", [2, 4])
+def test_templates_of_other_least_counts(spark, min_docs):
+    rows = [(i, f"the job has finished with code {w} today now", "s") for i, w in enumerate(["ox", "ant", "bee", "cow"])]
+    rows += [(10 + i, f"the job has crashed after losing {w} memory pages", "s") for i, w in enumerate(["some", "few"])]
+    got = {r.doc_id for r in templates.dedup_lines(docs(spark, rows), min_docs=min_docs).collect() if r.n_dropped}
+    assert got == ({1, 2, 3, 11} if min_docs == 2 else {1, 2, 3})
+
+
 def test_columns_of_the_caller_stay(spark):
     rows = [(i, "a line that all of them have in common", "n", 5, 6) for i in range(3)] + [(None, None, None, None, None), (7, "", "z", 1, 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, template string, n_lines int, n_dropped int")
