@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import batches_of, scratch_path
+from gaugeflow.llm.sketch import bind
 
 CHUNK_BYTES = 64 * 1024
 REVISIT_BYTES = 1000
@@ -100,10 +101,11 @@ def segments(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, revisit_bytes: in
     pieces = F.when(marked, F.split("html", WITHIN_START, -1)).otherwise(F.array("html"))
     cut = rows.where(streamed).select(*HEAD, F.size(pieces).alias("n_pieces"), F.posexplode(pieces).alias("piece_no", "piece"))
     last = F.greatest(F.lit(0), F.floor((F.octet_length("piece") - 1) / chunk_bytes).cast("int"))
-    cut = cut.select("*", last.alias("last_no"), F.explode(F.sequence(F.lit(0), last)).alias("slice_no"))
+    # the array is cut once and exploded alone, so that each byte is copied a fixed number of times, however long the piece
+    slices = bind(F.col("piece").cast("binary"), lambda whole_piece: F.transform(F.sequence(F.lit(0), last), lambda i: whole_piece.substr(i * chunk_bytes + 1, F.lit(chunk_bytes))))
+    cut = cut.select(*HEAD, "n_pieces", "piece_no", last.alias("last_no"), F.posexplode(slices).alias("slice_no", "chunk"))
     ends = (F.col("piece_no") == F.col("n_pieces") - 1) & (F.col("slice_no") == F.col("last_no"))
-    chunk = F.col("piece").cast("binary").substr(F.col("slice_no") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return whole, cut.select(*HEAD, F.when(ends, F.col("payload_bytes")).alias("total_bytes"), chunk.alias("chunk")).mapInArrow(_running, SEGMENTS)
+    return whole, cut.select(*HEAD, F.when(ends, F.col("payload_bytes")).alias("total_bytes"), "chunk").mapInArrow(_running, SEGMENTS)
 
 
 def _header(*fields: tuple[str, Column]) -> Column:

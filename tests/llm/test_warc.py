@@ -107,3 +107,17 @@ def test_extra_columns_with_clashing_names_and_repeated_rows(spark):
     rows = [(i % 3 if i % 4 else None, None, "z" * (2000 if i % 2 else 50), "p", "d", "r", "i") for i in range(24)]
     got = sorted([tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, names)).collect()], key=str)
     assert got == expected([r[:4] for r in rows])
+
+
+def test_cutting_time_grows_with_the_payload(spark):
+    import time
+
+    def seconds(n):
+        page = spark.range(1).select(F.lit(1).cast("long").alias("page_id"), F.lit("http://a/").alias("url"), F.repeat(F.lit("0123456789abcdef"), F.lit(n // 16)).alias("html"))
+        start = time.perf_counter()
+        chunks = warc.segments(page)[1].select("chunk_no", F.length("chunk").alias("n"), "prefix_digest").collect()
+        assert sum(r.n for r in chunks) == n and max(chunks, key=lambda r: r.chunk_no).prefix_digest == hashlib.sha1(b"0123456789abcdef" * (n // 16)).hexdigest()
+        return time.perf_counter() - start
+
+    seconds(1 << 20)
+    assert seconds(64 << 20) < 4 + 16 * seconds(8 << 20)
