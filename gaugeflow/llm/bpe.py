@@ -204,7 +204,9 @@ def blocks_of(docs: DataFrame, definition: str, special: list[str], block_words:
     out = rows.mapInArrow(_blocks(block_words), BLOCKS).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("path", scratch_path(spark, "bpe-blocks"))
     with batches_of(spark, SPLIT_BYTES):
         out.bucketBy(n_partitions(spark), "block").saveAsTable(name)
-    return spark.table(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are in the shared folder, and ``blocks`` knows them and their buckets
+    return blocks
 
 
 def _encode(definition: str):
@@ -235,11 +237,14 @@ SENT = "block long, places binary, counts binary, ids binary, lengths binary, de
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, id, piece, uses), the ids of a word one after the other, to a row for each block of what its words are encoded and decoded to."""
+    """Rows (at, id, piece, uses, word), the ids of a word one after the other, to a row for each block of what its words are encoded and decoded to."""
     held, gathered, n = None, [], 0
     for batch in batches:
         rows = pa.concat_batches([held, batch]) if held is not None else batch
-        first = np.flatnonzero(rows.column(0).to_numpy(zero_copy_only=False) == 0)
+        at, word = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
+        if (at[:1] != 0).any() or ((at[1:] != 0) & ((at[1:] != at[:-1] + 1) | (word[1:] != word[:-1]))).any():
+            raise ValueError("the ids of a word must follow each other")
+        first = np.flatnonzero(at == 0)
         if not len(first):
             continue
         held = rows.slice(int(first[-1]))
@@ -285,12 +290,13 @@ def piece_table(spark: SparkSession, definition: str) -> DataFrame:
 def word_codes(blocks: DataFrame, definition: str) -> DataFrame:
     """Rows of ``SENT``: for words of a block, their places, ids and the bytes they decode to. Each distinct word is encoded and decoded once.
 
-    The join to the pieces is a broadcast join, so the ids of a word stay one after the other.
+    The join to the pieces is a broadcast join, so the ids of a word stay one after the other; where they are put together, word and place are checked.
     """
     used = blocks.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place")
     encoded = used.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(definition), "ids array<int>, uses array<struct<block:bigint,place:int>>")
-    each = encoded.select("uses", F.posexplode("ids").alias("at", "id")).select("id", "at", F.when(F.col("at") == 0, F.col("uses")).alias("uses"))
-    joined = each.join(F.broadcast(piece_table(blocks.sparkSession, definition)), "id").select("at", "id", "piece", "uses")
+    numbered = encoded.select("uses", "ids", F.monotonically_increasing_id().alias("word"))
+    each = numbered.select("word", "uses", F.posexplode("ids").alias("at", "id")).select("word", "id", "at", F.when(F.col("at") == 0, F.col("uses")).alias("uses"))
+    joined = each.join(F.broadcast(piece_table(blocks.sparkSession, definition)), "id").select("at", "id", "piece", "uses", "word")
     return joined.mapInArrow(_decoded, SENT)
 
 

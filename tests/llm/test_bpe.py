@@ -53,3 +53,10 @@ def test_words_join_to_the_text(spark):
     docs = spark.createDataFrame([(t or "",) for t in TEXTS], "text string")
     rows = docs.select("text", F.array_join(bpe.words(F.col("text"), special, bpe.newest_pattern(definition)), "").alias("joined")).collect()
     assert all(r.text == r.joined for r in rows)
+
+
+def test_no_table_is_left_and_blocks_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a word, a word"), (2, None)], "doc_id long, text string")
+    out = bpe.encode_and_decode(docs, PATH)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("gaugeflow")]
+    assert out.count() == 2 and "Bucketed: true" in out._jdf.queryExecution().toString()
