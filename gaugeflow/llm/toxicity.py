@@ -3,7 +3,8 @@
 Terms are hashed into ``BUCKETS`` buckets, all of which are inputs of the machine. What a text puts into a bucket it has a term of
 is the bucket's weight between 0 and 1: how strongly the training sample says that the bucket tells the labels apart, by itself or
 beside another (in standard errors from what the share of label 1, or the two buckets by themselves, let expect). Noise is damped
-that way, and a pair of buckets that matter only together is heard. Spark's factorization machine learns a
+that way, and a pair of buckets that matter only together is heard. All pairs of buckets that ``LEAST_ROWS`` rows of the sample hold together are
+looked at, however rare; Spark deals the buckets to tasks in blocks, each beside all others. Spark's factorization machine learns a
 coefficient for each bucket and, through its factors, one for each pair of buckets that meet in a text,
 so that an insult beside a group mention can weigh more than the sum of both. Every text is scored
 whole; doc_id only joins labels and splits the folds.
@@ -27,14 +28,14 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import release_memory, stash
+from gaugeflow.llm.common import n_partitions, release_memory, stash
 
 BUCKETS = 1 << 16
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
 LEAST_ROWS = 5
-#: Pairs are looked at among the buckets that at least one row in so many holds.
-PAIR_SHARE = 64
+#: Cells of the table of pairs (buckets of a block x all buckets) that a task counts at once.
+PAIR_CELLS = 1 << 22
 #: Standard errors at which a bucket weighs a half, and what the best of many pairs reaches by chance.
 HALF, BY_CHANCE = 5.0, 4.0
 FACTORS = 4
@@ -73,34 +74,71 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def _pair_errors(often: np.ndarray, alone: np.ndarray, share: float):
-    """From rows (terms, label): (bucket, errors), how far the label of any pair of a bucket is from what both let expect."""
+def _errors(k: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How far ``k`` of ``m`` is from a share ``p``, in standard errors: the signed root of the deviance, which holds for few rows too."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(k > 0, k * np.log(k / (m * p)), 0.0)
+        miss = np.where(k < m, (m - k) * np.log((m - k) / (m * (1 - p))), 0.0)
+    return np.sqrt(np.maximum(2 * (hit + miss), 0.0))
+
+
+def _pair_errors(known: np.ndarray, alone: np.ndarray, share: float, width: int):
+    """From rows (block, terms, label) in order of block: (bucket, errors), how far the label of any pair of a bucket is from what both let expect."""
+    n = len(known)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[known] = np.arange(n)
+    least = min(share, 1 - share) / 4
+
+    def found(block: int, both: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+        start = block * width
+        own = known[start : start + width]
+        errors = np.zeros(len(own))
+        for i in range(len(own)):
+            m, k = both[i * n : (i + 1) * n], toxic[i * n : (i + 1) * n]
+            at = np.flatnonzero(m >= LEAST_ROWS)
+            at = at[at != start + i]
+            expected = np.clip(alone[start + i] + alone[at] - share, least, 1 - least)
+            errors[i] = _errors(k[at], m[at], expected).max(initial=0)
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(errors)], names=["bucket", "errors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(often)
-        both, toxic = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+        block, both, toxic = -1, None, None
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                cells, label = batch.column(0).slice(i, 512), batch.column(1).slice(i, 512).to_numpy(zero_copy_only=False)
-                row, found = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()
-                at = np.minimum(np.searchsorted(often, found), n - 1)
-                known = often[at] == found
-                x = np.zeros((len(cells), n), np.float32)
-                x[row[known], at[known]] = 1
-                both += x.T @ x
-                toxic += x[label > 0].T @ x[label > 0]
-        errors = np.zeros(n)
-        for i in range(n):
-            expected = np.clip(alone[i] + alone - share, 0, 1)
-            far = np.abs(toxic[i] - both[i] * expected) / np.sqrt(np.maximum(both[i], 1) * share * (1 - share))
-            far[(both[i] < LEAST_ROWS)] = 0
-            far[i] = 0
-            errors[i] = far.max(initial=0)
-        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(errors)], names=["bucket", "errors"])
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
+            for name, cells, label in zip(batch.column(0).to_pylist(), batch.column(1), labels):
+                if name != block:
+                    if both is not None:
+                        yield found(block, both, toxic)
+                    block, size = name, min(width, n - name * width) * n
+                    both, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+                at = place[cells.values.to_numpy()]
+                at = at[at >= 0]
+                own = at[(at >= block * width) & (at < (block + 1) * width)] - block * width
+                # the terms of a text are distinct, so that no cell comes twice
+                for i in own:
+                    both[i * n + at] += 1
+                    if label > 0:
+                        toxic[i * n + at] += 1
+        if both is not None:
+            yield found(block, both, toxic)
+        del both, toxic
+        release_memory()
 
     return run
 
 
+def pair_errors(sample: DataFrame, known: np.ndarray, alone: np.ndarray, share: float) -> pd.DataFrame:
+    """(bucket, errors) of the buckets ``known``, from all their pairs; a text goes to each block of buckets it has one of."""
+    width = max(1, PAIR_CELLS // len(known))
+    place = sample.sparkSession.createDataFrame(pd.DataFrame({"bucket": known.astype(np.int32), "block": (np.arange(len(known)) // width).astype(np.int32)}))
+    rows = sample.select(F.monotonically_increasing_id().alias("row"), "terms", "label")
+    where = rows.select("row", F.explode("terms").alias("bucket")).join(F.broadcast(place), "bucket").select("row", "block").distinct()
+    dealt = rows.join(where, "row").select("block", "terms", "label")
+    n_blocks = -(-len(known) // width)
+    sorted_ = dealt.repartition(min(n_blocks, 4 * n_partitions(sample.sparkSession)), "block").sortWithinPartitions("block")
+    return sorted_.mapInArrow(_pair_errors(known, alone, share, width), "bucket int, errors double").toPandas()
+
+
 def weights(sample: DataFrame, n: int, n_toxic: float) -> np.ndarray:
     """The weight of each bucket, from a bounded sample (terms, label)."""
     share = n_toxic / n
@@ -108,9 +146,9 @@ def weights(sample: DataFrame, n: int, n_toxic: float) -> np.ndarray:
     rows, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     rows[counts["bucket"]], toxic[counts["bucket"]] = counts["rows"], counts["toxic"]
     errors = np.abs(toxic - rows * share) / np.sqrt(np.maximum(rows, 1) * share * (1 - share))
-    often = np.flatnonzero(rows >= max(LEAST_ROWS, n / PAIR_SHARE))
-    if len(often) > 1:
-        pairs = sample.select("terms", "label").coalesce(1).mapInArrow(_pair_errors(often, toxic[often] / rows[often], share), "bucket int, errors double").toPandas()
+    known = np.flatnonzero(rows >= LEAST_ROWS)
+    if len(known) > 1:
+        pairs = pair_errors(sample, known, toxic[known] / rows[known], share)
         errors[pairs["bucket"]] = np.maximum(errors[pairs["bucket"]], pairs["errors"] - BY_CHANCE)
     return np.where(rows < LEAST_ROWS, 0.0, errors**2 / (errors**2 + HALF**2))
 
@@ -119,12 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fa
     """The machine, learnt outside the held-out fold.
 
     The sample is the ``sample_rows`` labels of smallest hashed doc_id: bounded (so it can be
-    broadcast) and alike at every size. Of a repeated label the largest counts.
+    broadcast) and alike at every size. Of a repeated label the largest counts, of texts with the same doc_id
+    the one whose terms come first.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = stash(labelled.select(terms(F.col("text")).alias("terms"), F.col("toxic").cast("double").alias("label")), "toxic-sample")
+    each = labelled.select("doc_id", terms(F.col("text")).alias("terms"), F.col("toxic").cast("double").alias("label"))
+    sample = stash(each.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("label").alias("label")).select("terms", "label"), "toxic-sample")
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < n_toxic < n:
         return Machine(float(n_toxic / n) if n else 0.0)

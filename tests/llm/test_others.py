@@ -333,6 +333,59 @@ def test_what_only_a_pair_tells_is_learnt(spark):
     assert agree(dataclasses.replace(machine, factors=np.zeros_like(machine.factors))) < 0.8  # without pairs
 
 
+def test_a_pair_that_few_texts_hold_is_learnt(spark):
+    import numpy as np
+    import pandas as pd
+
+    def made(n, rate, seed):
+        rng, rows, labels = random.Random(seed), [], []
+        for i in range(n):
+            u = rng.random()
+            insult, group = u < rate, u < rate / 2 or rate <= u < 1.5 * rate
+            words = [f"w{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdefghijklmnopqrst')}" for _ in range(15)] + ["insult"] * insult + ["group"] * group
+            rows.append((i, " ".join(words)))
+            labels.append(int(insult and group) if insult or group else int(rng.random() < 1 / 3))
+        return rows, labels
+
+    rows, labels = made(10_000, 0.014, 3)
+    machine = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in enumerate(labels)], "doc_id long, toxic int"))
+    rows, labels = made(30_000, 0.014, 4)
+    held = spark.createDataFrame(rows, "doc_id long, text string").where(F.col("text").rlike("insult|group")).select("doc_id", toxicity.terms(F.col("text")).alias("terms")).toPandas()
+    truth = np.array([labels[i] for i in held["doc_id"]])
+    assert 0.6 < (truth == 0).mean() < 0.72
+    assert ((machine.scores(pd.Series(held["terms"])) >= 0.5) == truth).mean() > 0.8
+
+
+def test_pairs_by_brute_force(spark):
+    import math
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(sorted(rng.sample(range(40), rng.randint(0, 12))), float(rng.random() < 0.3)) for _ in range(300)]
+    share = sum(y for _, y in rows) / len(rows)
+    held = {b: [y for t, y in rows if b in t] for b in range(40)}
+    known = np.array([b for b in range(40) if b % 7])
+    alone = np.array([sum(held[b]) / len(held[b]) for b in known])
+    want = dict.fromkeys(known.tolist(), 0.0)
+    for a, b in combinations(known.tolist(), 2):
+        both = [y for t, y in rows if a in t and b in t]
+        m, k = len(both), sum(both)
+        if m >= toxicity.LEAST_ROWS:
+            p = min(max(sum(held[a]) / len(held[a]) + sum(held[b]) / len(held[b]) - share, share / 4), 1 - share / 4)
+            far = 2 * ((k * math.log(k / (m * p)) if k else 0) + ((m - k) * math.log((m - k) / (m * (1 - p))) if k < m else 0))
+            for x in (a, b):
+                want[x] = max(want[x], math.sqrt(max(far, 0)))
+    before, toxicity.PAIR_CELLS = toxicity.PAIR_CELLS, 200
+    try:
+        got = toxicity.pair_errors(spark.createDataFrame(rows, "terms array<int>, label double"), known, alone, share)
+    finally:
+        toxicity.PAIR_CELLS = before
+    assert sorted(got["bucket"]) == sorted(want)
+    assert all(abs(e - want[b]) < 1e-9 for b, e in zip(got["bucket"], got["errors"]))
+
+
 def test_scores_are_those_of_sparks_machine_in_plain_loops():
     import math
 
