@@ -34,8 +34,8 @@ BUCKETS = 1 << 16
 #: Rows of the training sample at most.
 SAMPLE_ROWS = 20_000
 LEAST_ROWS = 5
-#: Cells of the table of pairs (buckets of a block x all buckets) that a task counts at once.
-PAIR_CELLS = 1 << 22
+#: Cells of the table of pairs (buckets of a block x buckets from there on) that a task counts at once.
+PAIR_CELLS = 1 << 25
 #: Standard errors at which a bucket weighs a half, and what the best of many pairs reaches by chance.
 HALF, BY_CHANCE = 5.0, 4.0
 FACTORS = 4
@@ -82,61 +82,76 @@ def _errors(k: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 * (hit + miss), 0.0))
 
 
-def _pair_errors(known: np.ndarray, alone: np.ndarray, share: float, width: int):
-    """From rows (block, terms, label) in order of block: (bucket, errors), how far the label of any pair of a bucket is from what both let expect."""
-    n = len(known)
-    place = np.full(BUCKETS, -1, np.int64)
-    place[known] = np.arange(n)
-    least = min(share, 1 - share) / 4
-
-    def found(block: int, both: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
-        start = block * width
-        own = known[start : start + width]
-        errors = np.zeros(len(own))
-        for i in range(len(own)):
-            m, k = both[i * n : (i + 1) * n], toxic[i * n : (i + 1) * n]
-            at = np.flatnonzero(m >= LEAST_ROWS)
-            at = at[at != start + i]
-            expected = np.clip(alone[start + i] + alone[at] - share, least, 1 - least)
-            errors[i] = _errors(k[at], m[at], expected).max(initial=0)
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(errors)], names=["bucket", "errors"])
+def _dealt(known: np.ndarray, width: int):
+    """Rows (terms, label) to a row (block, ranks, label) for each block of ``width`` buckets that a text has one of; ``ranks`` are its buckets from that block on."""
+    rank = np.full(BUCKETS, -1, np.int32)
+    rank[known] = np.arange(len(known), dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, both, toxic = -1, None, None
         for batch in batches:
-            labels = batch.column(2).to_numpy(zero_copy_only=False)
-            for name, cells, label in zip(batch.column(0).to_pylist(), batch.column(1), labels):
-                if name != block:
+            blocks, ranks, labels = [], [], []
+            for cells, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = rank[cells.values.to_numpy()]
+                own = np.sort(own[own >= 0])
+                for block, at in zip(*np.unique(own // width, return_index=True)):
+                    blocks.append(block)
+                    ranks.append(own[at:])
+                    labels.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(ranks, pa.list_(pa.int32())), pa.array(labels, pa.float64())], names=["block", "ranks", "label"])
+
+    return run
+
+
+def _pair_errors(known: np.ndarray, alone: np.ndarray, share: float, width: int, kind: type):
+    """From rows (block, ranks, label) in order of block: (bucket, errors), how far the label of any pair of a bucket is from what both let expect."""
+    n, least = len(known), min(share, 1 - share) / 4
+
+    def found(start: int, both: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
+        errors = np.zeros(n - start)
+        for i in range(min(width, n - start)):
+            at = i + 1 + np.flatnonzero(both[i, i + 1 :] >= LEAST_ROWS)
+            if len(at):
+                expected = np.clip(alone[start + i] + alone[start + at] - share, least, 1 - least)
+                far = _errors(toxic[i, at].astype(float), both[i, at].astype(float), expected)
+                errors[i] = max(errors[i], far.max())
+                errors[at] = np.maximum(errors[at], far)
+        return pa.RecordBatch.from_arrays([pa.array(known[start:].astype(np.int32)), pa.array(errors)], names=["bucket", "errors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, both, toxic = -1, None, None
+        for batch in batches:
+            for block, ranks, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if block * width != start:
                     if both is not None:
-                        yield found(block, both, toxic)
-                    block, size = name, min(width, n - name * width) * n
-                    both, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
-                at = place[cells.values.to_numpy()]
-                at = at[at >= 0]
-                own = at[(at >= block * width) & (at < (block + 1) * width)] - block * width
-                # the terms of a text are distinct, so that no cell comes twice
-                for i in own:
-                    both[i * n + at] += 1
-                    if label > 0:
-                        toxic[i * n + at] += 1
+                        yield found(start, both, toxic)
+                    both = toxic = None
+                    start = block * width
+                    both, toxic = (np.zeros((min(width, n - start), n - start), kind) for _ in range(2))
+                at = ranks.values.to_numpy() - start
+                # the terms of a text are distinct and in order of rank, so that no cell comes twice
+                cell = np.ix_(at[: np.searchsorted(at, width)], at)
+                both[cell] += 1
+                if label > 0:
+                    toxic[cell] += 1
         if both is not None:
-            yield found(block, both, toxic)
+            yield found(start, both, toxic)
         del both, toxic
         release_memory()
 
     return run
 
 
-def pair_errors(sample: DataFrame, known: np.ndarray, alone: np.ndarray, share: float) -> pd.DataFrame:
-    """(bucket, errors) of the buckets ``known``, from all their pairs; a text goes to each block of buckets it has one of."""
+def pair_errors(sample: DataFrame, known: np.ndarray, alone: np.ndarray, share: float, n: int) -> pd.DataFrame:
+    """(bucket, errors) of the buckets ``known``, most frequent first, from all their pairs in the ``n`` rows of ``sample``.
+
+    A text goes to each block of buckets that it has one of, with its rarer buckets only, which are few for most blocks.
+    """
     width = max(1, PAIR_CELLS // len(known))
-    place = sample.sparkSession.createDataFrame(pd.DataFrame({"bucket": known.astype(np.int32), "block": (np.arange(len(known)) // width).astype(np.int32)}))
-    rows = sample.select(F.monotonically_increasing_id().alias("row"), "terms", "label")
-    where = rows.select("row", F.explode("terms").alias("bucket")).join(F.broadcast(place), "bucket").select("row", "block").distinct()
-    dealt = rows.join(where, "row").select("block", "terms", "label")
-    n_blocks = -(-len(known) // width)
-    sorted_ = dealt.repartition(min(n_blocks, 4 * n_partitions(sample.sparkSession)), "block").sortWithinPartitions("block")
-    return sorted_.mapInArrow(_pair_errors(known, alone, share, width), "bucket int, errors double").toPandas()
+    blocks = sample.select("terms", "label").mapInArrow(_dealt(known, width), "block int, ranks array<int>, label double")
+    in_order = blocks.repartition(min(-(-len(known) // width), 4 * n_partitions(sample.sparkSession)), "block").sortWithinPartitions("block")
+    kind = np.uint16 if n < 1 << 16 else np.int32
+    errors = in_order.mapInArrow(_pair_errors(known, alone, share, width, kind), "bucket int, errors double")
+    return errors.groupBy("bucket").agg(F.max("errors").alias("errors")).toPandas()
 
 
 def weights(sample: DataFrame, n: int, n_toxic: float) -> np.ndarray:
@@ -147,8 +162,9 @@ def weights(sample: DataFrame, n: int, n_toxic: float) -> np.ndarray:
     rows[counts["bucket"]], toxic[counts["bucket"]] = counts["rows"], counts["toxic"]
     errors = np.abs(toxic - rows * share) / np.sqrt(np.maximum(rows, 1) * share * (1 - share))
     known = np.flatnonzero(rows >= LEAST_ROWS)
+    known = known[np.argsort(-rows[known], kind="stable")]
     if len(known) > 1:
-        pairs = pair_errors(sample, known, toxic[known] / rows[known], share)
+        pairs = pair_errors(sample, known, toxic[known] / rows[known], share, n)
         errors[pairs["bucket"]] = np.maximum(errors[pairs["bucket"]], pairs["errors"] - BY_CHANCE)
     return np.where(rows < LEAST_ROWS, 0.0, errors**2 / (errors**2 + HALF**2))
 

@@ -379,7 +379,7 @@ def test_pairs_by_brute_force(spark):
                 want[x] = max(want[x], math.sqrt(max(far, 0)))
     before, toxicity.PAIR_CELLS = toxicity.PAIR_CELLS, 200
     try:
-        got = toxicity.pair_errors(spark.createDataFrame(rows, "terms array<int>, label double"), known, alone, share)
+        got = toxicity.pair_errors(spark.createDataFrame(rows, "terms array<int>, label double"), known, alone, share, 300)
     finally:
         toxicity.PAIR_CELLS = before
     assert sorted(got["bucket"]) == sorted(want)
