@@ -122,8 +122,12 @@ def coefficient_sweep(df: DataFrame, a: str, b: str, coefficients: Sequence[floa
 
 def _mean_ranks(counts: DataFrame, c: str, parts: int = 200) -> DataFrame:
     """``counts`` (distinct values and ``__n``) with the mean rank ``__r`` of each value: ranks within ranges of values, plus what the ranges before hold."""
+    step = round(parts**0.5)  # bounds below a value: every step-th of them first, then those of one step
     bounds = counts.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)]).alias("__b"))  # one row
-    placed = counts.withColumn("__b", bounds.scalar()).select(c, "__n", F.size(F.filter("__b", lambda b: b < F.col(c))).alias("__p"))
+    bounds = bounds.select(F.struct("__b", F.filter("__b", lambda b, i: i % step == step - 1).alias("__c")).alias("__b"))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col(c)))
+    placed = counts.withColumn("__b", bounds.scalar()).withColumn("__k", below(F.col("__b.__c")) * step)
+    placed = placed.select(c, "__n", (F.col("__k") + below(F.slice("__b.__b", F.col("__k") + 1, F.lit(step)))).alias("__p"))
     before = placed.groupBy("__p").agg(F.sum("__n").alias("__s"))  # a row per range
     before = before.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__s"))
     inside = F.sum("__n").over(Window.partitionBy("__p").orderBy(c))
@@ -133,18 +137,31 @@ def _mean_ranks(counts: DataFrame, c: str, parts: int = 200) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """(a, b, r, n) of every pair of columns, over rows with both; 'spearman' ranks each column's values (ties averaged) over complete rows."""
     rows = df.select(*columns)
-    if method == "spearman":
-        rows = rows.dropna("any")
-        for c in columns:
-            counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-            ranks = _mean_ranks(counts, c).select(c, F.col("__r").alias(f"__r_{c}"))
-            rows = rows.join(ranks, c)
-        rows = rows.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    cells = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), correlation(F.col(x), F.col(y)).alias("r"), n_paired(F.col(x), F.col(y)).alias("n")) for x, y in pairs])
+    r, n = (lambda x, y: correlation(F.col(x), F.col(y))), (lambda x, y: n_paired(F.col(x), F.col(y)))
+    if method == "spearman":
+        rows, r, n = _ranked_cells(rows, columns), _rank_correlation, lambda x, y: F.coalesce(F.sum("__n"), F.lit(0))
+    cells = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r(x, y).alias("r"), n(x, y).alias("n")) for x, y in pairs])
     return rows.agg(cells.alias("__c")).select(F.explode("__c").alias("__c")).select("__c.*")
 
 
+def _ranked_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The mean ranks of each column over complete rows, less their mean, and ``__n``, how many rows have them: rows that are alike
+    are counted before anything is joined, and a column's values meet their ranks together with the counts of its cells."""
+    cells = rows.dropna("any").groupBy(*columns).agg(F.count("*").alias("__n"))
+    total = F.broadcast(cells.agg(F.sum("__n").alias("__all")))  # one row
+    for c in columns:
+        counts = cells.groupBy(c).agg(F.sum("__n").alias("__n"))
+        cells = cells.join(_mean_ranks(counts, c).select(c, F.col("__r").alias(f"__r_{c}")), c)
+    return cells.crossJoin(total).select("__n", *[(F.col(f"__r_{c}") - (F.col("__all") + 1) / 2).alias(c) for c in columns])
+
+
+def _rank_correlation(x: str, y: str) -> Column:
+    """Pearson's r of centred ranks, each counted ``__n`` times; null where a side is constant."""
+    product = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
+    return F.try_divide(product(x, y), F.sqrt(product(x, x)) * F.sqrt(product(y, y)))
+
+
 def bland_altman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Bias, sd and the 95 % limits of agreement of b - a."""
     d = F.when(both(F.col(a), F.col(b)), F.col(b) - F.col(a))

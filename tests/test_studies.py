@@ -47,6 +47,20 @@ def test_rank_correlation(spark):
     assert got["x", "y"] == 1.0 and got["x", "z"] == -1.0
 
 
+def test_rank_correlation_joins_no_more_rows_than_there_are_distinct_ones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, 4000)
+    df = spark.createDataFrame([(float(a) if i % 50 else None, float(b)) for i, (a, b) in enumerate(zip(x, (x * 3 + rng.integers(0, 9, 4000)) % 11))], "x double, y double").repartition(4).cache()
+    ranked = studies._ranked_cells(df, ["x", "y"])
+    assert ranked.count() == df.dropna().distinct().count() < 70
+    got = {(r.a, r.b): (r.r, r.n) for r in studies.correlation_matrix(df, ["x", "y"], "spearman").collect()}
+    pdf = df.dropna().toPandas().rank()
+    assert got["x", "x"] == (1.0, len(pdf)) and abs(got["x", "y"][0] - np.corrcoef(pdf["x"], pdf["y"])[0, 1]) < 1e-12
+    for rows in ([], [(1.0, 2.0)], [(1.0, 2.0), (1.0, 3.0)]):
+        few = {(r.a, r.b): (r.r, r.n) for r in studies.correlation_matrix(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], "spearman").collect()}
+        assert few["x", "y"] == (None, len(rows)) and few["x", "x"] == (None, len(rows))
+
+
 def test_fill_methods_on_a_daily_cycle(spark):
     rows = [("k", i * H, None if 200 <= i < 224 else math.sin(2 * math.pi * i / 24)) for i in range(480)]
     df = spark.createDataFrame(rows, KV)
