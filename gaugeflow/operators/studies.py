@@ -13,6 +13,7 @@ from gaugeflow.functions.stats import both, correlation, n_paired
 from gaugeflow.functions.time import DAY, HOUR, civil
 from gaugeflow.operators.coupling import best_lag, hac_gain, thermal_lag
 from gaugeflow.operators.grid import interpolate
+from gaugeflow.sources.scratch import stored
 
 
 def order(keys: Sequence[str]):
@@ -148,7 +149,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
 def _ranked_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The mean ranks of each column over complete rows, less their mean, and ``__n``, how many rows have them: rows that are alike
     are counted before anything is joined, and a column's values meet their ranks together with the counts of its cells."""
-    cells = rows.dropna("any").groupBy(*columns).agg(F.count("*").alias("__n"))
+    cells = stored(rows.dropna("any").groupBy(*columns).agg(F.count("*").alias("__n")), "cells")
     total = F.broadcast(cells.agg(F.sum("__n").alias("__all")))  # one row
     for c in columns:
         counts = cells.groupBy(c).agg(F.sum("__n").alias("__n"))
