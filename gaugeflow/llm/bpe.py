@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugeflow.llm.common import batches_of, n_partitions, release_memory, scratch_path, text_or_empty
+from gaugeflow.llm.common import batches_of, frugal_memory, n_partitions, release_memory, scratch_path, text_or_empty
 
 #: Words of a block, unless one document has more: bounds what a task holds.
 BLOCK_WORDS = 3_000_000
@@ -122,7 +122,7 @@ def _tokenizer(definition: str) -> Tokenizer:
     return tokenizer
 
 
-PACKED_AT_ONCE = 1 << 20
+PACKED_AT_ONCE = 1 << 18
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -143,7 +143,12 @@ def _packed(values: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw, parts, at = np.frombuffer(data, np.uint8), [np.zeros(0, np.int32)], 0
+    return np.concatenate([np.zeros(0, np.int32), *unpacked_parts(data)])
+
+
+def unpacked_parts(data: bytes) -> Iterator[np.ndarray]:
+    """What ``unpacked`` gives, a few numbers at a time."""
+    raw, at = np.frombuffer(data, np.uint8), 0
     while at < len(raw):
         ends = np.flatnonzero(raw[at : at + PACKED_AT_ONCE] < 128)
         starts = np.concatenate([[0], ends[:-1] + 1])
@@ -151,9 +156,8 @@ def unpacked(data: bytes) -> np.ndarray:
         for k in range(4):
             rows = np.flatnonzero(starts + k <= ends) if k else slice(None)
             out[rows] |= (raw[at + starts[rows] + k].astype(np.int32) & 127) << 7 * k
-        parts.append(out)
+        yield out
         at += int(ends[-1]) + 1
-    return np.concatenate(parts)
 
 
 BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, places binary, words array<string>"
@@ -176,6 +180,7 @@ def _blocks(block_words: int):
         return pa.RecordBatch.from_arrays([pa.array([row]), listed[0], listed[1], pa.array([packed(place[index])], pa.binary()), listed[2]], names=["block", "doc_ids", "sizes", "places", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal_memory()
         row, parts, n = None, [], 0
         for batch in batches:
             sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -213,6 +218,7 @@ def _encode(definition: str):
     """Rows (word, block, place) in order of word to a row per distinct word of a batch: its ids and the places that use it. A word that goes on in the next batch keeps its ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal_memory()
         tokenizer, last, held = _tokenizer(definition), None, []
         for batch in batches:
             if not batch.num_rows:
@@ -238,6 +244,7 @@ SENT = "block long, places binary, counts binary, ids binary, lengths binary, de
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (at, id, piece, uses, word), the ids of a word one after the other, to a row for each block of what its words are encoded and decoded to."""
+    frugal_memory()
     held, gathered, n = None, [], 0
     for batch in batches:
         rows = pa.concat_batches([held, batch]) if held is not None else batch
@@ -284,7 +291,9 @@ def _by_block(gathered: list[pa.Table]) -> pa.RecordBatch:
 
 def piece_table(spark: SparkSession, definition: str) -> DataFrame:
     """(id, piece): the bytes that each id stands for."""
-    return spark.createDataFrame(list(enumerate(pieces(definition))), "id int, piece binary")
+    found = pieces(definition)
+    rows = pa.table({"id": pa.array(range(len(found)), pa.int32()), "piece": pa.array(found, pa.binary())})  # a list of rows would take Python workers of another kind, which stay beside those of the tasks
+    return spark.createDataFrame(rows, "id int, piece binary")
 
 
 def word_codes(blocks: DataFrame, definition: str) -> DataFrame:
@@ -307,6 +316,7 @@ def _slices(data: bytes, lengths: np.ndarray) -> list[bytes]:
 
 def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block: ids and decoded text by position."""
+    frugal_memory()
     place, ids_of, text_of = [np.zeros(0, np.int64)], [], []
     for places, counts, ids, lengths, decoded in zip(*(found[c].to_pylist() for c in ("places", "counts", "ids", "lengths", "decoded"))):
         places, counts, ids, lengths, decoded = map(zstandard.decompress, (places, counts, ids, lengths, decoded))
@@ -322,19 +332,35 @@ def _assembled(block: pa.Table, found: pa.Table) -> pa.Table:
     del ids_of, text_of
     del place, found
     release_memory()
-    places, ids, texts, done, at, n = unpacked(block["places"][0].as_py()), [], [], [], 0, 0
-    sizes = block["sizes"][0].as_py()
+    done = [_texts_of(by_place, sizes, places) for sizes, places in _pieces_of(block["sizes"][0].as_py(), block["places"][0].as_py())]
+    del by_place
+    release_memory()
+    doc_id = block["doc_ids"].combine_chunks().flatten()
+    return pa.concat_tables(done).add_column(0, "doc_id", doc_id)
+
+
+def _pieces_of(sizes: list[int], packed_places: bytes) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(sizes, places) of successive documents of a block, about ``PACKED_AT_ONCE`` words or one document at a time."""
+    parts, held, first, n = unpacked_parts(packed_places), [], 0, 0
     for row, size in enumerate(sizes):
+        n += size
+        if n >= PACKED_AT_ONCE or row + 1 == len(sizes):
+            while sum(map(len, held)) < n:
+                held.append(next(parts))
+            places = np.concatenate([np.zeros(0, np.int32), *held])
+            yield sizes[first : row + 1], places[:n]
+            held, first, n = [places[n:].copy()], row + 1, 0
+
+
+def _texts_of(by_place: np.ndarray, sizes: list[int], places: np.ndarray) -> pa.Table:
+    """The ids and decoded texts of documents of ``sizes`` words, one after the other."""
+    ids, texts, at = [], [], 0
+    for size in sizes:
         own = places[at : at + size]
         ids.append(np.frombuffer(b"".join(by_place[0, own]), np.int32))
         texts.append(b"".join(by_place[1, own]).decode("utf-8", "replace"))
-        at, n = at + size, n + size
-        if n >= PACKED_AT_ONCE or row + 1 == len(sizes):
-            done.append(pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}))
-            ids, texts, n = [], [], 0
-    release_memory()
-    doc_id = block["doc_ids"].combine_chunks().flatten()
-    return pa.concat_tables(done).add_column(0, "doc_id", doc_id)
+        at += size
+    return pa.table({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())})
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -60,3 +63,38 @@ def test_no_table_is_left_and_blocks_are_not_shuffled(spark):
     out = bpe.encode_and_decode(docs, PATH)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("gaugeflow")]
     assert out.count() == 2 and "Bucketed: true" in out._jdf.queryExecution().toString()
+
+
+def test_numbers_and_documents_in_parts():
+    rng = np.random.default_rng(3)
+    sizes = [0, 5, 0, *rng.integers(0, 200_000, 12).tolist(), 3 * bpe.PACKED_AT_ONCE, 0, 7, 0]
+    places = rng.integers(0, 1 << 21, sum(sizes)).astype(np.int32)
+    parts = list(bpe._pieces_of(sizes, bpe.packed(places)))
+    assert [s for part, _ in parts for s in part] == sizes and all(sum(s) == len(p) for s, p in parts)
+    assert (np.concatenate([p for _, p in parts]) == places).all() and len(parts) > 3
+    assert list(bpe._pieces_of([], b"")) == [] and [s for s, _ in bpe._pieces_of([0, 0], b"")] == [[0, 0]]
+
+
+def test_pieces_need_no_python_workers(spark):
+    # workers of a list of rows stay, idle, beside those that encode
+    found = bpe.piece_table(spark, bpe.read_vocabulary(PATH)[0])
+    assert "PythonRDD" not in found._jdf.queryExecution().toRdd().toDebugString()
+    assert found.count() == len(bpe.pieces(bpe.read_vocabulary(PATH)[0]))
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from gaugeflow.llm.common import frugal_memory
+own = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+before, kept = own(), []
+frugal_memory()
+for _ in range(2):
+    held = [(np.ones(3 << 20, np.uint8), pa.array(np.ones(1 << 19)).cast(pa.int32()), bytes(3000)) for _ in range(40)]
+    kept += [h[2] for h in held]
+    del held
+print(own() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, stdout=subprocess.PIPE, check=True).stdout) < 80  # else about 220
